@@ -6,7 +6,7 @@ import importlib
 
 from ledgerlens.catalog.registry import QUERIES, Registered
 
-MODULES = ("segments", "profiling")
+MODULES = ("segments", "profiling", "scores", "recommenders")
 
 
 def load() -> dict[str, Registered]:

@@ -116,13 +116,13 @@ class ColumnGroups:
     number_as_category: list[str] = field(default_factory=list)
 
 
-def column_groups(df: DataFrame, category_below: int = 10, cardinal_above: int = 20, approx: bool = False) -> ColumnGroups:
+def column_groups(df: DataFrame, category_below: int = 10, cardinal_above: int = 20) -> ColumnGroups:
     """Sort columns by type and number of distinct values (nulls not counted).
 
     Text with more than ``cardinal_above`` values is high-cardinality, other text categorical; a non-text column with
     fewer than ``category_below`` values counts as categorical too.
     """
-    counts = distinct_counts(df, approx)
+    counts = distinct_counts(df, exact_below=20 * max(category_below, cardinal_above))
     groups = ColumnGroups()
     for c in df.columns:
         if is_text(df, c):
@@ -135,15 +135,19 @@ def column_groups(df: DataFrame, category_below: int = 10, cardinal_above: int =
     return groups
 
 
-def distinct_counts(df: DataFrame, approx: bool = False) -> dict[str, int]:
-    """Distinct values per column. Exact counting goes over (column, value) pairs, so each row is expanded only
-    before the map-side combine and no column's values meet in one task."""
-    if approx:
-        row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(df.columns)]).first()
-        return {c: row[f"d{i}"] for i, c in enumerate(df.columns)}
-    pairs = long_values(df, df.columns).filter(F.col("value").isNotNull()).distinct()
-    found = {r["column"]: r["n"] for r in pairs.groupBy("column").agg(F.count("value").alias("n")).collect()}
-    return {c: found.get(c, 0) for c in df.columns}
+def distinct_counts(df: DataFrame, exact_below: int = 400) -> dict[str, int]:
+    """Distinct values per column, nulls left out: exact where a sketch finds at most ``exact_below``, else the sketch.
+
+    Only columns with few values are counted exactly, so the shuffle carries little whatever the number of rows.
+    """
+    row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(df.columns)]).first()
+    counts = {c: row[f"d{i}"] for i, c in enumerate(df.columns)}
+    small = [c for c in df.columns if counts[c] <= exact_below]
+    if small:
+        pairs = long_values(df, small).filter(F.col("value").isNotNull()).distinct()
+        exact = {r["column"]: r["n"] for r in pairs.groupBy("column").agg(F.count("value").alias("n")).collect()}
+        counts.update({c: exact.get(c, 0) for c in small})
+    return counts
 
 
 def target_by_category(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:

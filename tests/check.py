@@ -27,7 +27,7 @@ def main() -> int:
             df = run(spark, folder)
             if name in sqls:
                 problem = compare(df, con, sqls[name])
-                note = problem or "equal"
+                note = problem or f"equal, {len(con.execute(sqls[name]).fetchall())} rows"
             else:
                 note, problem = f"{df.count()} rows, no SQL", None
         except Exception as error:  # report and go on with the next query
