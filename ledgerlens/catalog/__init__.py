@@ -6,7 +6,7 @@ import importlib
 
 from ledgerlens.catalog.registry import QUERIES, Registered
 
-MODULES = ("segments", "profiling", "scores", "recommenders")
+MODULES = ("segments", "profiling", "scores", "recommenders", "lifetime")
 
 
 def load() -> dict[str, Registered]:
