@@ -6,7 +6,7 @@ import importlib
 
 from ledgerlens.catalog.registry import QUERIES, Registered
 
-MODULES = ("segments", "profiling", "scores", "recommenders", "lifetime", "neighbours")
+MODULES = ("segments", "profiling", "scores", "recommenders", "lifetime", "neighbours", "modelling")
 
 
 def load() -> dict[str, Registered]:
