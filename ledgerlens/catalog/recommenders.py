@@ -281,7 +281,7 @@ def hybrid_recommendations(spark, folder):
         recommend.user_based_scores(rated, recommend.neighbours(titles, USER, 0.50, min_bin=50)), "score", 5
     )
     item_list = recommend.item_based(titles, recommend.seed_title(rated, titles, USER), 5)
-    both = recommend.hybrid(user_list, item_list)
+    both = reused(recommend.hybrid(user_list, item_list))
     part = parquet_table(spark, folder, "part")
     catalogue = part.groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("item_id"))
     links = part.select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_partkey") * 10).alias("external_id"))

@@ -19,7 +19,7 @@ from ledgerlens.sources.tables import parquet_table
 Z = NormalDist().inv_cdf(0.975)
 
 
-def _time(where="true"):
+def _time():
     return (
         "avg(rating) FILTER (days <= 30) * 28 / 100 + avg(rating) FILTER (days > 30 AND days <= 90) * 26 / 100 + "
         "avg(rating) FILTER (days > 90 AND days <= 180) * 24 / 100 + avg(rating) FILTER (days > 180) * 22 / 100"

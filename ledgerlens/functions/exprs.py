@@ -80,9 +80,9 @@ _CONSTANTS = {"None": "null", "True": "true", "False": "false"}
 def literal_records(text: Column) -> Column:
     """Parse a printed list of records, or one record, into ``array<struct<name>>``; null when it cannot be read."""
     for word, replacement in _CONSTANTS.items():
-        text = F.regexp_replace(text, rf"{_QUOTED}|\b{word}\b", f"$1{_MARK}")
-        text = F.regexp_replace(text, rf"""(['"]){_MARK}""", "$1")
-        text = F.regexp_replace(text, _MARK, replacement)
+        edited = F.regexp_replace(text, rf"{_QUOTED}|\b{word}\b", f"$1{_MARK}")
+        edited = F.regexp_replace(edited, rf"""(['"]){_MARK}""", "$1")
+        text = F.when(text.contains(word), F.regexp_replace(edited, _MARK, replacement)).otherwise(text)
     return F.from_json(text, "array<struct<name:string>>")
 
 

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECT_DISTINCT = 1_000_000
+DIRECT_ROWS = 1_000_000
+DIRECT_DISTINCT = 10_000
 COLLECT_ROWS = 100_000
 ROWS_PER_TASK = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -25,13 +27,16 @@ def quantiles(
     df: DataFrame,
     probabilities: Mapping[str, Sequence[float]],
     rows: int | None = None,
+    direct_rows: int = DIRECT_ROWS,
     direct_distinct: int = DIRECT_DISTINCT,
+    collect_rows: int = COLLECT_ROWS,
     approx: bool = False,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of numeric columns, nulls ignored, as plain numbers on the driver.
 
     The result has ``len(columns) x len(probabilities)`` numbers, so callers put them into plans as literals. ``rows``,
-    when the caller has counted them, saves the pass that measures the number of distinct values.
+    when the caller has counted them, saves the pass that measures sizes. ``percentile`` is used up to ``direct_rows``
+    values or ``direct_distinct`` distinct ones.
     """
     columns = list(probabilities)
     if not columns:
@@ -45,15 +50,15 @@ def quantiles(
         ).first()
         return {c: list(row[f"q{i}"] or [None] * len(probabilities[c])) for i, c in enumerate(columns)}
 
-    sizes = None
-    if rows is not None and rows <= direct_distinct:
-        direct = columns
-    else:
-        sizes = df.agg(
+    sizes: dict[str, int] = {}
+    direct = columns
+    if rows is None or rows > direct_rows:
+        row = df.agg(
             *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
             *[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)],
         ).first()
-        direct = [c for i, c in enumerate(columns) if sizes[f"d{i}"] <= direct_distinct]
+        sizes = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+        direct = [c for i, c in enumerate(columns) if sizes[c] <= direct_rows or row[f"d{i}"] <= direct_distinct]
     found: dict[str, list[float | None]] = {}
     if direct:
         row = df.agg(
@@ -64,95 +69,115 @@ def quantiles(
         ).first()
         for i, c in enumerate(direct):
             found[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probabilities[c])
-    for i, c in enumerate(columns):
-        if c not in found:
-            found[c] = _interpolated(df, c, sizes[f"n{i}"], probabilities[c])
+    rest = [c for c in columns if c not in found]
+    if rest:
+        positions = {c: [(sizes[c] - 1) * float(p) for p in probabilities[c]] for c in rest}
+        ranks = {c: sorted({int(f(h)) for h in positions[c] for f in (math.floor, math.ceil)}) for c in rest}
+        at = _selected(df, ranks, sizes, collect_rows)
+        for c in rest:
+            found[c] = []
+            for h in positions[c]:
+                low, high = float(at[c][math.floor(h)]), float(at[c][math.ceil(h)])
+                found[c].append(low + (high - low) * (h - math.floor(h)))
     return found
 
 
-def _interpolated(df: DataFrame, column: str, n: int, probabilities: Sequence[float]) -> list[float | None]:
-    positions = [(n - 1) * float(p) for p in probabilities]
-    wanted = sorted({int(f(h)) for h in positions for f in (math.floor, math.ceil)})
-    at = values_at_ranks(df, column, wanted, n)
-    result = []
-    for h in positions:
-        low, high = float(at[math.floor(h)]), float(at[math.ceil(h)])
-        result.append(low + (high - low) * (h - math.floor(h)))
-    return result
-
-
 def values_at_ranks(
     df: DataFrame, column: str, ranks: Sequence[int], n: int | None = None, collect_rows: int = COLLECT_ROWS
 ) -> dict[int, float]:
-    """The values at 0-based ``ranks`` of a numeric column in ascending order, nulls ignored.
+    """The values at 0-based ``ranks`` of a numeric column in ascending order, nulls ignored."""
+    if n is None:
+        n = df.agg(F.count(F.col(column)).alias("n")).first()["n"]
+    return _selected(df, {column: list(ranks)}, {column: n}, collect_rows)[column]
+
+
+@dataclass
+class _Interval:
+    """Open interval of a column that still holds wanted ranks; ``below`` rows lie under it, ``size`` within."""
 
-    Each open interval that still holds a wanted rank is cut at two sketch estimates; exact counts decide on which
-    side the rank lies, so the sketch affects speed only. An interval is listed once it holds ``collect_rows`` rows
-    or fewer. Values carried by very many rows are hit by the estimates and settle at once.
+    column: str
+    low: float | None
+    high: float | None
+    below: int
+    size: int
+    wanted: list[int]
+
+    def inside(self) -> Column:
+        return _strictly_between(F.col(self.column), self.low, self.high)
+
+
+def _selected(
+    df: DataFrame, ranks: Mapping[str, Sequence[int]], sizes: Mapping[str, int], collect_rows: int
+) -> dict[str, dict[int, float]]:
+    """Exact selection for several columns at once.
+
+    Each interval is cut at sketch estimates; exact counts decide on which side a rank lies, so the sketch affects speed
+    only. An interval is listed once it holds ``collect_rows`` rows or fewer. Values carried by very many rows are hit by
+    the estimates and settle at once. Three passes over the columns do for up to about a hundred million rows, two more
+    for each further factor of a thousand.
     """
-    value = F.col(column)
-    if n is None:
-        n = df.agg(F.count(value).alias("n")).first()["n"]
-    found: dict[int, float] = {}
-    pending = [(None, None, 0, n, sorted(ranks))] if ranks else []
+    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    pending = [_Interval(c, None, None, 0, sizes[c], sorted(set(r))) for c, r in ranks.items() if r]
     while pending:
-        inside = [_strictly_between(value, low, high) for low, high, *_ in pending]
-        large = [i for i, p in enumerate(pending) if p[3] > collect_rows]
-        if len(large) < len(pending):
-            small = [i for i in range(len(pending)) if i not in large]
-            for i in small:
-                _, _, below, _, wanted = pending[i]
-                counted = df.filter(inside[i]).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-                reached = below
-                waiting = list(wanted)
-                for v, c in sorted((r["v"], r["c"]) for r in counted.collect()):
-                    reached += c
-                    while waiting and waiting[0] < reached:
-                        found[waiting.pop(0)] = v
-            pending = [pending[i] for i in large]
-            continue
-
-        cuts = []
-        asked = []
-        for i, (_, _, below, size, wanted) in enumerate(pending):
-            edges = []
-            for r in (wanted[0], wanted[-1]):
-                share = (r - below + 0.5) / size
-                edges.append(share)
-            slack = 3.0 / SKETCH_ACCURACY
-            asked.append([max(0.0, edges[0] - slack), min(1.0, edges[1] + slack), edges[0], edges[1]])
-            cuts.append(F.percentile_approx(F.when(inside[i], value), asked[i], SKETCH_ACCURACY).alias(f"a{i}"))
-        estimates = df.agg(*cuts).first()
-        points = [sorted(set(estimates[f"a{i}"])) for i in range(len(pending))]
-        counts = []
-        for i, pts in enumerate(points):
-            for j, p in enumerate(pts):
-                counts.append(F.count_if(inside[i] & (value < F.lit(p))).alias(f"l{i}_{j}"))
-                counts.append(F.count_if(inside[i] & (value == F.lit(p))).alias(f"e{i}_{j}"))
-        exact = df.agg(*counts).first()
-
-        following = []
-        for i, (low, high, below, size, wanted) in enumerate(pending):
-            left, start = low, 0
-            pieces = []  # (kind, from rank, to rank, low, high)
-            for j, p in enumerate(points[i]):
-                less, equal = exact[f"l{i}_{j}"], exact[f"e{i}_{j}"]
-                pieces.append(("open", start, less, left, p))
-                pieces.append(("point", less, less + equal, p, p))
-                left, start = p, less + equal
-            pieces.append(("open", start, size, left, high))
-            for kind, first, last, a, b in pieces:
-                here = [r for r in wanted if first <= r - below < last]
-                if not here:
-                    continue
-                if kind == "point":
-                    found.update({r: a for r in here})
-                else:
-                    following.append((a, b, below + first, last - first, here))
-        pending = following
+        small = [p for p in pending if p.size <= collect_rows]
+        pending = [p for p in pending if p.size > collect_rows]
+        if small:
+            _list_small(df, small, found)
+        if pending:
+            pending = _narrowed(df, pending, found)
     return found
 
 
+def _list_small(df: DataFrame, intervals: Sequence[_Interval], found: dict[str, dict[int, float]]) -> None:
+    cells = [F.when(p.inside(), F.struct(F.lit(i).alias("i"), F.col(p.column).cast("double").alias("v"))) for i, p in enumerate(intervals)]
+    listed = df.select(F.explode(F.array(*cells)).alias("e")).filter(F.col("e").isNotNull())
+    counted = listed.groupBy(F.col("e.i").alias("i"), F.col("e.v").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    values: dict[int, list[tuple[float, int]]] = {}
+    for r in counted.collect():
+        values.setdefault(r["i"], []).append((r["v"], r["c"]))
+    for i, p in enumerate(intervals):
+        reached, waiting = p.below, list(p.wanted)
+        for v, c in sorted(values.get(i, [])):
+            reached += c
+            while waiting and waiting[0] < reached:
+                found[p.column][waiting.pop(0)] = v
+
+
+def _narrowed(df: DataFrame, intervals: Sequence[_Interval], found: dict[str, dict[int, float]]) -> list[_Interval]:
+    slack = 3.0 / SKETCH_ACCURACY
+    cuts = []
+    for i, p in enumerate(intervals):
+        shares = [(r - p.below + 0.5) / p.size for r in p.wanted]
+        asked = sorted({min(1.0, max(0.0, s + d)) for s in shares for d in (-slack, slack)})
+        cuts.append(F.percentile_approx(F.when(p.inside(), F.col(p.column).cast("double")), asked, SKETCH_ACCURACY).alias(f"a{i}"))
+    estimates = df.agg(*cuts).first()
+    points = [sorted(set(estimates[f"a{i}"])) for i in range(len(intervals))]
+    counts = []
+    for i, p in enumerate(intervals):
+        value = F.col(p.column)
+        for j, point in enumerate(points[i]):
+            counts.append(F.count_if(p.inside() & (value < F.lit(point))).alias(f"l{i}_{j}"))
+            counts.append(F.count_if(p.inside() & (value == F.lit(point))).alias(f"e{i}_{j}"))
+    exact = df.agg(*counts).first()
+
+    following = []
+    for i, p in enumerate(intervals):
+        pieces = []  # (low, high, from row, to row); low == high for a single value
+        left, start = p.low, 0
+        for j, point in enumerate(points[i]):
+            less, equal = exact[f"l{i}_{j}"], exact[f"e{i}_{j}"]
+            pieces += [(left, point, start, less), (point, point, less, less + equal)]
+            left, start = point, less + equal
+        pieces.append((left, p.high, start, p.size))
+        for low, high, first, last in pieces:
+            here = [r for r in p.wanted if first <= r - p.below < last]
+            if here and low is not None and low == high:
+                found[p.column].update({r: low for r in here})
+            elif here:
+                following.append(_Interval(p.column, low, high, p.below + first, last - first, here))
+    return following
+
+
 def _strictly_between(value: Column, low, high) -> Column:
     condition = value.isNotNull()
     if low is not None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.plans.recommend import TIE_DECIMALS
+from ledgerlens.session import materialized, reused
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -26,31 +27,34 @@ def term_counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str]) -
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_weights(df: DataFrame, key: str, text: str, stop_words: Sequence[str] | None = None) -> DataFrame:
-    """``(key, term, weight)``: count times ``ln((1 + n) / (1 + df)) + 1``, not yet normalised."""
-    stop_words = default_stop_words() if stop_words is None else stop_words
-    counts = term_counts(df, key, text, stop_words)
-    documents = df.agg(F.count(F.lit(1))).scalar()
+def inverse_frequency(counts: DataFrame, documents: int) -> DataFrame:
+    """``(term, idf)`` with ``idf = ln((1 + n) / (1 + df)) + 1``."""
     frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.lit(1.0) + documents) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    return counts.join(frequency.select("term", idf.alias("idf")), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    return frequency.select("term", (F.log(F.lit(1.0 + documents) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+
+
+def term_weights(df: DataFrame, key: str, text: str, stop_words: Sequence[str] | None = None) -> DataFrame:
+    """``(key, term, weight)``: term count times inverse document frequency, not yet normalised."""
+    counts = reused(term_counts(df, key, text, default_stop_words() if stop_words is None else stop_words))
+    idf = inverse_frequency(counts, df.count())
+    return counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
 def similar_texts(df: DataFrame, key: str, text: str, seed, count: int | None = 10, stop_words: Sequence[str] | None = None) -> DataFrame:
     """The ``count`` texts nearest to the seed text (itself left out), or all that share a term with it.
 
     Dot products and norms come from one pass over the weights; only terms of the seed contribute to the products, and
-    each (text, term) pair meets at most one seed weight.
+    each (text, term) pair meets at most one seed weight. The weights of the one seed text are written out first, so
+    their size is known when they are joined.
     """
     weights = term_weights(df, key, text, stop_words)
-    wanted = weights.filter(F.col(key) == seed).select("term", F.col("weight").alias("seed_weight"))
-    joined = weights.join(wanted, "term", "left")
-    measured = joined.groupBy(key).agg(
+    wanted = materialized(weights.filter(F.col(key) == seed).select("term", F.col("weight").alias("seed_weight")), "seed-text")
+    seed_norm = wanted.agg(F.sqrt(F.sum(F.col("seed_weight") * F.col("seed_weight"))).alias("norm")).first()["norm"]
+    measured = weights.join(wanted, "term", "left").groupBy(key).agg(
         F.sum(F.col("weight") * F.col("seed_weight")).alias("dot"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
     )
-    seed_norm = wanted.agg(F.sqrt(F.sum(F.col("seed_weight") * F.col("seed_weight")))).scalar()
     scored = measured.filter((F.col(key) != seed) & F.col("dot").isNotNull()).select(
-        key, F.try_divide(F.col("dot"), F.col("norm") * seed_norm).alias("score")
+        key, F.try_divide(F.col("dot"), F.col("norm") * F.lit(seed_norm).cast("double")).alias("score")
     )
     return scored if count is None else scored.orderBy(F.round("score", TIE_DECIMALS).desc(), key).limit(count)
