@@ -75,8 +75,7 @@ def lifetime_value_leaders(spark, folder):
 
 def _valued_segments(spark, folder):
     """Calculated value joined with the behavioural segment."""
-    lines = reused(clean_lines(views.retail_lines(spark, folder)))
-    valued = cltv.calculated_value(lines)
+    valued = cltv.calculated_value(views.retail_lines(spark, folder))
     behaviour = segmented(spark, folder).select("customer_id", F.col("segment").alias("rfm_segment"))
     return reused(behaviour.join(valued.select("customer_id", "scaled_cltv", F.col("segment").alias("value_segment")), "customer_id"))
 

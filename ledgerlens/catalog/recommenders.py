@@ -179,13 +179,9 @@ def user_title_ratings(spark, folder):
 
 @query("R2 W3", f"WITH {_SHARED} SELECT user_id, shared, CAST(bin AS INT) AS bin FROM bins")
 def shared_title_counts(spark, folder):
-    from ledgerlens.operators.binning import equal_width_bin
-
     _, titles = _ut(spark, folder)
-    counts = recommend.shared_counts(titles, USER)
-    low, high = (counts.agg(f("shared")).scalar() for f in (F.min, F.max))
-    binned = counts.withColumns({"low": low, "high": high})
-    return binned.select("user_id", "shared", equal_width_bin(F.col("shared"), F.col("low"), F.col("high"), 100).alias("bin"))
+    counts = reused(recommend.shared_counts(titles, USER))
+    return counts.select("user_id", "shared", recommend.sharing_bin(counts).alias("bin"))
 
 
 @query("R2 R3", f"WITH {_neighbours('bin > 60', 0.6)} SELECT user_id, shared, round(corr, 6) AS corr FROM near")
@@ -292,7 +288,7 @@ def hybrid_recommendations(spark, folder):
 
 
 def _content_sql() -> str:
-    words = ", ".join("'" + w.replace("'", "''") + "'" for w in content.default_stop_words())
+    words = ", ".join(f"'{w}'" for w in content.STOP_WORDS)
     return f"""WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens WHERE term NOT IN ({words}) GROUP BY ALL),
     idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY term),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.order_stats import quantiles
 from ledgerlens.operators.profile import is_text, long_values
+from ledgerlens.session import small_side
 
 MAX_LEVELS = 10_000
 
@@ -63,7 +64,7 @@ def rare_encoded(df: DataFrame, share: float, columns: Sequence[str] | None = No
         counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_{c}")).agg(F.count(F.lit(1)).alias("_n"))
         rare = counts.filter(F.col("_n") / total < F.lit(share)).select(f"_{c}")
         edited = F.when(F.col(f"_{c}").isNotNull(), F.lit(name)).otherwise(F.col(c))
-        df = df.join(rare, F.col(c) == F.col(f"_{c}"), "left").withColumn(c, edited).drop(f"_{c}")
+        df = df.join(small_side(rare), F.col(c) == F.col(f"_{c}"), "left").withColumn(c, edited).drop(f"_{c}")
     return df
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 DIRECT_ROWS = 1_000_000
 DIRECT_DISTINCT = 10_000
-COLLECT_ROWS = 100_000
+COLLECT_ROWS = 50_000
 ROWS_PER_TASK = 1_000_000
 SKETCH_ACCURACY = 10_000
 
@@ -113,7 +113,7 @@ def _selected(
 
     Each interval is cut at sketch estimates; exact counts decide on which side a rank lies, so the sketch affects speed
     only. An interval is listed once it holds ``collect_rows`` rows or fewer. Values carried by very many rows are hit by
-    the estimates and settle at once. Three passes over the columns do for up to about a hundred million rows, two more
+    the estimates and settle at once. Three passes over the columns do for tens of millions of rows, two more
     for each further factor of a thousand.
     """
     found: dict[str, dict[int, float]] = {c: {} for c in ranks}

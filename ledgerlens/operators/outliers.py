@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.order_stats import quantiles
+from ledgerlens.session import reused
 
 RETAIL_QUANTILES = (0.01, 0.99)
 TABULAR_QUANTILES = (0.005, 0.995)
@@ -46,8 +47,15 @@ def clip(df: DataFrame, limits: Fences) -> DataFrame:
 
 
 def winsorize(df: DataFrame, columns: Sequence[str], probabilities: tuple[float, float] = RETAIL_QUANTILES) -> DataFrame:
-    """Fences from ``df`` itself, then :func:`clip`."""
-    return clip(df, fences(df, columns, probabilities))
+    """Fences from ``df`` itself, then :func:`clip`.
+
+    The fences take several passes. They run over a kept copy of just these columns, so a ``df`` that ends in joins is
+    computed twice and not once per pass.
+    """
+    probe = reused(df.select(*columns))
+    limits = fences(probe, columns, probabilities)
+    probe.unpersist()
+    return clip(df, limits)
 
 
 def outlier_check(df: DataFrame, columns: Sequence[str], probabilities: tuple[float, float] = TABULAR_QUANTILES) -> DataFrame:

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.plans.recommend import TIE_DECIMALS
-from ledgerlens.session import materialized, reused
+from ledgerlens.session import materialized, reused, small_side
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def default_stop_words() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
+# The default stop words, common English function words.
+STOP_WORDS = tuple(
+    """a about above after again against all also am an and any are as at be because been before being below between both
+    but by can could did do does doing down during each few for from further had has have having he her here hers herself
+    him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or
+    other our ours ourselves out over own same she should so some such than that the their theirs them themselves then
+    there these they this those through to too under until up very was we were what when where which while who whom why
+    will with would you your yours yourself yourselves""".split()
+)
 
 
 def term_counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str]) -> DataFrame:
@@ -35,8 +41,8 @@ def inverse_frequency(counts: DataFrame, documents: int) -> DataFrame:
 
 def term_weights(df: DataFrame, key: str, text: str, stop_words: Sequence[str] | None = None) -> DataFrame:
     """``(key, term, weight)``: term count times inverse document frequency, not yet normalised."""
-    counts = reused(term_counts(df, key, text, default_stop_words() if stop_words is None else stop_words))
-    idf = inverse_frequency(counts, df.count())
+    counts = reused(term_counts(df, key, text, STOP_WORDS if stop_words is None else stop_words))
+    idf = small_side(inverse_frequency(counts, df.count()))
     return counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Window
 
 from ledgerlens.operators.binning import equal_width_bin
 from ledgerlens.operators.profile import pearson
+from ledgerlens.session import reused, small_side
 
 TIE_DECIMALS = 10
 
@@ -26,7 +27,7 @@ def user_titles(ratings: DataFrame, more_than: int = 1000) -> DataFrame:
     means = ratings.filter(F.col("user_id").isNotNull()).groupBy("user_id", "title").agg(
         F.avg("rating").alias("rating"), F.count("rating").alias("n")
     )
-    return means.join(popular_titles(ratings, more_than), "title").filter(F.col("rating").isNotNull()).select("user_id", "title", "rating")
+    return means.join(small_side(popular_titles(ratings, more_than)), "title").filter(F.col("rating").isNotNull()).select("user_id", "title", "rating")
 
 
 def _target(titles: DataFrame, user: int) -> DataFrame:
@@ -35,7 +36,13 @@ def _target(titles: DataFrame, user: int) -> DataFrame:
 
 def shared_counts(titles: DataFrame, user: int) -> DataFrame:
     """Number of the target user's titles each user has rated, the target included."""
-    return titles.join(_target(titles, user).select("title"), "title").groupBy("user_id").agg(F.count("rating").alias("shared"))
+    return titles.join(small_side(_target(titles, user).select("title")), "title").groupBy("user_id").agg(F.count("rating").alias("shared"))
+
+
+def sharing_bin(counts: DataFrame, bins: int = 100) -> Column:
+    """Bin of ``shared`` among equal intervals over the observed counts."""
+    seen = counts.agg(F.min("shared").alias("low"), F.max("shared").alias("high")).first()
+    return equal_width_bin(F.col("shared"), F.lit(seen["low"]), F.lit(seen["high"]), bins)
 
 
 def neighbours(
@@ -51,13 +58,12 @@ def neighbours(
     Enough sharing means a bin (of 100 over the observed counts) of at least ``min_bin`` or above ``above_bin``, or
     more than ``more_than`` titles. Counts and correlations come from one aggregate.
     """
-    both = titles.join(_target(titles, user), "title")
+    both = titles.join(small_side(_target(titles, user)), "title")
     measured = both.groupBy("user_id").agg(F.count("rating").alias("shared"), pearson(F.col("rating"), F.col("own")).alias("corr"))
     if min_bin is not None or above_bin is not None:
-        low, high = (measured.agg(f("shared")).scalar() for f in (F.min, F.max))
-        measured = measured.withColumns({"low": low, "high": high})
-        number = equal_width_bin(F.col("shared"), F.col("low"), F.col("high"), 100)
-        measured = measured.filter(number >= min_bin if min_bin is not None else number > above_bin).drop("low", "high")
+        measured = reused(measured)
+        number = sharing_bin(measured)
+        measured = measured.filter(number >= min_bin if min_bin is not None else number > above_bin)
     if more_than is not None:
         measured = measured.filter(F.col("shared") > more_than)
     return measured.filter((F.col("user_id") != user) & (F.round("corr", TIE_DECIMALS) >= min_corr))
@@ -65,7 +71,7 @@ def neighbours(
 
 def user_based_scores(ratings: DataFrame, similar: DataFrame) -> DataFrame:
     """Mean of correlation times rating over all ratings of the similar users, per title."""
-    weighted = ratings.join(similar.select("user_id", "corr"), "user_id")
+    weighted = ratings.join(small_side(similar.select("user_id", "corr")), "user_id")
     return weighted.groupBy("title").agg(F.avg(F.col("corr") * F.col("rating")).alias("score"))
 
 

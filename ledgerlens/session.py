@@ -7,6 +7,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -58,6 +59,18 @@ def materialized(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The lookup side of a join, marked for broadcast only after counting it; larger ones are joined by shuffle.
+
+    For narrow rows (a key and a few numbers). Knowing the size beforehand spares the other side its shuffle.
+    """
+    kept = reused(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def reused(df: DataFrame) -> DataFrame:
     """Keep ``df`` for several passes. Lost blocks are recomputed from lineage, so executor loss is harmless."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
