@@ -19,7 +19,7 @@ from ledgerlens.functions.exprs import whole_days
 from ledgerlens.functions.special import hypergeometric_2f1, log_gamma
 from ledgerlens.plans.cltv import min_max_scaled, with_value_segment
 from ledgerlens.plans.rfm import line_total
-from ledgerlens.session import reused
+from ledgerlens.session import reused, spread
 
 WEEKS_PER_MONTH = 4.345
 _OTHER_LENGTHS = (2.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
@@ -149,7 +149,9 @@ def fit_purchases(features: DataFrame, penalty: float = 0.001) -> PurchaseModel:
     Minimises the mean negative log-likelihood plus ``penalty`` times the sum of squared parameters, with time scaled so
     that the greatest age is 1 (the penalty depends on these two choices).
     """
-    table = features.groupBy("frequency", "recency", "age").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    table = spread(
+        features.groupBy("frequency", "recency", "age").agg(F.count(F.lit(1)).cast("double").alias("weight")), "frequency", "recency", "age"
+    )
     limits = features.agg(F.max("age").alias("age"), F.count(F.lit(1)).alias("n")).first()
     scale = 1.0 / limits["age"]
     scaled = reused(table.withColumns({"recency": F.col("recency") * scale, "age": F.col("age") * scale}))
@@ -178,7 +180,7 @@ def _profit_terms(rows: pd.DataFrame, log_parameters: np.ndarray) -> np.ndarray:
 
 def fit_profit(features: DataFrame, penalty: float = 0.01) -> ProfitModel:
     """Maximum likelihood of the Gamma-Gamma model, mean negative log-likelihood plus the penalty on squared parameters."""
-    table = reused(features.select("frequency", "monetary").withColumn("weight", F.lit(1.0)))
+    table = reused(spread(features.select("frequency", "monetary").withColumn("weight", F.lit(1.0))))
     n = table.count()
 
     def loss(points: np.ndarray) -> np.ndarray:

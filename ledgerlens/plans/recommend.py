@@ -42,6 +42,8 @@ def shared_counts(titles: DataFrame, user: int) -> DataFrame:
 def sharing_bin(counts: DataFrame, bins: int = 100) -> Column:
     """Bin of ``shared`` among equal intervals over the observed counts."""
     seen = counts.agg(F.min("shared").alias("low"), F.max("shared").alias("high")).first()
+    if seen["low"] is None:
+        return F.lit(None).cast("int")
     return equal_width_bin(F.col("shared"), F.lit(seen["low"]), F.lit(seen["high"]), bins)
 
 

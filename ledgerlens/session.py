@@ -71,6 +71,14 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition by the session's number of shuffle partitions, and keep that number.
+
+    For rows that are few in bytes but costly to compute on: sized by bytes alone, they would be put into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def reused(df: DataFrame) -> DataFrame:
     """Keep ``df`` for several passes. Lost blocks are recomputed from lineage, so executor loss is harmless."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
