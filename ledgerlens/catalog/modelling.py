@@ -54,11 +54,11 @@ def classification_report(spark, folder):
     f"""WITH {S.SCORED}, g AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM scored GROUP BY score)
     SELECT round(score, 8) AS threshold, round(sum(neg) OVER (ORDER BY score DESC) / (SELECT sum(neg) FROM g), 8) AS fpr,
            round(sum(pos) OVER (ORDER BY score DESC) / (SELECT sum(pos) FROM g), 8) AS tpr FROM g
-    UNION ALL SELECT CAST('inf' AS DOUBLE), 0, 0""",
+    UNION ALL SELECT round(max(score) + 1, 8), 0, 0 FROM g""",
 )
 def roc_curve(spark, folder):
     points = evaluate.roc_points(views.scored_events(spark, folder))
-    return points.select(F.when(F.col("threshold") == float("inf"), F.col("threshold")).otherwise(F.round("threshold", 8)).alias("threshold"), F.round("fpr", 8).alias("fpr"), F.round("tpr", 8).alias("tpr"))
+    return points.select(*[F.round(c, 8).alias(c) for c in ("threshold", "fpr", "tpr")])
 
 
 @query(
@@ -193,6 +193,13 @@ def price_feature_sets(spark, folder):
     return search.compare_feature_sets(train, test, sets, candidates)
 
 
+@query("L10 L11 L13 L25")
+def price_model_errors(spark, folder):
+    train, test = _prices(spark, folder)
+    sets = {"all": (["extended", "discount", "tax", "quantity"], ["flag"])}
+    return search.compare_feature_sets(train, test, sets, search.regressors())
+
+
 @query("S8 L26 L1")
 def stored_model_estimates(spark, folder):
     train, test = _prices(spark, folder)

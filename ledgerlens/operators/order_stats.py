@@ -213,7 +213,7 @@ def _range_keys(df: DataFrame, order: Sequence[tuple[str, bool]], n: int, rows_p
     part_key = -F.col("_part") if last_desc else F.col("_part")
     return (
         keyed.withColumn("_part", F.when(split, part_key).otherwise(F.lit(0.0)))
-        .withColumn("_range", range_key)
+        .withColumn("_range", F.when(F.col("_first").isNull(), F.lit(math.inf)).otherwise(range_key))  # nulls last
         .drop("_first", "_last")
     )
 

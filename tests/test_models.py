@@ -119,3 +119,16 @@ def test_saved_model_scores_alike(spark, labelled, tmp_path):
     search.save_model(model, str(tmp_path / "model"))
     again = search.scored(search.load_model(str(tmp_path / "model")), labelled)
     assert [r["prediction"] for r in again.orderBy("id").collect()] == [r["prediction"] for r in model.transform(labelled).orderBy("id").collect()]
+
+
+def test_all_regressors_cross_validated(spark):
+    from pyspark.ml import Pipeline
+
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(120, 2))
+    df = spark.createDataFrame(pd.DataFrame({"id": range(120), "a": x[:, 0], "b": x[:, 1], "label": 3 * x[:, 0] - x[:, 1]}))
+    candidates = {n: Pipeline(stages=[*search.feature_stages(["a", "b"]), m]) for n, m in search.regressors(key="id").items()}
+    scores = search.cross_validated_rmse(df, "id", candidates, folds=2).groupBy("model").agg(F.avg("rmse").alias("rmse"))
+    found = {r["model"]: r["rmse"] for r in scores.collect()}
+    assert set(found) == {"LinearRegression", "DecisionTree", "RandomForest", "GradientBoosting", "KNeighbors"}
+    assert found["LinearRegression"] < 1e-6 and max(found.values()) < 3.2

@@ -103,3 +103,14 @@ def test_tied_edges_raise(spark):
     with pytest.raises(DuplicateEdges):
         quantile_edges(df, ["x"], 4)
     assert quantile_edges(df, ["x"], 4, duplicates="drop")["x"] == [1.0, 3.0]
+
+
+@pytest.mark.parametrize("rows_per_task", [1_000_000, 10])
+def test_nulls_are_placed_last(spark, rows_per_task):
+    rows = [(i, None if i % 4 == 0 else float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x double").persist()
+    for descending in (False, True):
+        placed = O.with_position(df, [("x", descending), ("id", False)], rows_per_task=rows_per_task)
+        order = [r["id"] for r in placed.orderBy("position").collect()]
+        expected = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1] if descending else r[1], r[0]))
+        assert order == [r[0] for r in expected] + [r[0] for r in rows if r[1] is None]
