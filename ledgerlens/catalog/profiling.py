@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.catalog import sql as S
 from ledgerlens.catalog.registry import query, single
-from ledgerlens.functions.exprs import parsed_number, recoded, yes_no_flag
+from ledgerlens.functions.exprs import parsed_number, recoded, whole_days, yes_no_flag
 from ledgerlens.operators import binning, clean, encode, missing, outliers, profile
 from ledgerlens.session import reused
 from ledgerlens.sources import views
@@ -273,8 +273,6 @@ def type_brand_frequencies(spark, folder):
     max(value) AS top_value, min(value) AS low_value FROM events GROUP BY user_id""",
 )
 def event_spans(spark, folder):
-    from ledgerlens.functions.exprs import whole_days
-
     now = F.lit("2024-12-01 00:00:00").cast("timestamp")
     return parquet_table(spark, folder, "events").groupBy("user_id").agg(
         whole_days(F.max("ts"), F.min("ts")).alias("active_days"),

@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.catalog import sql as S
 from ledgerlens.catalog.registry import query, single
-from ledgerlens.functions.exprs import whole_days
-from ledgerlens.operators import clean, outliers
-from ledgerlens.operators.order_stats import quantiles, top_share, with_position
+from ledgerlens.operators.order_stats import with_position
 from ledgerlens.plans import cltv, rfm
 from ledgerlens.session import reused
 from ledgerlens.sources import views
