@@ -41,18 +41,85 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query()
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without 50-byte strings that earlier documents hold."""
+    from ledgerlens.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, folder, "documents"), length=50, keep_bytes=False)
+
+
+def language_rows(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """Evidence of both tables in one form: pages declare a language in their markup, documents in their lang column."""
+    from ledgerlens.llm.language_id import declared_in, host_of, visible_text
+
+    none = F.lit(None).cast("long")
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), none.alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    web = pages.select(none.alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), visible_text(F.col("html")).alias("text"), declared_in(F.col("html")).alias("declared"), host_of(F.col("url")).alias("host"))
+    return own.unionAll(web)
+
+
+@query()
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document and page: text, declared language and host prior fused."""
+    from ledgerlens.llm.language_id import fit, identify
+
+    documents = table(spark, folder, "documents")
+    rows = language_rows(documents, table(spark, folder, "pages"))
+    return identify(rows, ["doc_id", "page_id"], *fit(documents))
+
+
+LEAKS_SQL = r"""
+WITH words AS (
+  SELECT 0 AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT 1, item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark WHERE text IS NOT NULL),
+shingles AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+items AS (SELECT id AS item_id, shingle, count(*) OVER (PARTITION BY id) AS n_shingles FROM shingles WHERE kind = 1)
+SELECT d.id AS doc_id, i.item_id, count(*) AS n_shared, i.n_shingles, count(*) / i.n_shingles AS containment
+FROM shingles d JOIN items i ON d.shingle = i.shingle WHERE d.kind = 0
+GROUP BY d.id, i.item_id, i.n_shingles HAVING count(*) >= ceil(i.n_shingles * 0.8 - 1e-9)
+"""
+
+
+@query(LEAKS_SQL)
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least 0.8 of the five-word shingles of a benchmark item."""
+    from ledgerlens.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op4_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    from ledgerlens.llm.simhash_dedup import simhash_components
+
+    return simhash_components(table(spark, folder, "documents"), words=4, max_bits=4)
+
+
+@query()
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document, linked parts included."""
+    from ledgerlens.llm.secret_scan import find_secrets
+
+    return find_secrets(table(spark, folder, "documents"))
+
+
 LINES_SQL = r"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 places AS (
-  SELECT doc_id, i AS at, lines[i] || chr(10) || lines[i + 1] || chr(10) || lines[i + 2] AS block
+  SELECT doc_id, i AS place, lines[i] || chr(10) || lines[i + 1] || chr(10) || lines[i + 2] AS block
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM docs WHERE len(lines) >= 3)
   WHERE trim(lines[i], ' ') <> '' OR trim(lines[i + 1], ' ') <> '' OR trim(lines[i + 2], ' ') <> ''),
 ranked AS (
-  SELECT doc_id, at, first_value(doc_id) OVER w AS first_doc, first_value(at) OVER w AS first_at
-  FROM places WINDOW w AS (PARTITION BY block ORDER BY doc_id, at)),
+  SELECT doc_id, place, first_value(doc_id) OVER w AS first_doc, first_value(place) OVER w AS first_place
+  FROM places WINDOW w AS (PARTITION BY block ORDER BY doc_id, place)),
 gone AS (
-  SELECT DISTINCT doc_id, at + k AS line FROM ranked, (SELECT unnest([0, 1, 2]) AS k)
-  WHERE doc_id <> first_doc OR at >= first_at + 3),
+  SELECT DISTINCT doc_id, place + k AS line FROM ranked, (SELECT unnest([0, 1, 2]) AS k)
+  WHERE doc_id <> first_doc OR place >= first_place + 3),
 kept AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text
   FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs) AS l
@@ -71,6 +138,14 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query()
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector."""
+    from ledgerlens.llm.embedding_dedup import embedding_components
+
+    return embedding_components(table(spark, folder, "embeddings"), threshold=0.9)
+
+
 @query()
 def op8_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and slot of every document: contiguous runs of equal-text groups, the largest shard as small as can be."""
