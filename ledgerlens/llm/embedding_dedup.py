@@ -78,8 +78,8 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block
     """
     embedding = F.col("embedding")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), embedding, _usable(embedding).alias("usable"))
-    keyed = rows.withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(1), "embedding"))
-    named = materialized(keyed.select("vec_id", "usable", "k1", "k2"), "vector-ids")
+    keyed = rows.withColumn("k1", F.when(F.col("usable"), F.xxhash64("embedding"))).withColumn("k2", F.xxhash64(F.lit(1), "embedding"))
+    named = materialized(keyed.select("vec_id", "k1", "k2"), "vector-ids")
     nodes = keyed.where("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
     nodes = materialized(nodes.where("node IS NOT NULL"), "vectors")
     blocks = max(1, -(-nodes.count() // block))

@@ -7,7 +7,7 @@ functions alone: no Python runs on the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialized
@@ -42,6 +42,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("twin", F.xxhash64(text))
 
 
+def edited_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc, text, n_lines, n_removed): each row of ``docs`` as a struct, its text without repeated lines, and counts."""
+    slim = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    covered = repeated_windows(_keyed(slim), width).groupBy("doc_id", "twin").agg(F.collect_set("at").alias("at"))
+    gone = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (width - 1)))))
+    hits = covered.select("doc_id", "twin", gone.alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    text = F.col("doc.text")
+    joined = rows.join(hits, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("twin")), "left")
+    lines = F.split(text, "\n")
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("gone")), lambda i: F.element_at(lines, i)), "\n")
+    return joined.select(
+        "doc",
+        F.when(F.col("gone").isNotNull(), left).otherwise(text).alias("text"),
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+    )
+
+
 def remove_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Take every run of ``width`` lines that stands earlier in the table (by doc_id, then line) out of its later places.
 
@@ -51,21 +70,5 @@ def remove_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     result. Null texts stay null and have 0 lines; documents without doc_id come first in the order. Every row and column
     of ``docs`` is kept, ``text`` changed; ``n_lines`` and ``n_removed`` are added (columns of these names are replaced).
     """
-    extra = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    slim = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    places = repeated_windows(_keyed(slim), width)
-    covered = places.groupBy("doc_id", "twin").agg(F.collect_set("at").alias("at"))
-    starts = covered.select(F.col("doc_id").alias("hit_id"), F.col("twin").alias("hit_twin"), F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (width - 1))))).alias("hit_lines"))
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.select(*extra).join(starts, docs["doc_id"].eqNullSafe(F.col("hit_id")) & (key == F.col("hit_twin")), "left")
-    lines = F.split("text", "\n")
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("hit_lines")), lambda i: F.element_at(lines, i)), "\n")
-    text: Column = F.when(F.col("hit_id").isNotNull() | F.col("hit_lines").isNotNull(), left).otherwise(F.col("text"))
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    out = joined.select(
-        *[F.col(c) for c in extra if c != "text"],
-        text.alias("text"),
-        count.cast("long").alias("n_lines"),
-        F.coalesce(F.size("hit_lines"), F.lit(0)).cast("long").alias("n_removed"),
-    )
-    return out.select(*extra, "n_lines", "n_removed")
+    own = [F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return edited_lines(docs, width).select(*own, "n_lines", "n_removed")

@@ -11,7 +11,7 @@ from ledgerlens.llm.components import connected_components
 from ledgerlens.llm.embedding_dedup import embedding_components, quantised, tile_links
 from ledgerlens.llm.line_dedup import remove_repeated_lines
 from ledgerlens.llm.simhash_dedup import block_masks, near_links, simhash_components, simhashes
-from ledgerlens.llm.suffix_dedup import anchors, longest_previous, previous_smaller, remove_repeats
+from ledgerlens.llm.suffix_dedup import contexts, longest_previous, previous_smaller, remove_repeats
 from tests.llm.frames import frame, prose
 
 
@@ -68,17 +68,21 @@ def test_a_crowded_filter_changes_nothing(spark):
     assert {r["doc_id"]: r["n_removed"] for r in found.collect()} == {k: v[1] for k, v in repeats_by_hand(rows).items()}
 
 
-def test_anchors_do_not_depend_on_chunks(monkeypatch):
+def test_contexts_hold_every_string_once(monkeypatch):
     r = random.Random(3)
-    rows = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 300))) for _ in range(20)]
+    rows = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 300))) for _ in range(20)] + [b"a" * 500]
     data, at = np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
-    spot, h = anchors(data, at, 20, 8)
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 97)
-    again, h2 = anchors(data, at, 20, 8)
-    assert (spot == again).all() and (h == h2).all()
-    for i in range(len(rows)):
-        for s in range(at[i], at[i + 1] - 19):
-            assert ((spot >= s) & (spot <= s + 12)).any()
+    found = []
+    for chunk in (1 << 20, 97):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        start, count, h = contexts(data, at, 20, 8)
+        assert count.max() <= 13
+        filed = [(s + k, anchor) for s, n, anchor in zip(start.tolist(), count.tolist(), h.tolist(), strict=True) for k in range(n)]
+        assert [s for s, _ in filed] == [s for i in range(len(rows)) for s in range(at[i], at[i + 1] - 19)]
+        found.append(filed)
+    assert found[0] == found[1]
+    by_string = {}
+    assert all(by_string.setdefault(bytes(data[s : s + 20]), anchor) == anchor for s, anchor in found[0])
 
 
 def test_longest_previous_factors():
@@ -163,7 +167,7 @@ def test_components_of_fingerprints(spark):
 
 def test_simhash_of_documents(spark):
     base = prose(5, 400)
-    rows = [(5, base), (3, base), (9, base.replace("stone", "stone ", 1)), (1, ""), (2, None), (4, " "), (7, prose(6, 400))]
+    rows = [(5, base), (3, base), (9, base.replace(" ", " \n", 1).upper()), (1, ""), (2, None), (4, " "), (7, prose(6, 400))]
     found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash_components(frame(spark, rows)).collect()}
     assert found[5] == (format(simhash_by_hand(base), "016x"), 3) and found[9][1] == 3 and found[7][1] == 7
     assert found[1] == found[2] == found[4] == ("0" * 16, 1)
