@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import materialized
 from ledgerlens.llm.decontaminate import contaminated
 from ledgerlens.llm.language_id import fit, identify
-from ledgerlens.llm.line_dedup import remove_repeated_lines
+from ledgerlens.llm.line_dedup import edited_lines
 from ledgerlens.llm.piece_codec import encode_documents
 from ledgerlens.llm.queries import table, vocabulary
 from ledgerlens.llm.simhash_dedup import simhash_components
@@ -24,12 +24,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document is judged by its text, its declared ``lang`` and its ``source``. Null, empty or letterless texts go.
     Repeated rows are judged alike and all stay or go; rows without doc_id are judged like any other.
     """
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select(F.col("doc_id"), key.alias("twin"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    rows = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("twin"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
     judged = identify(rows, ["doc_id", "twin"], *fit(docs))
-    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("twin").alias("bad_twin")).distinct()
-    rejected = materialized(rejected, "rejected")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (key == F.col("bad_twin")), "left_anti")
+    rejected = materialized(judged.where(~F.col("kept")).select("doc_id", "twin").distinct(), "rejected")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(F.col("doc.text"), F.lit(""))) == F.col("twin"))
+    return whole.join(rejected, same, "left_anti").select("doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +37,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` is counted again where a text changed. Null texts stay null, and texts that were empty before stay.
     """
-    edited = remove_repeated_lines(docs)
-    left = edited.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    count = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return (left.withColumn("n_chars", count) if count is not None else left).select(docs.columns)
+    left = edited_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    count = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("doc.n_chars"))
+    changed = {"text": F.col("text"), "n_chars": count}
+    return left.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
