@@ -31,36 +31,94 @@ FILE_OPTIONS = {
     "compression": "zstd",
 }
 
-
-def encode_words(texts: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+KNOWN_UNITS = 300_000
+
+
+def _separable(tokenizer) -> bool:
+    """Whether white space only separates words, and every word ends in a token of its own kind."""
+    parts = [tokenizer.encode(x, add_special_tokens=False).ids for x in ("ab cd\nab", "ab", "cd", " \n")]
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    return bool(suffix) and parts[0] == parts[1] + parts[2] + parts[1] and not parts[3]
+
+
+def _word_ends(tokenizer) -> np.ndarray:
+    """By id: whether the token ends a word."""
+    suffix, words = tokenizer.model.end_of_word_suffix, tokenizer.get_vocab()
+    ends = np.zeros(max(words.values()) + 1, bool)
+    ends[[i for token, i in words.items() if token.endswith(suffix)]] = True
+    return ends
+
+
+def _encode_units(units: list[str], plain: np.ndarray, tokenizer, ends: np.ndarray, known: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all units and the number of ids of each. ``plain`` units are one word each: these are encoded many at a time
+    and parted again at the tokens that end words. ``known`` remembers units, as bytes of their ids, for the next call."""
+    if len(known) > KNOWN_UNITS:
+        known.clear()
+    new = [u not in known for u in units]
+    words = [u for u, n, p in zip(units, new, plain.tolist(), strict=True) if n and p]
+    for low in range(0, len(words), 5_000):
+        take = words[low : low + 5_000]
+        texts = [" ".join(take[k : k + 50]) for k in range(0, len(take), 50)]
+        ids = np.fromiter((i for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids), np.int32)
+        stop = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(stop) != len(take) or stop[-1] != 4 * len(ids):
+            raise ValueError("the tokenizer does not end every word with a token of its own kind")
+        raw = ids.tobytes()
+        known.update((u, raw[i:j]) for u, i, j in zip(take, [0, *stop[:-1]], stop, strict=True))
+    others = [u for u, n, p in zip(units, new, plain.tolist(), strict=True) if n and not p]
+    for low in range(0, len(others), 5_000):
+        take = others[low : low + 5_000]
+        known.update((u, np.array(e.ids, np.int32).tobytes()) for u, e in zip(take, tokenizer.encode_batch_fast(take, add_special_tokens=False), strict=True))
+    found = [known[u] for u in units]
+    return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes spell an ASCII or Latin-1 letter."""
+    low = data | 0x20
+    letter = (low >= 0x61) & (low <= 0x7A)
+    pair = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    letter[:-1] |= pair
+    letter[1:] |= pair
+    return letter
+
+
+def encode_words(texts: pa.Array, tokenizer, ends: np.ndarray | None, known: dict[str, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of null-free texts and the offsets of each text's ids.
 
-    Texts are cut at single spaces and line feeds, which the tokenizer drops and no token crosses; each distinct word is
-    encoded once by the library.
+    With ``ends`` (see ``_word_ends``), texts are cut into units that no token crosses, and each distinct unit is encoded
+    once by the library: at spaces and line feeds, and between a letter and ASCII punctuation or digits, but not beside an
+    apostrophe. Without, the library encodes the texts whole.
     """
     data, at = string_parts(texts)
+    if ends is None:
+        coded = [e.ids for e in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter((i for c in coded for i in c), np.int32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
     gap = (data == 0x20) | (data == 0x0A)
-    solid = ~gap
-    start = solid.copy()
-    start[1:] &= gap[:-1]
-    edges = at[:-1][np.diff(at) > 0]
-    start[edges] = solid[edges]
+    letter = _letters(data)
+    start = ~gap
+    if len(data):
+        other = (data < 0x80) & ~letter & ~gap & (data != 0x27)
+        cut = (letter[:-1] & other[1:]) | (other[:-1] & letter[1:])
+        if b"<|" in data.tobytes():  # special tokens may be spelled out
+            cut[:] = False
+        start[1:] &= gap[:-1] | cut
+        first = at[:-1][np.diff(at) > 0]
+        start[first] = ~gap[first]
+    last = np.append(start[1:] | gap[1:], True) & ~gap if len(data) else start
+    last[at[1:][np.diff(at) > 0] - 1] = ~gap[at[1:][np.diff(at) > 0] - 1]
     starts = np.flatnonzero(start)
-    stop = solid
-    stop[:-1] &= gap[1:]
-    last = at[1:][np.diff(at) > 0] - 1
-    stop[last] = ~gap[last]
-    lengths = np.flatnonzero(stop) + 1 - starts
-    packed = data[ragged(starts, lengths)]
-    words = string_from(packed, np.concatenate([[0], np.cumsum(lengths)])).dictionary_encode()
-    index = words.indices.to_numpy(zero_copy_only=False)
-    coded = [e.ids for e in tokenizer.encode_batch_fast(words.dictionary.to_pylist(), add_special_tokens=False)]
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-    flat = np.fromiter((i for ids in coded for i in ids), np.int32, int(sizes.sum()))
-    first = np.cumsum(sizes) - sizes
-    per_word = sizes[index]
-    ids = flat[ragged(first[index], per_word)]
-    return ids, np.concatenate([[0], np.cumsum(per_word)])[np.searchsorted(starts, at)]
+    lengths = np.flatnonzero(last) + 1 - starts
+    coded = string_from(data[~gap], np.concatenate([[0], np.cumsum(lengths)])).dictionary_encode()
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    raw, raw_at = string_parts(coded.dictionary)
+    odd = np.concatenate([[0], np.cumsum(~_letters(raw))])
+    plain = odd[raw_at[1:]] == odd[raw_at[:-1]]
+    flat, sizes = _encode_units(coded.dictionary.to_pylist(), plain, tokenizer, ends, {} if known is None else known)
+    per_unit = sizes[index]
+    ids = flat[ragged((np.cumsum(sizes) - sizes)[index], per_unit)]
+    return ids, np.concatenate([[0], np.cumsum(per_unit)])[np.searchsorted(starts, at)]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, options: dict[str, str] | None = None) -> None:
@@ -73,14 +131,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, option
 
     from tokenizers import Tokenizer
 
-    shared = docs.sparkSession.sparkContext.broadcast(Tokenizer.from_file(tokenizer))  # fixed by the vocabulary
+    loaded = Tokenizer.from_file(tokenizer)
+    shared = docs.sparkSession.sparkContext.broadcast((loaded, _word_ends(loaded) if _separable(loaded) else None))  # fixed by the vocabulary
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        own = shared.value
+        own, ends = shared.value
+        known: dict[str, bytes] = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, at = encode_words(part.column("text"), own)
+                ids, at = encode_words(part.column("text"), own, ends, known)
                 n = len(at) - 1
                 out_at = at + np.arange(n + 1)
                 out = np.full(len(ids) + n, end_id, np.int32)
