@@ -1,10 +1,10 @@
 """Removal of repeated byte strings by longest-previous-factor arrays (operator 1).
 
-Every string of ``length`` bytes holds an anchor: the smallest hash of the k-grams in it. Equal strings have equal anchors,
-so it is enough to look around anchors that occur in two documents. What surrounds such an anchor in different documents
-(its contexts, equal ones merged) is gathered by anchor; over the contexts of a batch a suffix array is built, previous and
-next smaller documents in suffix order give the longest earlier match of every position, and matches of ``length`` bytes
-or more mark what goes.
+A string of ``length`` bytes is filed under its anchor, the smallest hash of the k-grams in it, so equal strings are filed
+together. Strings that start one after the other and have the same anchor are handled as one context. Contexts of anchors
+that occur in two documents are compared: a context that a smaller document holds as well goes whole; where an anchor has
+several contexts, a suffix array is built over them, previous and next smaller documents in suffix order give the longest
+earlier match of every position, and matches of ``length`` bytes mark what goes.
 """
 
 from __future__ import annotations
@@ -44,14 +44,16 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(values[: len(values) - (width - reach)], values[width - reach :]) if width > reach else values
 
 
-def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all strings of ``length`` bytes that lie within one row.
+def contexts(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, strings, anchor hash) of runs of strings of ``length`` bytes with one anchor, within one row each.
 
-    Works through the bytes in chunks that overlap, so memory does not grow with a row.
+    Every string that lies within a row is in exactly one run; a run has no more strings than an anchor has places. Works
+    through the bytes in chunks that overlap, so memory does not grow with a row.
     """
     width = length - gram + 1
-    up, down = _powers(BASE, CHUNK + length), _powers(INVERSE, CHUNK + length)
-    found, hashes = [], []
+    n_up = min(CHUNK, max(len(data), 1)) + length
+    up, down = _powers(BASE, n_up), _powers(INVERSE, n_up)
+    starts, counts, hashes = [], [], []
     for a in range(0, max(len(data) - length + 1, 0), CHUNK):
         part = data[a : a + CHUNK + length - 1]
         n = len(part)
@@ -62,19 +64,31 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
         h *= np.uint64(MIX)
         h ^= h >> np.uint64(29)
         least = _sliding(h, width, np.minimum)  # of the string that starts here
+        whole = np.ones(len(least), bool)
         edges = at[np.searchsorted(at, a, "right") : np.searchsorted(at, a + n, "left")] - a
-        for shift_low, shift_high in zip(np.maximum(edges - length + 1, 0), edges, strict=True):
-            least[shift_low:shift_high] = 0  # strings across rows have no anchor
-        wall = np.zeros(width - 1, np.uint64)
-        most = _sliding(np.concatenate([wall, least, wall]), width, np.maximum)
-        spot = np.flatnonzero(most == h)
-        found.append(spot + a)
-        hashes.append(h[spot])
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    spot, h = np.concatenate(found), np.concatenate(hashes)
-    spot, first = np.unique(spot, return_index=True)
-    return spot, h[first]
+        for low, high in zip(np.maximum(edges - length + 1, 0).tolist(), edges.tolist(), strict=True):
+            whole[low:high] = False  # strings across rows
+        opens = whole.copy()
+        opens[1:] &= (least[1:] != least[:-1]) | ~whole[:-1]
+        start = np.flatnonzero(opens)
+        shut = ~whole
+        shut |= opens
+        ends = np.append(np.flatnonzero(shut), len(least))
+        size = ends[np.searchsorted(ends, start, "right")] - start
+        pieces = -(-size // width)  # a long run, as of one repeated byte, is cut
+        if (pieces > 1).any():
+            order = ragged(np.zeros(len(start), np.int64), pieces)
+            start, size, pieces = np.repeat(start, pieces), np.repeat(size, pieces), None
+            start, size = start + order * width, np.minimum(size - order * width, width)
+        m = least[start]
+        m ^= m >> np.uint64(33)  # smallest hashes crowd together: spread them again, one to one
+        m *= np.uint64(BASE)
+        m ^= m >> np.uint64(31)
+        starts.append(start + a)
+        counts.append(size)
+        hashes.append(m)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *starts]), np.concatenate([none, *counts]), np.concatenate([none.astype(np.uint64), *hashes])
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
@@ -198,7 +212,7 @@ def _shared_filter(texts: DataFrame, total_bytes: int, length: int, gram: int, b
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 data, at = string_parts(part.column("text"))
-                spot, h = anchors(data, at, length, gram)
+                spot, _, h = contexts(data, at, length, gram)
                 order = np.argsort(h)
                 h, row = h[order], (np.searchsorted(at, spot, "right") - 1)[order]
                 first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
@@ -229,37 +243,104 @@ def _shared_filter(texts: DataFrame, total_bytes: int, length: int, gram: int, b
     return _assembled(rows.groupBy("bucket").applyInArrow(merge, "bucket int, bits binary"), fold, bits)
 
 
-def _places(texts: DataFrame, marks: np.ndarray, length: int, gram: int, bits: int, with_context: bool) -> DataFrame:
-    """Anchors that pass a filter: (h, doc_id, alt, start, size) of their context, far enough for every string that holds
-    the anchor, with a digest ``k`` of its bytes or with the bytes ``seg`` themselves."""
+def _sliced(part: pa.RecordBatch, marks: np.ndarray, length: int, gram: int, bits: int) -> tuple:
+    """Contexts of a slice whose anchors pass the filter, ordered by anchor, digest and doc_id: (h, k, row, start, size),
+    the bytes with their offsets, and the first one of each anchor and digest."""
+    import xxhash
+
+    data, at = string_parts(part.column("text"))
+    spot, count, h = contexts(data, at, length, gram)
+    kept = _passes(marks, h, bits)
+    spot, h, size = spot[kept], h[kept].view(np.int64), count[kept] + length - 1
+    view = memoryview(data)
+    k = np.fromiter((xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(spot.tolist(), (spot + size).tolist(), strict=True)), np.uint64, len(spot)).view(np.int64)
+    row = np.searchsorted(at, spot, "right") - 1
+    doc = part.column("doc_id").to_numpy()[row]
+    order = np.lexsort((doc, k, h))
+    h, k, row, spot, size, doc = (x[order] for x in (h, k, row, spot, size, doc))
+    fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])]) if len(h) else np.empty(0, bool)
+    lead = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
+    return h, k, row, spot - at[row], size, data, spot, doc > doc[lead]
+
+
+def _packed_spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One number for a start and a size below 65,536."""
+    return (start << 16) | size
+
+
+def _whole_contexts(texts: DataFrame, marks: np.ndarray, length: int, gram: int, bits: int) -> DataFrame:
+    """Rows (doc_id, alt, span) of contexts that a smaller document holds as well, and rows (h, n, several) on anchors:
+    how many contexts there are and whether they differ.
+
+    Within a slice, contexts behind the first of their kind are settled at once, so a context of very many documents
+    reaches the shuffle once for each slice. Each task then streams through its contexts in order and holds none.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(marks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                h, k, row, start, size, _, _, settled = _sliced(part, shared.value, length, gram, bits)
+                spread = np.where(settled, (start * 0x9E3779B1) ^ h, h)
+                take = pa.array(row)
+                columns = [pa.array(spread), pa.array(k), pa.array(settled), part.column("doc_id").take(take), part.column("alt").take(take), pa.array(_packed_spans(start, size))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "k", "settled", "doc_id", "alt", "span"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h0 = k0 = first0 = None
+        for batch in batches:
+            h, k, settled, doc, alt, span = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield _answer(doc[settled], alt[settled], span[settled])
+            h, k, doc, alt, span = (x[~settled] for x in (h, k, doc, alt, span))
+            if len(h):
+                new_h = np.concatenate([[h0 is None or h[0] != h0], h[1:] != h[:-1]])
+                new = new_h | np.concatenate([[h0 is None or k[0] != k0], k[1:] != k[:-1]])
+                lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+                first = np.where(lead < 0, first0 or 0, doc[lead])
+                gone = doc > first
+                yield _answer(doc[gone], alt[gone], span[gone])
+                head = np.flatnonzero(new_h)
+                head = head if len(head) and head[0] == 0 else np.concatenate([[0], head])
+                n = np.diff(np.append(head, len(h)))
+                several = np.add.reduceat((new & ~new_h).astype(np.int64), head) > 0
+                told = several.copy()
+                told[0] = told[-1] = True  # these anchors may go on in another batch
+                yield _told(h[head][told], n[told], several[told])
+                h0, k0, first0 = h[-1], k[-1], int(first[-1])
+
+    def _answer(doc: np.ndarray, alt: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(doc), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none.cast(pa.bool_()), pa.array(doc), pa.array(alt), pa.array(span)], names=names)
+
+    def _told(h: np.ndarray, n: np.ndarray, several: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(h), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), pa.array(several), none, none, none], names=names)
+
+    names = ["h", "n", "several", "doc_id", "alt", "span"]
+    rows = texts.mapInArrow(split, "h long, k long, settled boolean, doc_id long, alt long, span long")
+    dealt = rows.repartition(shuffle_parts(texts), "h").sortWithinPartitions("h", "k", "doc_id")
+    return dealt.mapInArrow(stream, "h long, n long, several boolean, doc_id long, alt long, span long")
+
+
+def _context_bytes(texts: DataFrame, marks: np.ndarray, length: int, gram: int, bits: int) -> DataFrame:
+    """(h, doc_id, alt, start, seg): bytes of the contexts that pass the filter, each kind once for a slice."""
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                data, at = string_parts(part.column("text"))
-                spot, h = anchors(data, at, length, gram)
-                kept = _passes(shared.value, h, bits)
-                spot, h = spot[kept], h[kept]
-                row = np.searchsorted(at, spot, "right") - 1
-                low, high = np.maximum(spot - (length - gram), at[row]), np.minimum(spot + length, at[row + 1])
-                if with_context:
-                    last = string_from(data[ragged(low, high - low)], np.concatenate([[0], np.cumsum(high - low)]), pa.binary())
-                else:
-                    view = memoryview(data)
-                    last = pa.array(np.fromiter((xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(low.tolist(), high.tolist(), strict=True)), np.uint64, len(low)).view(np.int64))
+                h, _, row, start, size, data, spot, settled = _sliced(part, shared.value, length, gram, bits)
+                kept = ~settled
+                h, row, start, size, spot = h[kept], row[kept], start[kept], size[kept], spot[kept]
                 take = pa.array(row)
-                columns = [pa.array(h.view(np.int64)), part.column("doc_id").take(take), part.column("alt").take(take), pa.array(low - at[row]), pa.array((high - low).astype(np.int32)), last]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "doc_id", "alt", "start", "size", "seg" if with_context else "k"])
+                segments = string_from(data[ragged(spot, size)], np.concatenate([[0], np.cumsum(size)]), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h), part.column("doc_id").take(take), part.column("alt").take(take), pa.array(start), segments], names=["h", "doc_id", "alt", "start", "seg"])
 
-    schema = "h long, doc_id long, alt long, start long, size int, " + ("seg binary" if with_context else "k long")
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(run, "h long, doc_id long, alt long, start long, seg binary")
 
 
-def _by_factors(contexts: DataFrame, length: int) -> DataFrame:
-    """Intervals (doc_id, alt, start, stop) that longest previous factors of ``length`` bytes cover."""
+def _by_factors(found: DataFrame, length: int) -> DataFrame:
+    """Rows (doc_id, alt, span) of what longest previous factors of ``length`` bytes cover."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         owner, alt, start = (table.column(c).to_numpy() for c in ("doc_id", "alt", "start"))
@@ -270,8 +351,8 @@ def _by_factors(contexts: DataFrame, length: int) -> DataFrame:
         opens = np.concatenate([[True], (row[1:] != row[:-1]) | (hit[1:] - hit[:-1] > length)]) if len(hit) else np.empty(0, bool)
         closes = np.append(opens[1:], True) if len(hit) else opens
         row, low, high = row[opens], hit[opens], hit[closes] + length
-        shift = start[row] - at[row]
-        return pa.RecordBatch.from_arrays([pa.array(owner[row]), pa.array(alt[row]), pa.array(low + shift), pa.array(high + shift)], names=["doc_id", "alt", "start", "stop"])
+        span = _packed_spans(start[row] + low - at[row], high - low)
+        return pa.RecordBatch.from_arrays([pa.array(owner[row]), pa.array(alt[row]), pa.array(span)], names=["doc_id", "alt", "span"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -285,17 +366,18 @@ def _by_factors(contexts: DataFrame, length: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield solve(held)
 
-    dealt = contexts.select("h", "doc_id", "alt", "start", "seg").repartition(shuffle_parts(contexts), "h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, "doc_id long, alt long, start long, stop long")
+    dealt = found.repartition(shuffle_parts(found), "h").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, "doc_id long, alt long, span long")
 
 
-def _by_strings(contexts: DataFrame, length: int) -> DataFrame:
+def _by_strings(found: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many contexts, which would make one task large: strings are dealt out by content."""
-    placed = contexts.where(F.col("size") >= length).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("size") - length)))
+    placed = found.withColumn("o", F.explode(F.sequence(F.lit(0), F.octet_length("seg") - length)))
     cut = F.substring("seg", F.col("o") + 1, F.lit(length))
     strings = placed.select("doc_id", "alt", (F.col("start") + F.col("o")).alias("start"), F.xxhash64(cut).alias("s1"), F.xxhash64(F.lit(1), cut).alias("s2"))
     least = strings.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
-    return strings.join(least, ["s1", "s2"]).where("doc_id > least").select("doc_id", "alt", "start", (F.col("start") + length).alias("stop"))
+    span = F.shiftleft("start", 16) + length
+    return strings.join(least, ["s1", "s2"]).where("doc_id > least").select("doc_id", "alt", span.alias("span"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = FILTER_BITS, crowd: int = CROWD, keep_bytes: bool = True) -> DataFrame:
@@ -307,8 +389,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits
     nor changed. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_bytes``, kept (the remaining
     bytes).
     """
-    if not 8 <= gram < length or length < 16:
-        raise ValueError("an anchor has at least 8 bytes and is shorter than the string, which has at least 16")
+    if not 8 <= gram < length or not 16 <= length < 1 << 15:
+        raise ValueError("an anchor has at least 8 bytes and is shorter than the string, which has 16 to 32,767")
     base = clean_texts(docs).withColumn("twin", F.xxhash64("text"))
     marks = materialized(base.where("doc_id IS NOT NULL").select("doc_id", "twin", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").alias("n")), "marks")
     firsts = marks.groupBy("sha").agg(F.min("doc_id").alias("first"))
@@ -324,21 +406,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits
     texts = noted.where("doc_id IS NOT NULL AND NOT copy").select("doc_id", "alt", "text")
 
     shared = _shared_filter(texts, total, length, gram, bits)
-    places = materialized(_places(texts, shared, length, gram, bits, with_context=False), "places")
-    stats = places.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("k").alias("k_low"), F.max("k").alias("k_high"), F.count(F.lit(1)).alias("n"))
-    stats = materialized(stats.where("first < last"), "anchors")
-    several = stats.where("k_low <> k_high")
-    counts = several.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > crowd, 1))).first()
-    # An anchor with one context: all that its first document has of it goes from the others.
-    whole = places.join(stats.where("k_low = k_high").select("h", "first"), "h").where((F.col("doc_id") > F.col("first")) & (F.col("size") >= length))
-    covered = whole.select("doc_id", "alt", "start", (F.col("start") + F.col("size")).alias("stop"))
+    first_look = materialized(_whole_contexts(texts, shared, length, gram, bits), "contexts")
+    covered = first_look.where("span IS NOT NULL").select("doc_id", "alt", "span")
+    anchors = first_look.where("h IS NOT NULL").groupBy("h").agg(F.sum("n").alias("n"), F.max("several").alias("several")).where("several")
+    anchors = materialized(anchors.select("h", "n"), "anchors")
+    counts = anchors.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > crowd, 1))).first()
     if counts[0] > counts[1]:
-        marked = _hash_filter(several.where(F.col("n") <= crowd).select("h"), counts[0], bits)
-        covered = covered.unionAll(_by_factors(_places(texts, marked, length, gram, bits, with_context=True), length))
+        marked = _hash_filter(anchors.where(F.col("n") <= crowd).select("h"), counts[0], bits)
+        covered = covered.unionAll(_by_factors(_context_bytes(texts, marked, length, gram, bits), length))
     if counts[1]:
-        marked = _hash_filter(several.where(F.col("n") > crowd).select("h"), counts[1], bits)
-        covered = covered.unionAll(_by_strings(_places(texts, marked, length, gram, bits, with_context=True), length))
-    lists = covered.groupBy("doc_id", "alt").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+        marked = _hash_filter(anchors.where(F.col("n") > crowd).select("h"), counts[1], bits)
+        covered = covered.unionAll(_by_strings(_context_bytes(texts, marked, length, gram, bits), length))
+    lists = covered.groupBy("doc_id", "alt").agg(F.collect_list("span").alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,11 +427,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits
             for i in range(batch.num_rows):
                 own = data[at[i] : at[i + 1]]
                 gone = np.full(len(own), copy[i] and len(own) >= length)
-                starts = batch.column("starts")[i].values
-                if starts is not None:
-                    change = np.zeros(len(own) + 1, np.int64)
-                    np.add.at(change, starts.to_numpy(), 1)
-                    np.add.at(change, batch.column("stops")[i].values.to_numpy(), -1)
+                spans = batch.column("spans")[i].values
+                if spans is not None:
+                    spans = spans.to_numpy()
+                    change = np.bincount(spans >> 16, minlength=len(own) + 1) - np.bincount((spans >> 16) + (spans & 0xFFFF), minlength=len(own) + 1)
                     gone |= np.cumsum(change[:-1]) > 0
                 kept = own[~gone].tobytes()
                 n_removed.append(len(own) - len(kept))
@@ -367,5 +445,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
-    joined = noted.join(lists, ["doc_id", "alt"], "left").select("doc_id", "text", "copy", "starts", "stops")
+    joined = noted.join(lists, ["doc_id", "alt"], "left").select("doc_id", "text", "copy", "spans")
     return joined.mapInArrow(cut, schema)
