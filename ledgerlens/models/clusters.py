@@ -100,6 +100,8 @@ def fit_kmodes(df: DataFrame, columns: Sequence[str], k: int, starts: int = 5, s
                 best[r] = (cost, modes)
                 runs[r] = modes
     combos.unpersist()
+    if active:
+        raise ArithmeticError(f"the modes still improve after {steps} steps")
     cost, modes = min(best.values(), key=lambda x: x[0])
     return modes, int(cost)
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.order_stats import ROWS_PER_TASK, quantiles, values_at_ranks
+from ledgerlens.operators.order_stats import ROWS_PER_TASK, quantiles, with_position
 
 
 class DuplicateEdges(ValueError):
@@ -55,31 +55,29 @@ def quantile_bins(df: DataFrame, value: str, bins: int, labels: Sequence | None
 def first_rank_bins(
     df: DataFrame, value: str, key: str, bins: int, rows: int | None = None, rows_per_task: int = ROWS_PER_TASK
 ) -> Column:
-    """Bins of the rank of ``value`` with ties broken by ``key`` ascending (key numeric and unique, no nulls).
+    """Bins of the rank of ``value`` with ties broken by ``key`` ascending (key unique); null values rank last.
 
     Up to ``rows_per_task`` rows are ranked by a window. Beyond, the last row of every bin is found as a pair
-    (value, key); comparing with those few pairs needs neither a sort nor a shuffle of the rows, and stays even when one
-    value is carried by most of them.
+    (value, key), in the columns' own types; comparing with those few pairs needs neither a sort nor a shuffle of the rows,
+    and stays even when one value is carried by most of them.
     """
     n = df.count() if rows is None else rows
     if n <= 1:
         return F.lit(1)
     if n <= rows_per_task:
-        rank = F.row_number().over(Window.orderBy(value, key)).cast("long")
+        rank = F.row_number().over(Window.orderBy(F.col(value).asc_nulls_last(), F.col(key).asc_nulls_last())).cast("long")
         return F.greatest(F.lit(1), F.ceil((rank - 1) * F.lit(bins) / F.lit(n - 1))).cast("int")
     last_rank = [1 + ((n - 1) * k) // bins for k in range(1, bins)]  # 1-based rank of the last row in bin k
-    values = values_at_ranks(df, value, sorted({r - 1 for r in last_rank}), n)
-    needed = sorted(set(values.values()))
-    below = df.agg(*[F.count_if(F.col(value) < F.lit(v)).alias(f"b{i}") for i, v in enumerate(needed)]).first()
-    keys: dict[int, float] = {}
-    for i, v in enumerate(needed):
-        inner = {r: r - 1 - below[f"b{i}"] for r in last_rank if values[r - 1] == v}
-        at = values_at_ranks(df.filter(F.col(value) == F.lit(v)), key, sorted(set(inner.values())))
-        keys.update({r: at[position] for r, position in inner.items()})
+    pairs = df.select(F.col(value).alias("_v"), F.col(key).alias("_k"))
+    placed = with_position(pairs, [("_v", False), ("_k", False)], "_position", rows_per_task=rows_per_task)
+    ends = {r["_position"]: r for r in placed.filter(F.col("_position").isin(last_rank)).collect()}
     result = None
-    for k, r in enumerate(last_rank, start=1):
-        v, last_key = values[r - 1], keys[r]
-        upto = (F.col(value) < F.lit(v)) | ((F.col(value) == F.lit(v)) & (F.col(key) <= F.lit(last_key)))
+    for k, rank in enumerate(last_rank, start=1):
+        v, last_key = F.lit(ends[rank]["_v"]).cast(df.schema[value].dataType), F.lit(ends[rank]["_k"]).cast(df.schema[key].dataType)
+        if ends[rank]["_v"] is None:
+            upto = F.col(value).isNotNull() | (F.col(key) <= last_key)
+        else:
+            upto = (F.col(value) < v) | ((F.col(value) == v) & (F.col(key) <= last_key))
         result = F.when(upto, F.lit(k)) if result is None else result.when(upto, F.lit(k))
     return result.otherwise(F.lit(bins))
 

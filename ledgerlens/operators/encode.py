@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.order_stats import quantiles
+from ledgerlens.operators.order_stats import quantiles, with_position
 from ledgerlens.operators.profile import is_text, long_values
-from ledgerlens.session import small_side
+from ledgerlens.session import reused, small_side
 
 MAX_LEVELS = 10_000
 
 
 def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted values of categorical columns. Refuses columns whose values would not fit into a plan."""
+    """Sorted values of categorical columns that become columns of their own: a plan can't hold more than thousands."""
     if not columns:
         return {}
     pairs = long_values(df, columns).filter(F.col("value").isNotNull()).distinct()
@@ -24,7 +24,7 @@ def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     for r in found:
         result[r["column"]].append(r["value"])
     if len(found) > MAX_LEVELS * len(columns) or any(len(v) > MAX_LEVELS for v in result.values()):
-        raise ValueError("too many levels for one-hot or label columns; encode rare levels first")
+        raise ValueError("too many levels for a column each; encode rare levels first, or use label codes")
     return {c: sorted(v) for c, v in result.items()}
 
 
@@ -42,16 +42,17 @@ def one_hot(df: DataFrame, columns: Sequence[str] | None = None, drop_first: boo
 
 
 def label_encoded(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Alphabetical code 0, 1, ... of each level."""
-    found = levels(df, columns)
-    edited = {}
+    """Alphabetical code 0, 1, ... of each level; null stays null. Any number of levels: codes are positions of the
+    distinct values, looked up by a join."""
+    if not columns:
+        return df
+    pairs = reused(long_values(df, columns).filter(F.col("value").isNotNull()).distinct())
+    coded = with_position(pairs, [("value", False)], "code", ["column"]).withColumn("code", (F.col("code") - 1).cast("int"))
+    coded = reused(coded)
     for c in columns:
-        codes = F.lit(None).cast("int")
-        if found[c]:
-            # position in the sorted list, null for null
-            codes = F.nullif(F.array_position(F.array(*[F.lit(x) for x in found[c]]), F.col(c)), F.lit(0)) - 1
-        edited[c] = codes.cast("int")
-    return df.withColumns(edited)
+        own = coded.filter(F.col("column") == c).select(F.col("value").alias(f"_{c}"), F.col("code").alias(f"_code_{c}"))
+        df = df.join(small_side(own), F.col(c).cast("string") == F.col(f"_{c}"), "left")
+    return df.select(*[F.col(f"_code_{c}").alias(c) if c in columns else F.col(c) for c in df.columns if not c.startswith(tuple(f"_{k}" for k in ("code_", *columns)))])
 
 
 def rare_encoded(df: DataFrame, share: float, columns: Sequence[str] | None = None, name: str = "Rare") -> DataFrame:

@@ -2,8 +2,8 @@
 
 ``percentile`` keeps one counter per distinct value in a single final task. That is right while the number of distinct
 values is known to be small, so it is measured first; beyond the limit the wanted ranks are found by narrowing
-intervals with approximate sketches and exact counts. Positions and running sums are computed per value range, with
-the totals of the earlier ranges added.
+intervals with approximate sketches and exact counts. Positions and running sums are computed per range of rows, with
+the totals of the earlier ranges added. Limits on rows choose a plan, never a result.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerlens.session import materialized
 
 DIRECT_ROWS = 1_000_000
 DIRECT_DISTINCT = 10_000
@@ -129,18 +131,17 @@ def _selected(
 
 
 def _list_small(df: DataFrame, intervals: Sequence[_Interval], found: dict[str, dict[int, float]]) -> None:
+    """Settle intervals of ``COLLECT_ROWS`` rows at most: their distinct values are counted and added up in order, and the
+    values at the wanted ranks alone come to the driver."""
     cells = [F.when(p.inside(), F.struct(F.lit(i).alias("i"), F.col(p.column).cast("double").alias("v"))) for i, p in enumerate(intervals)]
     listed = df.select(F.explode(F.array(*cells)).alias("e")).filter(F.col("e").isNotNull())
     counted = listed.groupBy(F.col("e.i").alias("i"), F.col("e.v").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    values: dict[int, list[tuple[float, int]]] = {}
-    for r in counted.collect():
-        values.setdefault(r["i"], []).append((r["v"], r["c"]))
-    for i, p in enumerate(intervals):
-        reached, waiting = p.below, list(p.wanted)
-        for v, c in sorted(values.get(i, [])):
-            reached += c
-            while waiting and waiting[0] < reached:
-                found[p.column][waiting.pop(0)] = v
+    upto = F.sum("c").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    wanted = F.element_at(F.array(*[F.array(*[F.lit(r - p.below) for r in p.wanted]) for p in intervals]), F.col("i") + 1)
+    hits = counted.withColumn("upto", upto).select("i", "v", F.filter(wanted, lambda r: (r >= F.col("upto") - F.col("c")) & (r < F.col("upto"))).alias("ranks"))
+    for r in hits.filter(F.size("ranks") > 0).collect():
+        p = intervals[r["i"]]
+        found[p.column].update({p.below + rank: r["v"] for rank in r["ranks"]})
 
 
 def _narrowed(df: DataFrame, intervals: Sequence[_Interval], found: dict[str, dict[int, float]]) -> list[_Interval]:
@@ -187,46 +188,19 @@ def _strictly_between(value: Column, low, high) -> Column:
     return condition
 
 
-def _range_keys(df: DataFrame, order: Sequence[tuple[str, bool]], n: int, rows_per_task: int) -> DataFrame:
-    """Add ``_range`` and ``_part``: keys that follow ``order``, each holding about ``rows_per_task`` rows.
+def _ordering(order: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in order]
 
-    ``_range`` comes from the first order column. A value so common that it repeats among the splitters gets a range of
-    its own, which the last order column splits further into ``_part``.
-    """
-    first, first_desc = order[0]
-    last, last_desc = order[-1]
-    parts = min(10_000, max(2, math.ceil(2 * n / rows_per_task)))
-    probs = [i / parts for i in range(1, parts)]
-    both = df.agg(
-        F.percentile_approx(F.col(first).cast("double"), probs, 20 * parts).alias("first"),
-        F.percentile_approx(F.col(last).cast("double"), probs, 20 * parts).alias("last"),
-    ).first()
-    cut = list(both["first"] or [])
-    hot = {v for v in cut if cut.count(v) > 1} if len(cut) < 2000 else {a for a, b in zip(cut, cut[1:]) if a == b}
-    points = sorted(set(cut) | {math.nextafter(v, math.inf) for v in hot})
-    keyed = df.withColumn("_first", F.col(first).cast("double")).withColumn("_last", F.col(last).cast("double"))
-    keyed = _bucketed(keyed, "_first", "_range", points)
-    keyed = _bucketed(keyed, "_last", "_part", sorted(set(both["last"] or [])))
-    hot_ranges = [float(points.index(v) + 1) for v in hot]
-    split = F.col("_range").isin(hot_ranges) if hot_ranges and len(order) > 1 else F.lit(False)
-    range_key = -F.col("_range") if first_desc else F.col("_range")
-    part_key = -F.col("_part") if last_desc else F.col("_part")
-    return (
-        keyed.withColumn("_part", F.when(split, part_key).otherwise(F.lit(0.0)))
-        .withColumn("_range", F.when(F.col("_first").isNull(), F.lit(math.inf)).otherwise(range_key))  # nulls last
-        .drop("_first", "_last")
-    )
-
-
-def _bucketed(df: DataFrame, column: str, name: str, points: Sequence[float]) -> DataFrame:
-    splits = [-math.inf, *[p for p in points if math.isfinite(p)], math.inf]
-    if len(splits) < 3:
-        return df.withColumn(name, F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
 
+def _ranged(df: DataFrame, order: Sequence[tuple[str, bool]], by: Sequence[str], n: int, rows_per_task: int) -> DataFrame:
+    """``df`` in ascending ranges of (by, order), written with the number of each row's range as ``_range``.
 
-def _ordering(order: Sequence[tuple[str, bool]]) -> list[Column]:
-    return [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in order]
+    Ranges are cut by sampled rows of all these columns in their own types, so neither a common value nor the nulls of
+    one column share a task, as long as the last column tells rows apart.
+    """
+    parts = max(2, math.ceil(2 * n / rows_per_task), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(parts, *[F.col(c).asc_nulls_last() for c in by], *_ordering(order))
+    return materialized(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def with_position(
@@ -236,27 +210,23 @@ def with_position(
     by: Sequence[str] = (),
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """1-based position of every row under ``order`` (column, descending?), overall or within ``by``.
+    """1-based position of every row under ``order`` (column, descending?), overall or within ``by``; nulls come last.
 
-    The last order column must be unique (within ``by``). Give a persisted frame: it is read more than once.
+    The last order column must be unique (within ``by``). Columns are compared in their own types. ``rows_per_task``
+    changes the plan alone. Give a persisted frame: it is read more than once.
     """
     n = df.count()
     by = list(by)
     if n <= rows_per_task:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*_ordering(order))).cast("long"))
-    keyed = _range_keys(df, order, n, rows_per_task)
-    keys = [*by, "_range", "_part"]
-    earlier = Window.partitionBy(*by).orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
-    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*_ordering(order)))
-    placed = keyed.withColumn(name, within)
+    ranged = _ranged(df, order, by, n, rows_per_task)
+    keys = [*by, "_range"]
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = offsets.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    placed = ranged.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*_ordering(order))))
     joined = _null_safe_join(placed, offsets, keys)
-    return joined.withColumn(name, (F.col(name) + F.col("_offset")).cast("long")).drop("_range", "_part", "_offset")
+    return joined.withColumn(name, (F.col(name) + F.col("_offset")).cast("long")).drop("_range", "_offset")
 
 
 def with_running_sum(
@@ -272,18 +242,27 @@ def with_running_sum(
     if n <= rows_per_task:
         upto = Window.partitionBy(*by).orderBy(*_ordering(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({new: F.sum(old).over(upto) for old, new in sums.items()})
-    keyed = _range_keys(df, order, n, rows_per_task)
-    keys = [*by, "_range", "_part"]
-    earlier = Window.partitionBy(*by).orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy(*keys).agg(*[F.sum(old).alias(f"_t_{new}") for old, new in sums.items()])
+    ranged = _ranged(df, order, by, n, rows_per_task)
+    keys = [*by, "_range"]
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*keys).agg(*[F.sum(old).alias(f"_t_{new}") for old, new in sums.items()])
     offsets = offsets.withColumns(
         {f"_o_{new}": F.coalesce(F.sum(f"_t_{new}").over(earlier), F.lit(0)) for new in sums.values()}
     ).select(*keys, *[f"_o_{new}" for new in sums.values()])
     upto = Window.partitionBy(*keys).orderBy(*_ordering(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = keyed.withColumns({new: F.sum(old).over(upto) for old, new in sums.items()})
+    placed = ranged.withColumns({new: F.sum(old).over(upto) for old, new in sums.items()})
     joined = _null_safe_join(placed, offsets, keys)
-    joined = joined.withColumns({new: F.col(new) + F.col(f"_o_{new}") for new in sums.values()})
-    return joined.drop("_range", "_part", *[f"_o_{new}" for new in sums.values()])
+    kinds = {new: placed.schema[new].dataType for new in sums.values()}
+    joined = joined.withColumns({new: _added(F.col(new), F.col(f"_o_{new}"), kind) for new, kind in kinds.items()})
+    return joined.drop("_range", *[f"_o_{new}" for new in sums.values()])
+
+
+def _added(a: Column, b: Column, kind: T.DataType) -> Column:
+    """The sum in the type of both. Decimals of full precision give up a leading digit, so that no last one is lost."""
+    if isinstance(kind, T.DecimalType) and kind.precision == 38:
+        shorter = T.DecimalType(37, kind.scale)
+        return (a.cast(shorter) + b.cast(shorter)).cast(kind)
+    return (a + b).cast(kind)
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

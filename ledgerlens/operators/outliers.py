@@ -71,13 +71,9 @@ def outlier_check(df: DataFrame, columns: Sequence[str], probabilities: tuple[fl
     return flags.select(F.inline(rows))
 
 
-def outlier_rows(df: DataFrame, column: str, probabilities: tuple[float, float] = TABULAR_QUANTILES, order: Sequence[str] = (), many: int = 10, shown: int = 5) -> DataFrame:
-    """The report of outlier rows: all of them, or the first ``shown`` by ``order`` when there are more than ``many``."""
-    limits = fences(df, [column], probabilities)
-    rows = df.filter(beyond(column, limits))
-    if rows.limit(many + 1).count() > many:
-        return rows.orderBy(*order).limit(shown)
-    return rows
+def outlier_rows(df: DataFrame, column: str, probabilities: tuple[float, float] = TABULAR_QUANTILES) -> DataFrame:
+    """All rows with an outlier in ``column``; a head for display is the caller's ``orderBy`` and ``limit``."""
+    return df.filter(beyond(column, fences(df, [column], probabilities)))
 
 
 def outlier_keys(df: DataFrame, column: str, key: str, probabilities: tuple[float, float] = TABULAR_QUANTILES) -> DataFrame:

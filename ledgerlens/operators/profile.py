@@ -59,10 +59,6 @@ def table_profile(df: DataFrame, probabilities: Sequence[float] = PROFILE_QUANTI
     return long_report(counted, entries)
 
 
-def column_types(df: DataFrame) -> list[tuple[str, str]]:
-    return list(df.dtypes)
-
-
 def null_counts(df: DataFrame) -> DataFrame:
     """Nulls and present values per column: ``(column, nulls, present)``."""
     counted = df.agg(*[F.count_if(~_present(df, c)).alias(f"n_{i}") for i, c in enumerate(df.columns)], F.count(F.lit(1)).alias("_rows"))
@@ -122,12 +118,12 @@ def column_groups(df: DataFrame, category_below: int = 10, cardinal_above: int =
     Text with more than ``cardinal_above`` values is high-cardinality, other text categorical; a non-text column with
     fewer than ``category_below`` values counts as categorical too.
     """
-    counts = distinct_counts(df, exact_below=20 * max(category_below, cardinal_above))
+    counts = few_distinct(df, max(category_below, cardinal_above))
     groups = ColumnGroups()
     for c in df.columns:
         if is_text(df, c):
-            (groups.high_cardinality if counts[c] > cardinal_above else groups.category).append(c)
-        elif counts[c] < category_below:
+            (groups.high_cardinality if counts[c] is None or counts[c] > cardinal_above else groups.category).append(c)
+        elif counts[c] is not None and counts[c] < category_below:
             groups.number_as_category.append(c)
         else:
             groups.number.append(c)
@@ -135,19 +131,23 @@ def column_groups(df: DataFrame, category_below: int = 10, cardinal_above: int =
     return groups
 
 
-def distinct_counts(df: DataFrame, exact_below: int = 400) -> dict[str, int]:
-    """Distinct values per column, nulls left out: exact where a sketch finds at most ``exact_below``, else the sketch.
+def distinct_counts(df: DataFrame, approx: bool = False) -> dict[str, int]:
+    """Distinct values per column, nulls left out: exact, or all of them from a sketch if ``approx``."""
+    count = F.approx_count_distinct if approx else F.count_distinct
+    row = df.agg(*[count(F.col(c)).alias(f"d{i}") for i, c in enumerate(df.columns)]).first()
+    return {c: row[f"d{i}"] for i, c in enumerate(df.columns)}
+
+
+def few_distinct(df: DataFrame, limit: int) -> dict[str, int | None]:
+    """Distinct values per column, or None where there are more than ``limit``.
 
-    Only columns with few values are counted exactly, so the shuffle carries little whatever the number of rows.
+    A sketch that finds over twenty times the limit settles a column; the others are counted exactly, which shuffles
+    little, as they have few values.
     """
-    row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(df.columns)]).first()
-    counts = {c: row[f"d{i}"] for i, c in enumerate(df.columns)}
-    small = [c for c in df.columns if counts[c] <= exact_below]
-    if small:
-        pairs = long_values(df, small).filter(F.col("value").isNotNull()).distinct()
-        exact = {r["column"]: r["n"] for r in pairs.groupBy("column").agg(F.count("value").alias("n")).collect()}
-        counts.update({c: exact.get(c, 0) for c in small})
-    return counts
+    sketch = distinct_counts(df, approx=True)
+    small = [c for c in df.columns if sketch[c] <= 20 * limit]
+    exact = distinct_counts(df.select(*small)) if small else {}
+    return {c: exact[c] if c in exact and exact[c] <= limit else None for c in df.columns}
 
 
 def target_by_category(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:

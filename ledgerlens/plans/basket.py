@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import reused
 
-MAX_SET_SIZE = 15
+MASK_BITS = 12
 
 
 def basket_items(lines: DataFrame, item: str, country: str | None = None, excluded: str | None = "POST", code: str = "stock_code") -> DataFrame:
@@ -60,10 +60,12 @@ def association_rules(sets: DataFrame, min_support: float = 0.01) -> DataFrame:
     """
     sets = reused(sets.filter(F.col("support") >= min_support))
     longest = sets.agg(F.max(F.size("items")).alias("k")).first()["k"] or 0
-    if longest > MAX_SET_SIZE:
-        raise ValueError(f"a frequent set of {longest} items has too many splits; raise the support")
-    masks = F.expr("sequence(1, shiftleft(1, size(items)) - 2)")
-    split = sets.filter(F.size("items") >= 2).select("items", "support", F.explode(masks).alias("mask"))
+    split = sets.filter(F.size("items") >= 2).select("items", "support", F.lit(0).cast("long").alias("mask"))
+    for low in range(0, longest, MASK_BITS):  # a few bits at a time, so that no row holds all splits of a long set
+        some = F.expr(f"sequence(0L, shiftleft(1L, least(greatest(size(items) - {low}, 0), {MASK_BITS})) - 1)")
+        split = split.select("items", "support", "mask", F.explode(some).alias("bits"))
+        split = split.select("items", "support", (F.col("mask") + F.shiftleft("bits", low)).alias("mask"))
+    split = split.filter("mask > 0 AND mask < shiftleft(1L, size(items)) - 1")
 
     def chosen(bit: int) -> Column:
         return F.expr(f"filter(items, (x, i) -> (shiftright(mask, i) & 1) = {bit})")

@@ -110,7 +110,7 @@ def _minimum(
         if gain < tolerance * max(1.0, abs(centre)):
             return x
         values = around if best == 0 else loss(x + offsets)
-    return x
+    raise ArithmeticError(f"the fit did not settle within {steps} steps")
 
 
 def _summed(table: DataFrame, terms: Callable[[pd.DataFrame, np.ndarray], np.ndarray], points: np.ndarray) -> np.ndarray:

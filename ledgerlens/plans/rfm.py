@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.exprs import replaced_patterns, whole_days
 from ledgerlens.operators.binning import bin_by_edges, first_rank_bins, label_bins, quantile_edges
 from ledgerlens.operators.clean import drop_cancelled, drop_null_rows, positive_rows
-from ledgerlens.operators.order_stats import DIRECT_ROWS, quantiles
+from ledgerlens.operators.order_stats import with_running_sum
 from ledgerlens.operators.outliers import RETAIL_QUANTILES, winsorize
 from ledgerlens.session import reused
 
@@ -31,8 +31,6 @@ SEGMENTS = {
 # The two names that differ in the other wording of the segments.
 SHORT_NAMES = {"at_risk": "at_Risk", "new_customers": "new"}
 
-MAX_GROUPS = 100
-
 
 def segment_names(short: bool = False) -> dict[str, str]:
     """Digit patterns to segment names, in either wording."""
@@ -103,34 +101,26 @@ def segment_sizes(segmented: DataFrame, segment: str = "segment", key: str = "cu
 def described(df: DataFrame, columns: Sequence[str], by: str, probabilities: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Count, mean, sample deviation, minimum, quantiles and maximum of each column per group, one row per pair.
 
-    Up to a million rows this is one aggregate. Beyond, a group's values must not meet in one task, so the quantiles of
-    the (few) groups are found by exact selection. ``df`` is read several times.
+    Quantiles come from counts of distinct values added up in order within each group, so any number of groups is
+    described in the plan, and a large group is spread over ranges. ``df`` is read several times.
     """
-    rows = df.count()
-    direct = rows <= DIRECT_ROWS
+    values = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
+    long = df.select(F.col(by).alias("_by"), values)
+    basic = long.groupBy("_by", "column").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
+    )
+    counted = reused(long.filter(F.col("value").isNotNull()).groupBy("_by", "column", "value").agg(F.count(F.lit(1)).alias("_c")))
+    summed = with_running_sum(counted, [("value", False)], {"_c": "_upto"}, ["_by", "column"])
+    totals = basic.select(F.col("_by").alias("_g"), F.col("column").alias("_column"), (F.col("n") - 1).alias("_last"))
+    placed = summed.join(totals, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("column") == F.col("_column")))
+    figures = []
+    for p in probabilities:
+        at = F.col("_last") * F.lit(float(p))
+        low, high = F.floor(at), F.ceil(at)
+        here = lambda rank: F.max(F.when((F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto")), F.col("value")))
+        share = F.max(at - low)
+        figures.append((here(low) * (1 - share) + here(high) * share).alias(f"p{round(p * 100)}"))
+    found = placed.groupBy("_g", "_column").agg(*figures)
+    joined = basic.join(found, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("column") == F.col("_column")), "left")
     names = [f"p{round(p * 100)}" for p in probabilities]
-    measures = []
-    for c in columns:
-        value = F.col(c).cast("double")
-        figures = [F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
-        if direct:
-            figures.append(F.percentile(value, [float(p) for p in probabilities]).alias("q"))
-        measures.append(F.struct(*figures).alias(c))
-    wide = df.groupBy(by).agg(*measures)
-    long = wide.select(by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns]))).select(by, "column", "s.*")
-    if direct:
-        return long.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(names)]).drop("q")
-
-    groups = [r[0] for r in df.select(by).distinct().orderBy(by).limit(MAX_GROUPS + 1).collect()]
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"{by} has too many groups to describe one by one")
-    split = df.select(*[F.when(F.col(by).eqNullSafe(F.lit(g)), F.col(c)).alias(f"{i}_{c}") for i, g in enumerate(groups) for c in columns])
-    found = quantiles(split, {c: probabilities for c in split.columns})
-    for k, name in enumerate(names):
-        value = F.lit(None).cast("double")
-        for i, g in enumerate(groups):
-            for c in columns:
-                here = F.col(by).eqNullSafe(F.lit(g)) & (F.col("column") == c)
-                value = F.when(here, F.lit(found[f"{i}_{c}"][k])).otherwise(value)
-        long = long.withColumn(name, value)
-    return long
+    return joined.select(F.col("_by").alias(by), "column", "n", "mean", "std", "min", "max", *names)

@@ -60,15 +60,18 @@ def materialized(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The lookup side of a join, marked for broadcast only after counting it; larger ones are joined by shuffle.
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """The lookup side of a join, marked for broadcast only after measuring it: at most ``rows`` rows and ``size`` bytes.
 
-    For narrow rows (a key and a few numbers). Knowing the size beforehand spares the other side its shuffle.
+    Larger ones are joined by shuffle. Knowing the size beforehand spares the other side its shuffle.
     """
     kept = reused(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + F.lit(8) for c in df.columns), F.lit(16))
+    found = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()
+    return F.broadcast(kept) if found["n"] <= rows and found["b"] <= size else kept
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Quantiles, ranks, positions and running sums on the paths meant for large data, forced on small data."""
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -114,3 +116,50 @@ def test_nulls_are_placed_last(spark, rows_per_task):
         order = [r["id"] for r in placed.orderBy("position").collect()]
         expected = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1] if descending else r[1], r[0]))
         assert order == [r[0] for r in expected] + [r[0] for r in rows if r[1] is None]
+
+
+BIG = 2**60  # neighbouring longs here are the same double
+
+
+def odd_rows():
+    rng = np.random.default_rng(3)
+    when = pd.Timestamp("2024-01-01")
+    rows = []
+    for i in range(400):
+        x = int(rng.integers(0, 40))
+        blank = i % 9 == 0
+        rows.append((BIG + i, None if blank else BIG + x, f"k{i:04d}", None if blank else f"v{x % 7}", (when + pd.Timedelta(hours=x)).to_pydatetime(), Decimal(x) / 7))
+    rng.shuffle(rows)
+    return [(int(a), b if b is None else int(b), c, d, e, Decimal(f)) for a, b, c, d, e, f in rows]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), "id long, x long, code string, word string, at timestamp, money decimal(30,10)").persist()
+
+
+@pytest.mark.parametrize("value", ["x", "word", "at", "money"])
+@pytest.mark.parametrize("key", ["id", "code"])
+def test_both_plans_agree_in_every_type(odd, value, key):
+    answers = []
+    for limit in (1_000_000, 20):
+        bins = odd.withColumn("bin", first_rank_bins(odd, value, key, 5, rows_per_task=limit)).select("id", "bin").collect()
+        up = O.with_position(odd, [(value, False), (key, False)], rows_per_task=limit).select("id", "position").collect()
+        down = O.with_position(odd, [(value, True), (key, True)], by=["word"], rows_per_task=limit).select("id", "position").collect()
+        sums = O.with_running_sum(odd, [(value, False), (key, False)], {"money": "upto"}, rows_per_task=limit).select("id", "upto").collect()
+        best = O.top_share(odd, [(value, True), (key, False)], 0.3, rows_per_task=limit).select("id").collect()
+        answers.append([sorted(part) for part in (bins, up, down, sums, best)])
+    assert answers[0] == answers[1]
+
+
+def test_tied_long_keys_fill_bins_evenly(spark):
+    df = spark.createDataFrame([(BIG + i, 1) for i in range(1000)], "id long, x int").persist()
+    for limit in (1_000_000, 50):
+        bins = df.withColumn("bin", first_rank_bins(df, "x", "id", 5, rows_per_task=limit)).groupBy("bin").count().collect()
+        assert sorted(r["count"] for r in bins) == [200] * 5
+
+
+def test_nulls_are_dealt_over_ranges(spark):
+    df = spark.createDataFrame([(i, None) for i in range(2000)], "id long, x double")
+    ranged = O._ranged(df, [("x", False), ("id", False)], [], 2000, 100)
+    assert ranged.groupBy("_range").count().agg(F.max("count")).first()[0] < 500

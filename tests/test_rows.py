@@ -1,6 +1,7 @@
 """Cleaning, scalar helpers, binning, profiling, outliers, missing values and encoding on hand-made rows."""
 
 import datetime as dt
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -8,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import exprs as X
+from ledgerlens.functions import special
 from ledgerlens.operators import binning, clean, encode, missing, outliers, profile
-from ledgerlens.plans import cltv, levels, records, rfm
+from ledgerlens.plans import basket, cltv, levels, records, rfm
 from ledgerlens.sources import tables
 
 
@@ -118,7 +120,7 @@ def test_fences_and_clipping(spark):
     clipped = values(outliers.clip(df, {"x": (low, high)}))
     assert max(v for v in clipped if v is not None) == high and clipped[-1] is None
     assert outliers.remove_outliers(df, "x", outliers.WIDE_QUANTILES).count() == 100
-    assert values(outliers.outlier_rows(df, "x", outliers.WIDE_QUANTILES, ["x"])) == [5000.0]
+    assert values(outliers.outlier_rows(df, "x", outliers.WIDE_QUANTILES)) == [5000.0]
     assert outliers.outlier_check(df, ["x"], outliers.WIDE_QUANTILES).first()["has_outliers"]
 
 
@@ -193,9 +195,7 @@ def test_ragged_batches(spark):
     assert sorted(map(tuple, both.collect())) == [(1, None), (2, "x")]
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_described_groups(spark, monkeypatch, limit):
-    monkeypatch.setattr(rfm, "DIRECT_ROWS", limit)
+def test_described_groups(spark):
     rng = np.random.default_rng(12)
     frame = pd.DataFrame({"g": rng.choice(["a", "b"], 60), "x": rng.normal(size=60), "y": rng.integers(0, 9, 60)})
     out = {(r["g"], r["column"]): r for r in rfm.described(spark.createDataFrame(frame), ["x", "y"], "g").collect()}
@@ -203,3 +203,47 @@ def test_described_groups(spark, monkeypatch, limit):
         d = frame[frame["g"] == g][c].describe()
         assert [r[k] for k in ("n", "mean", "std", "min", "p25", "p50", "p75", "max")] == pytest.approx(d.tolist())
     assert len(out) == 4
+
+
+def test_many_groups_are_described(spark):
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"g": rng.integers(0, 150, 1500), "x": rng.normal(size=1500).round(1)})
+    expected = frame.groupby("g")["x"].describe()
+    for r in rfm.described(spark.createDataFrame(frame), ["x"], "g").collect():
+        found = [r["n"], r["mean"], r["std"], r["min"], r["p25"], r["p50"], r["p75"], r["max"]]
+        assert found == pytest.approx(expected.loc[r["g"]].tolist(), nan_ok=True)
+
+
+def test_all_outliers_come_back(spark):
+    df = spark.createDataFrame([(float(i % 10),) for i in range(1000)] + [(1000.0 + i,) for i in range(12)], "x double")
+    assert outliers.outlier_rows(df, "x", outliers.WIDE_QUANTILES).count() == 12
+
+
+def test_distinct_counts_are_exact_unless_asked(spark):
+    df = spark.createDataFrame([(i, str(i % 30)) for i in range(5000)], "a long, b string")
+    assert profile.distinct_counts(df) == {"a": 5000, "b": 30}
+    assert profile.few_distinct(df, 30) == {"a": None, "b": 30} and profile.few_distinct(df, 29) == {"a": None, "b": None}
+
+
+def test_labels_of_many_levels(spark):
+    df = spark.createDataFrame([(i, f"t{i:05d}", None if i % 2 else "u") for i in range(12_000)], "id long, t string, u string")
+    found = encode.label_encoded(df, ["t", "u"])
+    assert found.columns == ["id", "t", "u"]
+    assert found.where("t <> id OR (u IS NULL) <> (id % 2 = 1) OR u <> 0").count() == 0
+
+
+def test_hypergeometric_near_one():
+    z = np.array([0.5, 0.9, 0.9999, 0.99999])
+    assert special.hypergeometric_2f1(1.0, 1.0, 2.0, z) == pytest.approx(-np.log1p(-z) / z, rel=1e-9)
+    with pytest.raises(ArithmeticError):
+        special.hypergeometric_2f1(1.0, 1.0, 2.0, 0.999, limit=50)
+    with pytest.raises(ValueError):
+        special.hypergeometric_2f1(1.0, 1.0, 2.0, 1.0)
+
+
+def test_rules_of_a_long_set(spark):
+    items = [f"i{k:02d}" for k in range(14)]
+    sets = [(sorted(c), 1.0) for n in range(1, 15) for c in itertools.combinations(items, n) if n in (1, 13, 14)]
+    rules = basket.association_rules(spark.createDataFrame(sets, "items array<string>, support double"))
+    whole = [r for r in rules.collect() if len(r["antecedents"]) + len(r["consequents"]) == 14]
+    assert len(whole) == 28  # of all splits of the set of 14, those whose parts have a support here
