@@ -26,7 +26,7 @@ PROFIT = probabilistic.ProfitModel(p=2.0, q=0.9, v=3.75)
 
 
 def _lines(spark, folder):
-    return clean_lines(views.retail_lines(spark, folder), clip_outliers=True)
+    return clean_lines(views.retail_lines(spark, folder, sold_only=True), clip_outliers=True)
 
 
 @query(
@@ -75,7 +75,7 @@ def lifetime_value_leaders(spark, folder):
 
 def _valued_segments(spark, folder):
     """Calculated value joined with the behavioural segment."""
-    valued = cltv.calculated_value(views.retail_lines(spark, folder))
+    valued = cltv.calculated_value(views.retail_lines(spark, folder, sold_only=True))
     behaviour = segmented(spark, folder).select("customer_id", F.col("segment").alias("rfm_segment"))
     return reused(behaviour.join(valued.select("customer_id", "scaled_cltv", F.col("segment").alias("value_segment")), "customer_id"))
 

@@ -17,7 +17,7 @@ MEASURES = ("recency", "frequency", "monetary")
 
 
 def _standardised(spark, folder):
-    metrics = reused(rfm_metrics(clean_lines(views.retail_lines(spark, folder)), today()).withColumn("monetary", F.round("monetary", 2)))
+    metrics = reused(rfm_metrics(clean_lines(views.retail_lines(spark, folder, sold_only=True)), today()).withColumn("monetary", F.round("monetary", 2)))
     return reused(encode.min_max_scaled(metrics, encode.min_max_parameters(metrics, MEASURES)))
 
 
@@ -46,7 +46,7 @@ def local_outlier_factors(spark, folder):
 def local_outliers_removed(spark, folder):
     df = _standardised(spark, folder)
     kept = neighbors.without_local_outliers(df, MEASURES, "customer_id", drop=10)
-    metrics = rfm_metrics(clean_lines(views.retail_lines(spark, folder)), today())
+    metrics = rfm_metrics(clean_lines(views.retail_lines(spark, folder, sold_only=True)), today())
     return metrics.join(kept.select("customer_id"), "customer_id", "left_semi").select("customer_id", "recency", "frequency")
 
 

@@ -47,6 +47,32 @@ def table_profile(spark, folder):
     return rounded(profile.table_profile(profiled(spark, folder)), "value")
 
 
+_ENDS = "id, mktsegment, acctbal, nationkey, n_orders, spend, target"
+
+
+@query(
+    "E1 T2",
+    f"WITH {S.PROFILE}, a AS (SELECT {_ENDS}, 'head' AS part FROM prof ORDER BY id LIMIT 5), b AS (SELECT {_ENDS}, 'tail' AS part FROM prof ORDER BY id DESC LIMIT 5) "
+    "SELECT * FROM a UNION ALL SELECT * FROM b",
+)
+def table_ends(spark, folder):
+    """Head and tail of the profile report, by key."""
+    return profile.ends(views.profile_table(spark, folder), "id", 5)
+
+
+_KINDS = {"id": "bigint", "mktsegment": "string", "acctbal": "double", "nationkey": "bigint", "n_orders": "bigint", "spend": "double", "target": "bigint"}
+
+
+@query(
+    "E1 A7",
+    f"WITH {S.PROFILE} "
+    + _union(f"""SELECT '{c}' AS "column", count(*) - count({c}) AS nulls, count({c}) AS present, '{k}' AS type FROM prof""" for c, k in _KINDS.items()),
+)
+def table_columns(spark, folder):
+    """Type, nulls and present values of every column of the profile report."""
+    return profile.null_counts(views.profile_table(spark, folder), with_type=True)
+
+
 @query(
     "E2 A4",
     f"WITH {S.PROFILE} "
@@ -353,6 +379,16 @@ def zero_as_missing(spark, folder):
     return clean.zero_report(parquet_table(spark, folder, "lineitem"), ["l_discount", "l_tax", "l_quantity"])
 
 
+@query(
+    "P13",
+    "SELECT l_orderkey, l_linenumber, nullif(l_discount, 0) AS l_discount, nullif(l_tax, 0) AS l_tax, nullif(l_quantity, 0) AS l_quantity FROM lineitem",
+)
+def zeros_converted(spark, folder):
+    """The rows with zeros taken as missing."""
+    lines = parquet_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity")
+    return clean.zeros_to_null(lines, ["l_discount", "l_tax", "l_quantity"])
+
+
 @query(
     "X7",
     """SELECT p_partkey AS id, """

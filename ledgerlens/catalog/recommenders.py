@@ -18,7 +18,7 @@ POPULAR = 900
 
 
 def _pairs(spark, folder, country=None):
-    return basket.basket_items(clean_lines(views.retail_lines(spark, folder)), "brand", country)
+    return basket.basket_items(clean_lines(views.retail_lines(spark, folder, sold_only=True)), "brand", country)
 
 
 _PAIRS = f"""{S.CLEAN},
@@ -60,7 +60,7 @@ def basket_item_counts(spark, folder):
     return _pairs(spark, folder).groupBy("item").agg(F.count(F.lit(1)).alias("invoices"))
 
 
-_BRANDS = ("Brand#1", "Brand#2", "Brand#3")
+_BRANDS = tuple(f"Brand#{k}" for k in range(1, 26))  # all items of the tables, in the order of their columns
 
 
 @query(
@@ -70,9 +70,20 @@ _BRANDS = ("Brand#1", "Brand#2", "Brand#3")
     + " FROM pairs GROUP BY invoice",
 )
 def basket_flags(spark, folder):
+    """Invoice by item, for every item."""
     return basket.basket_flags(_pairs(spark, folder), list(_BRANDS))
 
 
+@query(
+    "B1",
+    f"WITH {S.CLEAN}, pairs AS (SELECT country, invoice, brand AS item FROM clean GROUP BY ALL HAVING sum(quantity) > 0) "
+    "SELECT item, count(*) AS invoices FROM pairs WHERE country = 'NATION_7' GROUP BY item",
+)
+def basket_of_one_country(spark, folder):
+    """Invoices with each item, of the lines of one country."""
+    return _pairs(spark, folder, "NATION_7").groupBy("item").agg(F.count(F.lit(1)).alias("invoices"))
+
+
 @query("B2", f"WITH {_SETS} SELECT items, size, c AS count, round(support, 8) AS support FROM sets")
 def frequent_item_sets(spark, folder):
     found = basket.frequent_sets(_pairs(spark, folder))
@@ -109,7 +120,7 @@ _DESCRIBED = "names AS (SELECT brand, arg_min(description, (invoice, description
     FROM best LEFT JOIN names ON recommended = brand""",
 )
 def recommended_by_support(spark, folder):
-    lines = clean_lines(views.retail_lines(spark, folder))
+    lines = clean_lines(views.retail_lines(spark, folder, sold_only=True))
     rules = basket.association_rules(basket.frequent_sets(basket.basket_items(lines, "brand")))
     found = basket.recommended_items(rules, "support")
     names = first_per_key(lines, "brand", "description", ["invoice", "description"])

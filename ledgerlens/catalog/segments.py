@@ -17,7 +17,7 @@ def today():
 
 
 def segmented(spark, folder):
-    return rfm.rfm_segments(views.retail_lines(spark, folder), today())
+    return rfm.rfm_segments(views.retail_lines(spark, folder, sold_only=True), today())
 
 
 @query(
@@ -27,7 +27,7 @@ def segmented(spark, folder):
     FROM clean GROUP BY country""",
 )
 def retail_clean_by_country(spark, folder):
-    lines = rfm.clean_lines(views.retail_lines(spark, folder))
+    lines = rfm.clean_lines(views.retail_lines(spark, folder, sold_only=True))
     return lines.groupBy("country").agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_distinct("invoice").alias("n_invoices"), F.sum("quantity").alias("units")
     )
@@ -40,7 +40,7 @@ def retail_clean_by_country(spark, folder):
            round(sum(quantity * price), 2) AS turnover FROM clipped GROUP BY brand""",
 )
 def retail_prepared_by_brand(spark, folder):
-    lines = rfm.clean_lines(views.retail_lines(spark, folder), clip_outliers=True)
+    lines = rfm.clean_lines(views.retail_lines(spark, folder, sold_only=True), clip_outliers=True)
     return lines.groupBy("brand").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.round(F.max("price"), 4).alias("top_price"),
@@ -69,7 +69,7 @@ def top_products_by_quantity(spark, folder):
     f"""WITH {S.CLIPPED}, {S.rfm()} SELECT customer_id, recency, frequency, round(monetary, 2) AS monetary FROM rfm""",
 )
 def rfm_metrics(spark, folder):
-    lines = rfm.clean_lines(views.retail_lines(spark, folder), clip_outliers=True)
+    lines = rfm.clean_lines(views.retail_lines(spark, folder, sold_only=True), clip_outliers=True)
     return rfm.rfm_metrics(lines, today()).withColumn("monetary", F.round("monetary", 2))
 
 
@@ -89,7 +89,7 @@ def rfm_segments(spark, folder):
     SELECT customer_id, recency, frequency, round(monetary, 2) AS monetary, segment FROM segmented""",
 )
 def rfm_segments_unclipped(spark, folder):
-    found = rfm.rfm_segments(views.retail_lines(spark, folder), today(), clip_outliers=False)
+    found = rfm.rfm_segments(views.retail_lines(spark, folder, sold_only=True), today(), clip_outliers=False)
     return found.select("customer_id", "recency", "frequency", F.round("monetary", 2).alias("monetary"), "segment")
 
 
@@ -140,7 +140,7 @@ def loyal_customers(spark, folder):
     SELECT customer_id, frequency, row_number() OVER (ORDER BY frequency, customer_id) AS frequency_rank FROM rfm""",
 )
 def frequency_first_rank(spark, folder):
-    metrics = reused(rfm.rfm_metrics(rfm.clean_lines(views.retail_lines(spark, folder)), today()).select("customer_id", "frequency"))
+    metrics = reused(rfm.rfm_metrics(rfm.clean_lines(views.retail_lines(spark, folder, sold_only=True)), today()).select("customer_id", "frequency"))
     return with_position(metrics, [("frequency", False), ("customer_id", False)], "frequency_rank")
 
 
@@ -162,7 +162,7 @@ def frequency_first_rank(spark, folder):
            substr('DCBA', {S.quantile_bin('scaled_cltv', 'scaled', 4)}, 1) AS segment FROM scaled""",
 )
 def calculated_lifetime_value(spark, folder):
-    found = cltv.calculated_value(views.retail_lines(spark, folder))
+    found = cltv.calculated_value(views.retail_lines(spark, folder, sold_only=True))
     return found.select(
         "customer_id",
         "total_transaction",

@@ -6,13 +6,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import contains_mark, zero_as_null
 
 
 def drop_null_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows without any null (or NaN) in the given columns, by default in all."""
-    return df.na.drop("any", subset=list(columns) if columns else None)
+    """Rows without any null (or NaN) in the given columns, by default in all.
+
+    One condition for each column, so that each can be pushed below joins to the scan its column comes from.
+    """
+    for c in columns or df.columns:
+        value = F.col(f"`{c}`")
+        df = df.filter(value.isNotNull())
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            df = df.filter(~F.isnan(value))
+    return df
 
 
 def drop_cancelled(df: DataFrame, invoice: str = "invoice", mark: str = "C") -> DataFrame:

@@ -59,12 +59,24 @@ def table_profile(df: DataFrame, probabilities: Sequence[float] = PROFILE_QUANTI
     return long_report(counted, entries)
 
 
-def null_counts(df: DataFrame) -> DataFrame:
-    """Nulls and present values per column: ``(column, nulls, present)``."""
+def ends(df: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """The first and last ``n`` rows by a unique ``key``, marked ``head`` or ``tail`` in ``part``: two top-k selections."""
+    head = df.orderBy(F.col(key).asc_nulls_last()).limit(n).withColumn("part", F.lit("head"))
+    tail = df.orderBy(F.col(key).desc_nulls_first()).limit(n).withColumn("part", F.lit("tail"))
+    return head.unionByName(tail)
+
+
+def null_counts(df: DataFrame, with_type: bool = False) -> DataFrame:
+    """Nulls and present values per column: ``(column, nulls, present)``, and its type by Spark's short name if asked."""
     counted = df.agg(*[F.count_if(~_present(df, c)).alias(f"n_{i}") for i, c in enumerate(df.columns)], F.count(F.lit(1)).alias("_rows"))
     rows = [
-        F.struct(F.lit(c).alias("column"), F.col(f"n_{i}").alias("nulls"), (F.col("_rows") - F.col(f"n_{i}")).alias("present"))
-        for i, c in enumerate(df.columns)
+        F.struct(
+            F.lit(c).alias("column"),
+            F.col(f"n_{i}").alias("nulls"),
+            (F.col("_rows") - F.col(f"n_{i}")).alias("present"),
+            *([F.lit(kind).alias("type")] if with_type else []),
+        )
+        for i, (c, kind) in enumerate(df.dtypes)
     ]
     return counted.select(F.inline(F.array(*rows)))
 

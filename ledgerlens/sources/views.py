@@ -12,16 +12,21 @@ TODAY = "2001-08-02 00:00:00"
 COURSE_TODAY = "2001-12-01 00:00:00"
 
 
-def retail_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Invoice lines: returns carry a ``C`` in front of the invoice number."""
+def retail_lines(spark: SparkSession, folder: str, sold_only: bool = False) -> DataFrame:
+    """Invoice lines: returns carry a ``C`` in front of the invoice number; ``sold_only`` leaves them out in the scan.
+
+    Orders meet customers and nations first, which are one row each, so the lines are shuffled by order and by part alone.
+    """
     line, order, part, customer, nation = (
         parquet_table(spark, folder, t) for t in ("lineitem", "orders", "part", "customer", "nation")
     )
+    if sold_only:
+        line = line.filter(F.col("l_returnflag").isNull() | (F.col("l_returnflag") != "R"))
+    buyers = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    orders = order.join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderdate", "o_custkey", "n_name")
     return (
-        line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
+        line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             F.concat(F.when(F.col("l_returnflag") == "R", "C").otherwise(""), F.col("l_orderkey").cast("string")).alias("invoice"),
             F.col("l_partkey").cast("string").alias("stock_code"),
@@ -141,10 +146,6 @@ def priced_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return parquet_table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
-
-
 def scored_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with a 0-1 score (value over its maximum) and a binary label."""
     events = parquet_table(spark, folder, "events")

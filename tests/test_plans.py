@@ -102,3 +102,23 @@ def test_similar_texts(spark):
     dot = idf["apple"] ** 2 + idf["pie"] ** 2
     assert found[0]["score"] == pytest.approx(dot / np.sqrt(dot) / np.sqrt(dot + idf["red"] ** 2))
     assert content.similar_texts(docs, "id", "text", 4).count() == 0
+
+
+def test_lines_are_shuffled_by_order_and_part_alone(spark):
+    from ledgerlens.plans import rfm
+    from ledgerlens.sources import views
+
+    wanted = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.maxMetadataStringLength": "2000"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        lines = rfm.clean_lines(views.retail_lines(spark, "/root/testdata/sf0.001", sold_only=True))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    joins = [x for x in plan.splitlines() if "SortMergeJoin" in x]
+    assert len(joins) == 4 and sum("l_orderkey" in x or "l_partkey" in x for x in joins) == 2
+    assert "Or(IsNull(l_returnflag),Not(EqualTo(l_returnflag,R)))" in plan
+    assert "IsNotNull(p_name)" in plan and "IsNotNull(o_orderdate)" in plan and "IsNotNull(n_name)" in plan
