@@ -58,7 +58,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, min_share: float =
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 code, at = grams(part.column("text"))
                 labels = part.column("lang").to_pylist()
                 for i, lang in enumerate(labels):
@@ -89,7 +89,7 @@ def _text_posteriors(rows: DataFrame, keys: list[str], logs: np.ndarray, effecti
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 code, at = grams(part.column("text"))
                 size = np.diff(at)
                 sums = np.zeros((len(size), n))
