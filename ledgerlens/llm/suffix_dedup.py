@@ -269,8 +269,8 @@ def _packed_spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _whole_contexts(texts: DataFrame, marks: np.ndarray, length: int, gram: int, bits: int) -> DataFrame:
-    """Rows (doc_id, alt, span) of contexts that a smaller document holds as well, and rows (h, n, several) on anchors:
-    how many contexts there are and whether they differ.
+    """Rows (doc_id, alt, span) of contexts that a smaller document holds as well, and a row (h, n, fresh) for each kind of
+    context of an anchor: in how many places it is left.
 
     Within a slice, contexts behind the first of their kind are settled at once, so a context of very many documents
     reaches the shuffle once for each slice. Each task then streams through its contexts in order and holds none.
@@ -293,33 +293,27 @@ def _whole_contexts(texts: DataFrame, marks: np.ndarray, length: int, gram: int,
             yield _answer(doc[settled], alt[settled], span[settled])
             h, k, doc, alt, span = (x[~settled] for x in (h, k, doc, alt, span))
             if len(h):
-                new_h = np.concatenate([[h0 is None or h[0] != h0], h[1:] != h[:-1]])
-                new = new_h | np.concatenate([[h0 is None or k[0] != k0], k[1:] != k[:-1]])
+                new = np.concatenate([[h0 is None or h[0] != h0 or k[0] != k0], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
                 lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
                 first = np.where(lead < 0, first0 or 0, doc[lead])
                 gone = doc > first
                 yield _answer(doc[gone], alt[gone], span[gone])
-                head = np.flatnonzero(new_h)
-                head = head if len(head) and head[0] == 0 else np.concatenate([[0], head])
-                n = np.diff(np.append(head, len(h)))
-                several = np.add.reduceat((new & ~new_h).astype(np.int64), head) > 0
-                told = several.copy()
-                told[0] = told[-1] = True  # these anchors may go on in another batch
-                yield _told(h[head][told], n[told], several[told])
+                head = np.union1d([0], np.flatnonzero(new))  # the first context may go on from the batch before
+                yield _told(h[head], np.diff(np.append(head, len(h))), new[head])
                 h0, k0, first0 = h[-1], k[-1], int(first[-1])
 
     def _answer(doc: np.ndarray, alt: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(doc), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none.cast(pa.bool_()), pa.array(doc), pa.array(alt), pa.array(span)], names=names)
 
-    def _told(h: np.ndarray, n: np.ndarray, several: np.ndarray) -> pa.RecordBatch:
+    def _told(h: np.ndarray, n: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(h), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), pa.array(several), none, none, none], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), pa.array(fresh), none, none, none], names=names)
 
-    names = ["h", "n", "several", "doc_id", "alt", "span"]
+    names = ["h", "n", "fresh", "doc_id", "alt", "span"]
     rows = texts.mapInArrow(split, "h long, k long, settled boolean, doc_id long, alt long, span long")
-    dealt = rows.repartition(shuffle_parts(texts), "h").sortWithinPartitions("h", "k", "doc_id")
-    return dealt.mapInArrow(stream, "h long, n long, several boolean, doc_id long, alt long, span long")
+    dealt = rows.repartition(shuffle_parts(texts), "h", "k").sortWithinPartitions("h", "k", "doc_id")
+    return dealt.mapInArrow(stream, "h long, n long, fresh boolean, doc_id long, alt long, span long")
 
 
 def _context_bytes(texts: DataFrame, marks: np.ndarray, length: int, gram: int, bits: int) -> DataFrame:
@@ -408,7 +402,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits
     shared = _shared_filter(texts, total, length, gram, bits)
     first_look = materialized(_whole_contexts(texts, shared, length, gram, bits), "contexts")
     covered = first_look.where("span IS NOT NULL").select("doc_id", "alt", "span")
-    anchors = first_look.where("h IS NOT NULL").groupBy("h").agg(F.sum("n").alias("n"), F.max("several").alias("several")).where("several")
+    anchors = first_look.where("h IS NOT NULL").groupBy("h").agg(F.sum("n").alias("n"), F.count_if("fresh").alias("kinds")).where("kinds > 1")
     anchors = materialized(anchors.select("h", "n"), "anchors")
     counts = anchors.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > crowd, 1))).first()
     if counts[0] > counts[1]:
