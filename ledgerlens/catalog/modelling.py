@@ -99,9 +99,14 @@ def kmeans_clusters(spark, folder):
 def kmeans_elbow(spark, folder):
     from ledgerlens.catalog.neighbours import _standardised
 
-    costs = clusters.kmeans_costs(_standardised(spark, folder), ["recency"], range(1, 9))
-    chosen = clusters.knee(costs)
-    return spark.createDataFrame([(k, c, k == chosen) for k, c in costs], "k int, cost double, chosen boolean")
+    rows = reused(_standardised(spark, folder))
+    found = []
+    for column in ("recency", "frequency", "monetary"):
+        costs = clusters.kmeans_costs(rows, [column])
+        chosen = clusters.knee(costs)
+        found += [(column, k, c, k == chosen) for k, c in costs]
+    rows.unpersist()
+    return spark.createDataFrame(found, "column string, k int, cost double, chosen boolean")
 
 
 @query("L8")
@@ -111,7 +116,7 @@ def kmodes_clusters(spark, folder):
 
 @query("L8")
 def kmodes_elbow(spark, folder):
-    costs = clusters.kmodes_costs(views.service_table(spark, folder), SERVICES, range(1, 7))
+    costs = clusters.kmodes_costs(views.service_table(spark, folder), SERVICES)
     return spark.createDataFrame(costs, "k int, cost long")
 
 
@@ -123,17 +128,16 @@ def train_test_sizes(spark, folder):
 
 
 def _documents(spark, folder):
-    """Labelled documents with a feature vector, split 80/20."""
-    df = views.classified_documents(spark, folder)
-    prepared = Pipeline(stages=search.feature_stages(["n_chars", "toxic"], ["lang", "source"])).fit(df)
-    rows = prepared.transform(df).select("doc_id", "features", "label")
-    return [reused(part) for part in search.train_test_split(rows, "doc_id", 0.20, 123)]
+    """Labelled documents split 80/20, with a feature vector whose scales and codes come from the training part."""
+    parts = search.train_test_split(views.classified_documents(spark, folder), "doc_id", 0.20, 123)
+    prepared = Pipeline(stages=search.feature_stages(["n_chars", "toxic"], ["lang", "source"])).fit(parts[0])
+    return [reused(prepared.transform(part).select("doc_id", "features", "label")) for part in parts]
 
 
 @query("L14 L15 L13 L16 L17 L21")
 def model_sweep(spark, folder):
     train, test = _documents(spark, folder)
-    return search.model_sweep(train, test, search.classifiers(4, rounds=5))
+    return search.model_sweep(train, test, search.classifiers(4))
 
 
 @query("L15 L19")
@@ -157,9 +161,9 @@ def boosting_grid_search(spark, folder):
 def soft_vote_predictions(spark, folder):
     train, test = _documents(spark, folder)
     models = [
-        boost.AdaBoostClassifier(rounds=3).fit(train),
+        boost.AdaBoostClassifier(rounds=10).fit(train),
         search.bernoulli_bayes().fit(train),
-        search.CalibratedMargin(LinearSVC(maxIter=20), "doc_id", folds=2).fit(train),
+        search.CalibratedMargin(LinearSVC(maxIter=50), "doc_id").fit(train),
     ]
     told = search.SoftVote(models).transform(test)
     return told.select("doc_id", "label", "prediction")
@@ -168,7 +172,7 @@ def soft_vote_predictions(spark, folder):
 @query("L24")
 def learning_curve(spark, folder):
     train, _ = _documents(spark, folder)
-    curve = evaluate.learning_curve(train, "doc_id", search.bernoulli_bayes(), lambda d: evaluate.summary(d)["accuracy"], folds=2)
+    curve = evaluate.learning_curve(train, "doc_id", search.bernoulli_bayes(), lambda d: evaluate.summary(d)["accuracy"], folds=5)
     return spark.createDataFrame(curve, "fraction double, train_score double, validation_score double")
 
 
@@ -182,15 +186,14 @@ def price_cross_validation(spark, folder):
     train, _ = _prices(spark, folder)
     stages = search.feature_stages(["extended", "discount", "tax", "quantity"], ["flag"])
     candidates = {n: Pipeline(stages=[*stages, m]) for n, m in search.regressors().items() if n in ("LinearRegression", "DecisionTree")}
-    return search.cross_validated_rmse(train, "id", candidates, folds=3)
+    return search.cross_validated_rmse(train, "id", candidates, folds=10)
 
 
 @query("L9 L10 L28 L4")
 def price_feature_sets(spark, folder):
     train, test = _prices(spark, folder)
     sets = {"all": (["extended", "discount", "tax", "quantity"], ["flag"]), "reduced": (["extended", "tax"], [])}
-    candidates = {n: m for n, m in search.regressors().items() if n in ("LinearRegression", "DecisionTree")}
-    return search.compare_feature_sets(train, test, sets, candidates)
+    return search.compare_feature_sets(train, test, sets, search.regressors())
 
 
 @query("L10 L11 L13 L25")
