@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.catalog import sql as S
 from ledgerlens.catalog.registry import query, single
+from ledgerlens.functions.exprs import SPLIT_FACTOR
 from ledgerlens.models import boost, clusters, evaluate, search
 from ledgerlens.session import reused, scratch_path
 from ledgerlens.sources import views
@@ -120,7 +121,11 @@ def kmodes_elbow(spark, folder):
     return spark.createDataFrame(costs, "k int, cost long")
 
 
-@query("L6")
+@query(
+    "L6",
+    f"""SELECT CASE WHEN {S.key_spot('doc_id', 123, SPLIT_FACTOR)} < 0.20 THEN 'test' ELSE 'train' END AS part, CAST(quality AS DOUBLE) AS label,
+    count(*) AS documents FROM documents JOIN labels USING (doc_id) GROUP BY ALL""",
+)
 def train_test_sizes(spark, folder):
     train, test = search.train_test_split(views.classified_documents(spark, folder), "doc_id", 0.20, 123)
     sizes = [d.groupBy("label").agg(F.count(F.lit(1)).alias("documents")).select(F.lit(n).alias("part"), "label", "documents") for n, d in (("train", train), ("test", test))]

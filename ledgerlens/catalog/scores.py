@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.catalog import sql as S
 from ledgerlens.catalog.registry import query, single
 from ledgerlens.functions import scores
+from ledgerlens.functions.exprs import PICK_FACTOR
 from ledgerlens.operators import clean
 from ledgerlens.plans import levels, records
 from ledgerlens.plans.cltv import min_max_scaled
@@ -174,7 +175,7 @@ def item_descriptions(spark, folder):
     return clean.first_per_key(lines, "stock_code", "description", ["invoice", "description"])
 
 
-@query("P17")
+@query("P17", f"SELECT o_custkey AS user_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey ORDER BY {S.key_spot('o_custkey', 101, PICK_FACTOR)}, o_custkey LIMIT 1")
 def picked_user(spark, folder):
     return clean.pick_one(views.ratings(spark, folder), "user_id", 101)
 

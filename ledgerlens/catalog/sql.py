@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerlens.functions.exprs import SPOTS
 from ledgerlens.plans.rfm import SEGMENTS
 from ledgerlens.sources.views import COURSE_TODAY, TODAY
 
@@ -53,6 +54,12 @@ def rfm(lines: str = "clipped") -> str:
   FROM {lines} GROUP BY customer_id HAVING sum(quantity * price) > 0)"""
 
 
+def key_spot(key: str, seed: int, factor: int) -> str:
+    """The repeatable number in [0, 1) of a whole-number key."""
+    whole = f"((({key} % {SPOTS}) + {SPOTS}) % {SPOTS})"
+    return f"((CAST({whole} AS BIGINT) * {factor} + {seed * 69_069}) % {SPOTS}) / {float(SPOTS)}"
+
+
 def quantile_bin(value: str, table: str, bins: int) -> str:
     """1 + number of inner quantile edges below the value."""
     parts = " + ".join(

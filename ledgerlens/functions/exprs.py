@@ -89,3 +89,13 @@ def literal_records(text: Column) -> Column:
 def joined_names(text: Column, separator: str = ", ") -> Column:
     """The ``name`` fields of a printed list of records (or of one record), joined."""
     return F.array_join(F.transform(literal_records(text), lambda r: r["name"]), separator)
+
+
+SPOTS = 1 << 30
+SPLIT_FACTOR, FOLD_FACTOR, PICK_FACTOR = 2_654_435_761, 2_246_822_519, 3_266_489_917
+
+
+def key_spot(key: Column, seed: int, factor: int = SPLIT_FACTOR) -> Column:
+    """Repeatable number in [0, 1) for a whole-number key, by multiplication modulo 2^30: the same on any engine."""
+    whole = F.pmod(key.cast("long"), F.lit(SPOTS).cast("long"))
+    return F.pmod(whole * F.lit(factor) + F.lit(seed * 69_069), F.lit(SPOTS).cast("long")) / F.lit(float(SPOTS))

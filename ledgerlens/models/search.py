@@ -23,6 +23,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.exprs import FOLD_FACTOR, key_spot
 from ledgerlens.models.boost import AdaBoostClassifier
 from ledgerlens.models.evaluate import regression_errors, summary
 from ledgerlens.operators.neighbors import _nearest_by_group
@@ -31,19 +32,14 @@ from ledgerlens.session import materialized, reused
 # --- data ----------------------------------------------------------------------------------------------------------
 
 
-def spot(key: str, seed: int) -> Column:
-    """Repeatable number in [0, 1) per key, whatever the partitioning."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-
 def train_test_split(df: DataFrame, key: str, test_share: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Two disjoint parts by a hash of the key: a lost and recomputed partition splits the same way."""
-    here = spot(key, seed) < test_share
+    """Two disjoint parts by arithmetic on the key: a lost and recomputed partition splits the same way."""
+    here = key_spot(F.col(key), seed) < test_share
     return df.filter(~here), df.filter(here)
 
 
 def fold_number(key: str, folds: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
+    return F.floor(key_spot(F.col(key), seed, FOLD_FACTOR) * folds).cast("int")
 
 
 def feature_stages(numbers: Sequence[str], texts: Sequence[str] = (), scale: bool = True) -> list:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions.exprs import contains_mark, zero_as_null
+from ledgerlens.functions.exprs import PICK_FACTOR, contains_mark, key_spot, zero_as_null
 
 
 def drop_null_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -80,8 +80,8 @@ def distinct_columns(columns: Sequence[str]) -> list[str]:
 
 
 def pick_one(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """One repeatable pseudo-random key: the one whose seeded hash is smallest. A plain aggregate, nothing is shuffled."""
-    return df.agg(F.min_by(key, F.struct(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))).alias(key))
+    """One repeatable pseudo-random whole-number key: the one whose seeded number is smallest. A plain aggregate."""
+    return df.agg(F.min_by(key, F.struct(key_spot(F.col(key), seed, PICK_FACTOR), F.col(key))).alias(key))
 
 
 def titles_containing(df: DataFrame, title: str, keyword: str) -> DataFrame:
