@@ -273,23 +273,23 @@ def _model_tables(path: str) -> dict:
     }
 
 
-def encode_documents(docs: DataFrame, model: str, keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """Ids of every whole text, and digests of the ids and of the text decoded from them.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are not looked at. A null text counts as empty and gives the
     begin and end ids alone. Repeated rows are encoded each for itself; an empty table gives an empty result.
     ``model`` is a path on the driver; the tables made from it are broadcast. Returns doc_id, n_tokens, ids_sha256 (little-endian unsigned 32-bit
-    ids), decoded_sha256 (UTF-8) and, with ``keep_ids``, ids and decoded. No shuffle; memory is bounded by slices of 8 MB
-    or one text.
+    ids), decoded_sha256 (UTF-8), with ``keep_ids`` the ids, and with ``keep_text`` the decoded text. No shuffle; memory is bounded
+    by slices of 2 MB or one text.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
 
     tables = docs.sparkSession.sparkContext.broadcast(_model_tables(model))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PieceCodec(tables.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 ids, at = own.encode(part.column("text"))
                 decoded = own.decode(ids, at)
                 raw = ids.astype("<u4").tobytes()
@@ -299,8 +299,13 @@ def encode_documents(docs: DataFrame, model: str, keep_ids: bool = True) -> Data
                     pa.array([hashlib.sha256(raw[4 * at[i] : 4 * at[i + 1]]).hexdigest() for i in range(len(at) - 1)], pa.string()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
                 ]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns += [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(decoded, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+                    columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
+                    names.append("ids")
+                if keep_text:
+                    columns.append(pa.array(decoded, pa.binary()).cast(pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return clean_texts(docs).mapInArrow(encode, schema)

@@ -168,4 +168,4 @@ def op10_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     """SentencePiece ids of every document, and the text decoded from them, as digests."""
     from ledgerlens.llm.piece_codec import encode_documents
 
-    return encode_documents(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"), keep_ids=False)
+    return encode_documents(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"), keep_ids=False, keep_text=False)
