@@ -63,7 +63,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text that is left, with digests of the ids and of the text decoded from them."""
-    return encode_documents(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return encode_documents(docs, vocabulary("piece_bpe_32k.model"), keep_text=False).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
