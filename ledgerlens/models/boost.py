@@ -13,7 +13,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasSeed
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.session import materialized
+from ledgerlens.session import materialized, reused
 
 _TINY = 2.220446049250313e-16
 WRITE_EVERY = 5
@@ -47,7 +47,7 @@ class AdaBoostClassifier(Estimator, _BoostParams):
         )
         rows = materialized(dataset.select(features, F.col(label).cast("double").alias("_y")).withColumn("_w", F.lit(1.0)), "boost")
         total = rows.agg(F.sum("_w").alias("w")).first()["w"]
-        trees, votes = [], []
+        trees, votes, kept = [], [], None
         for turn in range(self.getOrDefault("rounds")):
             tree = stump.fit(rows)
             told = tree.transform(rows)
@@ -67,12 +67,16 @@ class AdaBoostClassifier(Estimator, _BoostParams):
             else:
                 lean = _lean("_prob")
                 factor = F.exp(F.lit(-rate / 2.0) * F.when(F.col("_y") == 1.0, lean).otherwise(-lean))
-            rows = told.select(features, "_y", (F.col("_w") * factor).alias("_w"))
-            if (turn + 1) % WRITE_EVERY == 0:
-                rows = materialized(rows, "boost")
             # keep the weights' sum at the number of rows, so that they neither vanish nor overflow
-            now = rows.agg(F.sum("_w").alias("w")).first()["w"]
-            rows = rows.withColumn("_w", F.col("_w") * F.lit(total / now))
+            weighted = reused(told.select(features, "_y", (F.col("_w") * factor).alias("_w")))
+            now = weighted.agg(F.sum("_w").alias("w")).first()["w"]
+            following = weighted.withColumn("_w", F.col("_w") * F.lit(total / now))
+            rows = materialized(following, "boost") if (turn + 1) % WRITE_EVERY == 0 else following
+            if kept is not None:
+                kept.unpersist()
+            kept = weighted
+        if kept is not None:
+            kept.unpersist()
         return self._copyValues(AdaBoostModel(trees, votes, by_label))
 
 

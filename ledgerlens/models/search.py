@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
+import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     FMClassifier,
@@ -20,11 +22,11 @@ from pyspark.ml.feature import Binarizer, StandardScaler, StringIndexer, VectorA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import FOLD_FACTOR, key_spot
-from ledgerlens.models.boost import AdaBoostClassifier
+from ledgerlens.models.boost import AdaBoostClassifier, AdaBoostModel
 from ledgerlens.models.evaluate import regression_errors, summary
 from ledgerlens.operators.neighbors import _nearest_by_group
 from ledgerlens.session import materialized, reused
@@ -246,12 +248,46 @@ def compare_feature_sets(train: DataFrame, test: DataFrame, feature_sets: Mappin
 # --- persistence and scoring ---------------------------------------------------------------------------------------
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def save_model(model: Model, path: str) -> None:
+    """Write any fitted model of Spark ML or of this package, with the models and rows inside it, under ``path``."""
+    meta: dict = {"module": type(model).__module__, "name": type(model).__name__}
+    if isinstance(model, SoftVote):
+        meta["models"] = len(model.models)
+        parts = model.models
+    elif isinstance(model, CalibratedModel):
+        meta |= {"slope": model.slope, "intercept": model.intercept}
+        parts = [model.model]
+    elif isinstance(model, AdaBoostModel):
+        meta |= {"votes": model.votes, "by_label": model.by_label, "models": len(model.trees)}
+        parts = model.trees
+    elif isinstance(model, NearestMeanModel):
+        meta |= {"key": model.key, "k": model.k}
+        parts = []
+        model.rows.write.mode("overwrite").parquet(f"{path}/rows")
+    else:
+        parts = []
+        model.write().overwrite().save(f"{path}/model")
+    for i, part in enumerate(parts):
+        save_model(part, f"{path}/part{i}")
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_model(path: str) -> Model:
+    """What ``save_model`` wrote."""
+    spark = SparkSession.active()
+    meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+    parts = lambda n: [load_model(f"{path}/part{i}") for i in range(n)]
+    match meta["name"]:
+        case "SoftVote":
+            return SoftVote(parts(meta["models"]))
+        case "CalibratedModel":
+            return CalibratedModel(parts(1)[0], meta["slope"], meta["intercept"])
+        case "AdaBoostModel":
+            return AdaBoostModel(parts(meta["models"]), meta["votes"], meta["by_label"])
+        case "NearestMeanModel":
+            return NearestMeanModel(spark.read.parquet(f"{path}/rows"), meta["key"], meta["k"])
+    return getattr(importlib.import_module(meta["module"]), meta["name"]).load(f"{path}/model")
 
 
 def scored(model: Model, df: DataFrame, name: str = "estimate") -> DataFrame:

@@ -121,6 +121,16 @@ def test_saved_model_scores_alike(spark, labelled, tmp_path):
     assert [r["prediction"] for r in again.orderBy("id").collect()] == [r["prediction"] for r in model.transform(labelled).orderBy("id").collect()]
 
 
+def test_own_models_are_saved(labelled, tmp_path):
+    boosted = boost.AdaBoostClassifier(rounds=3).fit(labelled)
+    margin = search.CalibratedMargin(LinearSVC(maxIter=5), "id", folds=2).fit(labelled)
+    models = {"boost": boosted, "vote": search.SoftVote([boosted, margin]), "nearest": search.NearestMeanRegressor("id", k=3).fit(labelled)}
+    for name, model in models.items():
+        search.save_model(model, str(tmp_path / name))
+        again = search.load_model(str(tmp_path / name)).transform(labelled)
+        assert [r["prediction"] for r in again.orderBy("id").collect()] == [r["prediction"] for r in model.transform(labelled).orderBy("id").collect()]
+
+
 def test_all_regressors_cross_validated(spark):
     from pyspark.ml import Pipeline
 
