@@ -46,37 +46,32 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, min_share: float =
     """Languages and log-probabilities (bucket x language) from about ``sample_rows`` labelled rows (text, lang).
 
     Rows are sampled by a hash of their content, so a recomputed task draws the same ones; tables of fewer rows are used
-    whole. Labels below ``min_share`` of the sample are left out, so there are at most 1 / min_share languages and the
-    model's size is fixed. Returns no languages where no row is labelled.
+    whole. Languages are the labels with ``min_share`` of all labelled rows, so there are at most 1 / min_share of them and
+    the model's size is fixed. Returns no languages where no row is labelled.
     """
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    total = rows.count()
+    named = labelled.where("lang IS NOT NULL")
+    shares = materialized(named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "labels")
+    total = shares.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    languages = sorted(r["lang"] for r in shares.where(F.col("n") >= min_share * total).collect())
+    if not languages:
+        return [], np.zeros((BUCKETS, 0), np.float32)
+    rows = named.where(F.col("text").isNotNull() & F.col("lang").isin(languages)).select("text", "lang")
     if total > sample_rows:
         rows = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / total))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
+        sums = {lang: np.zeros(BUCKETS, np.int64) for lang in languages}
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 code, at = grams(part.column("text"))
-                labels = part.column("lang").to_pylist()
-                for i, lang in enumerate(labels):
-                    docs[lang] = docs.get(lang, 0) + 1
-                    if len(docs) <= 2 / min_share or lang in sums:
-                        sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                        sums[lang] += np.bincount(code[at[i] : at[i + 1]], minlength=BUCKETS)
+                for i, lang in enumerate(part.column("lang").to_pylist()):
+                    sums[lang] += np.bincount(code[at[i] : at[i + 1]], minlength=BUCKETS)
         for lang, n in sums.items():
             used = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used) + [lang]), pa.array(np.append(used, -1)), pa.array(np.append(n[used], docs[lang]))], names=["lang", "bucket", "n"])
-
-    sums = materialized(rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    sizes = {r["lang"]: r["n"] for r in sums.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(int(1 / min_share)).collect()}
-    languages = sorted(k for k, n in sizes.items() if n >= min_share * sum(sizes.values()))
-    table = np.zeros((BUCKETS, len(languages)), np.float64)
-    wanted = sums.where("bucket >= 0").where(F.col("lang").isin(languages)) if languages else sums.limit(0)
-    found = wanted.toPandas()
-    place = {lang: i for i, lang in enumerate(languages)}
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(n[used])], names=["lang", "bucket", "n"])
+
+    found = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    table, place = np.zeros((BUCKETS, len(languages))), {lang: i for i, lang in enumerate(languages)}
     table[found["bucket"].to_numpy(np.int64), found["lang"].map(place).to_numpy(np.int64)] = found["n"]
     return languages, np.log((table + 0.5) / (table.sum(0, keepdims=True) + 0.5 * BUCKETS)).astype(np.float32)
 
