@@ -162,8 +162,8 @@ def longest_previous(data: np.ndarray, at: np.ndarray, owner: np.ndarray, length
 
 
 def _fold(n: int) -> int:
-    """Bits that tell buckets of hashes apart, for about a million hashes in each of 64 to 65,536 buckets."""
-    return min(16, max(6, int(np.ceil(np.log2(max(n, 1) / (1 << 20) + 1)))))
+    """Bits that tell buckets of hashes apart, for about a million hashes in each of 64 to a million buckets."""
+    return min(20, max(6, int(np.ceil(np.log2(max(n, 1) / (1 << 20) + 1)))))
 
 
 def _assembled(rows: DataFrame, fold: int, bits: int) -> np.ndarray:
@@ -182,7 +182,7 @@ def _packed(bucket: int, tops: np.ndarray, fold: int, bits: int) -> pa.Table:
 
 def _hash_filter(hashes: DataFrame, n: int, bits: int) -> np.ndarray:
     """A filter that holds every ``h`` of ``hashes``."""
-    fold = _fold(n)
+    fold = min(_fold(n), bits - 3)
 
     def pack(table: pa.Table) -> pa.Table:
         return _packed(table.column("bucket")[0].as_py(), table.column("top").to_numpy(), fold, bits)
@@ -205,7 +205,7 @@ def _shared_filter(texts: DataFrame, total_bytes: int, length: int, gram: int, b
     for each slice; a bit tells that the slice had it twice. As many bytes of a hash are sent as keep chance meetings rare.
     """
     n = total_bytes // 8
-    fold = _fold(n)
+    fold = min(_fold(n), bits - 3)
     kept = int(np.clip(np.ceil((2 * np.log2(max(n, 2)) - fold - 2) / 8), 4, 8))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +223,9 @@ def _shared_filter(texts: DataFrame, total_bytes: int, length: int, gram: int, b
                 edge = np.searchsorted(h >> np.uint64(64 - fold), np.arange((1 << fold) + 1, dtype=np.uint64))
                 sent = ((h << np.uint64(fold)) >> np.uint64(1)) | (several.astype(np.uint64) << np.uint64(63))
                 raw = sent.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :kept]
-                packed = string_from(np.ascontiguousarray(raw).ravel(), edge * kept, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 << fold, dtype=np.int32)), packed], names=["bucket", "hashes"])
+                full = np.flatnonzero(np.diff(edge))  # buckets follow one another, so the cuts of the full ones are all there are
+                packed = string_from(np.ascontiguousarray(raw).ravel(), np.append(edge[full], edge[-1]) * kept, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), packed], names=["bucket", "hashes"])
 
     def merge(table: pa.Table) -> pa.Table:
         raw = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, kept)
