@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialized, slices, string_parts
+from ledgerlens.session import small_side
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 20_000
-MIN_SHARE = 0.005
+SPAN = 1 << 30
+HELD_LANGUAGES = 64
+GATHER_CELLS = 1 << 24
 EFFECTIVE_GRAMS = 60
 STRENGTH = 5.0
 MIN_POSTERIOR = 0.5
@@ -42,38 +45,53 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code[letter].astype(np.int32), np.concatenate([[0], np.cumsum(letter)])[at]
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, min_share: float = MIN_SHARE) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities (bucket x language) from about ``sample_rows`` labelled rows (text, lang).
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+    """Languages and log-probabilities (bucket x language) from about ``sample_rows`` labelled rows (text, lang) of each.
 
-    Rows are sampled by a hash of their content, so a recomputed task draws the same ones; tables of fewer rows are used
-    whole. Languages are the labels with ``min_share`` of all labelled rows, so there are at most 1 / min_share of them and
-    the model's size is fixed. Returns no languages where no row is labelled.
+    Every label that occurs is a language, however rare. The rows of each are sampled by a hash of their content, so a
+    recomputed task draws the same ones; its rate follows the distinct contents of the language, so copies of a text neither
+    thin out the others nor are all that is drawn. Languages of fewer rows are used whole. The model takes 256 KB a language
+    in the driver and in each Python worker. Returns no languages where no row is labelled.
     """
-    named = labelled.where("lang IS NOT NULL")
-    shares = materialized(named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "labels")
-    total = shares.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    languages = sorted(r["lang"] for r in shares.where(F.col("n") >= min_share * total).collect())
+    content = F.xxhash64("text", "lang")
+    named = labelled.where("lang IS NOT NULL").select("text", "lang")
+    labels = named.groupBy("lang").agg(F.approx_count_distinct(F.when(F.col("text").isNotNull(), content)).alias("n"))
+    sizes = {r["lang"]: r["n"] for r in labels.collect()}
+    languages = sorted(sizes)
     if not languages:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    rows = named.where(F.col("text").isNotNull() & F.col("lang").isin(languages)).select("text", "lang")
-    if total > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / total))
+    bounds = [(lang, i, int(SPAN * min(1.0, sample_rows / max(sizes[lang], 1)))) for i, lang in enumerate(languages)]
+    drawn = small_side(labelled.sparkSession.createDataFrame(bounds, "lang string, language int, below long"))
+    rows = named.where(F.col("text").isNotNull()).join(drawn, "lang").where(F.pmod(content, F.lit(SPAN)) < F.col("below")).select("text", "language")
+
+    def told(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i, n in sums.items():
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), i, np.int32)), pa.array(used.astype(np.int32)), pa.array(n[used])], names=["language", "bucket", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {lang: np.zeros(BUCKETS, np.int64) for lang in languages}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 code, at = grams(part.column("text"))
-                for i, lang in enumerate(part.column("lang").to_pylist()):
-                    sums[lang] += np.bincount(code[at[i] : at[i + 1]], minlength=BUCKETS)
-        for lang, n in sums.items():
-            used = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(n[used])], names=["lang", "bucket", "n"])
-
-    found = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    table, place = np.zeros((BUCKETS, len(languages))), {lang: i for i, lang in enumerate(languages)}
-    table[found["bucket"].to_numpy(np.int64), found["lang"].map(place).to_numpy(np.int64)] = found["n"]
-    return languages, np.log((table + 0.5) / (table.sum(0, keepdims=True) + 0.5 * BUCKETS)).astype(np.float32)
+                for k, i in enumerate(part.column("language").to_pylist()):
+                    if i not in sums:
+                        if len(sums) == HELD_LANGUAGES:
+                            yield from told(sums)
+                            sums = {}
+                        sums[i] = np.zeros(BUCKETS, np.int64)
+                    np.add.at(sums[i], code[at[k] : at[k + 1]], 1)
+        yield from told(sums)
+
+    found = materialized(rows.mapInArrow(count, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    logs = np.empty((BUCKETS, len(languages)), np.float32)
+    for low in range(0, len(languages), HELD_LANGUAGES):
+        high = min(low + HELD_LANGUAGES, len(languages))
+        cells = found.where(F.col("language").between(low, high - 1)).toArrow()
+        table = np.zeros((BUCKETS, high - low))
+        table[cells.column("bucket").to_numpy(), cells.column("language").to_numpy() - low] = cells.column("n").to_numpy()
+        logs[:, low:high] = np.log((table + 0.5) / (table.sum(0, keepdims=True) + 0.5 * BUCKETS))
+    return languages, logs
 
 
 def _text_posteriors(rows: DataFrame, keys: list[str], logs: np.ndarray, effective: int) -> DataFrame:
@@ -89,8 +107,9 @@ def _text_posteriors(rows: DataFrame, keys: list[str], logs: np.ndarray, effecti
                 size = np.diff(at)
                 sums = np.zeros((len(size), n))
                 full = np.flatnonzero(size)
-                if len(full):
-                    sums[full] = np.add.reduceat(table[code], at[:-1][full], axis=0, dtype=np.float64)
+                step = max(1, GATHER_CELLS // max(len(code), 1))  # languages at a time, so that many need no more memory
+                for low in range(0, n if len(full) else 0, step):
+                    sums[full, low : low + step] = np.add.reduceat(table[:, low : low + step][code], at[:-1][full], axis=0, dtype=np.float64)
                 sums *= (np.minimum(size, effective) / np.maximum(size, 1))[:, None]
                 p = np.exp(sums - sums.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)

@@ -200,6 +200,32 @@ def test_language_of_held_out_documents(spark):
     assert sum(hits) / len(hits) > 0.97
 
 
+def letters_of(k, seed, words=40):
+    """Text of language k, out of twelve words of its own."""
+    own, r = random.Random(k), random.Random(1000 * k + seed)
+    known = ["".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)]
+    return " ".join(r.choice(known) for _ in range(words))
+
+
+def test_rare_language_is_answered(spark):
+    """A label with 0.3 % of the rows beside a hot group of copies that holds a third of them."""
+    rows = [(letters_of(1, i), "aa") for i in range(660)] + [(letters_of(1, 0), "aa")] * 330 + [(letters_of(2, i), "bb") for i in range(3)]
+    languages, logs = fit(spark.createDataFrame(rows, "text string, lang string"), sample_rows=300)
+    assert languages == ["aa", "bb"]
+    asked = spark.createDataFrame([(i, letters_of(1 + i % 2, 5000 + i), None, None) for i in range(20)], "id long, text string, declared string, host string")
+    assert {(x["id"] % 2, x["lang"], x["kept"]) for x in identify(asked, ["id"], languages, logs).collect()} == {(0, "aa", True), (1, "bb", True)}
+
+
+def test_languages_beyond_two_hundred(spark):
+    """Labels of equal share, each below 0.5 %."""
+    labels = [f"x-{k:03}" for k in range(210)]
+    rows = [(letters_of(k, i), lang) for k, lang in enumerate(labels) for i in range(2)]
+    languages, logs = fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert languages == labels and np.allclose(np.exp(logs.astype(np.float64)).sum(0), 1, atol=1e-4)
+    asked = spark.createDataFrame([(k, letters_of(k, 9), labels[k], "a.org") for k in range(0, 210, 3)], "id long, text string, declared string, host string")
+    assert all(x["lang"] == labels[x["id"]] and x["kept"] for x in identify(asked, ["id"], languages, logs).collect())
+
+
 def test_page_evidence(spark):
     html = '<!DOCTYPE html><HTML class="x" lang=de-AT><style>p {}</style><script>a<b</script><p>Der&nbsp;Text<!-- <b>no</b> --></p>'
     row = spark.createDataFrame([(html, "https://u@Sub.Example.co.uk:80/p?q#f"), (None, None), ("plain", "no address")], "html string, url string")
