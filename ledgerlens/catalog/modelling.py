@@ -157,9 +157,15 @@ def bayes_grid_search(spark, folder):
 @query("L14 L19")
 def boosting_grid_search(spark, folder):
     train, _ = _documents(spark, folder)
-    boosted = boost.AdaBoostClassifier(rounds=2)
-    grid = search.parameter_grid({boosted.rate: [0.5, 1.0], boosted.algorithm: ["SAMME", "SAMME.R"]})
-    return search.grid_results(search.grid_search(boosted, grid, train, "doc_id", folds=2), spark)
+    return search.boosting_grid([25, 50, 75, 100, 200], [0.1, 0.5, 1.0, 1.2, 1.5], ["SAMME", "SAMME.R"], train, "doc_id")
+
+
+@query("L16 L19")
+def margin_grid_search(spark, folder):
+    train, _ = _documents(spark, folder)
+    margin = LinearSVC(maxIter=50)
+    grid = search.parameter_grid({margin.regParam: [0.1, 0.3, 0.5, 0.7, 1.0]})
+    return search.grid_results(search.grid_search(margin, grid, train, "doc_id"), spark)
 
 
 @query("L16 L18 L22")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -102,6 +103,23 @@ class AdaBoostModel(Model, _BoostParams):
             .drop("_sum")
         )
 
+    def staged(self, dataset: DataFrame, rounds: Sequence[int]) -> Iterator[tuple[int, DataFrame]]:
+        """``(n, dataset with the prediction of the first n trees)`` for each of ``rounds``, in ascending order.
+
+        A round depends on those before it alone, so the first n trees are the fit of n rounds; a fit that ended early
+        has the same trees for all larger n. The sums are written out every few trees, so the plan does not grow.
+        """
+        columns, scored, done = dataset.columns, dataset.withColumn("_sum", F.lit(0.0)), 0
+        for n in sorted(rounds):
+            for tree, vote in zip(self.trees[done:n], self.votes[done:n]):
+                told = tree.transform(scored)
+                step = F.lit(vote) * (F.lit(2.0) * F.col("_pred") - F.lit(1.0)) if self.by_label else _lean("_prob")
+                scored = told.select(*columns, (F.col("_sum") + step).alias("_sum"))
+                done += 1
+                if done % WRITE_EVERY == 0:
+                    scored = materialized(scored, "boost-sums")
+            yield n, scored.withColumn("prediction", (F.col("_sum") > 0).cast("double")).drop("_sum")
+
 
 def _lean(probability: str) -> Column:
     """Log-odds of class 1, kept finite."""

@@ -201,6 +201,25 @@ def grid_search(estimator: Estimator, grid: Sequence[dict], train: DataFrame, ke
     return search.fit(train.withColumn("_fold", fold_number(key, folds, seed)))
 
 
+def boosting_grid(rounds: Sequence[int], rates: Sequence[float], algorithms: Sequence[str], train: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """``grid_search`` over all combinations for adaptive boosting, as ``(parameters, f1)``, best first.
+
+    Each rate and algorithm is fitted once per fold with the most rounds; fewer rounds are scored from its first trees.
+    """
+    positive = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0, beta=1.0)
+    rows = reused(train.withColumn("_fold", fold_number(key, folds, seed)))
+    scores: dict[str, float] = {}
+    for rate in rates:
+        for algorithm in algorithms:
+            for fold in range(folds):
+                model = AdaBoostClassifier(rounds=max(rounds), rate=rate, algorithm=algorithm).fit(rows.filter(F.col("_fold") != fold))
+                for n, told in model.staged(rows.filter(F.col("_fold") == fold), rounds):
+                    name = f"algorithm={algorithm}, rate={rate}, rounds={n}"
+                    scores[name] = scores.get(name, 0.0) + positive.evaluate(told) / folds
+    rows.unpersist()
+    return train.sparkSession.createDataFrame(list(scores.items()), "parameters string, f1 double").orderBy(F.desc("f1"), "parameters")
+
+
 def parameter_grid(choices: Mapping) -> list[dict]:
     """All combinations of ``{param: values}``."""
     builder = ParamGridBuilder()

@@ -142,3 +142,26 @@ def test_all_regressors_cross_validated(spark):
     found = {r["model"]: r["rmse"] for r in scores.collect()}
     assert set(found) == {"LinearRegression", "DecisionTree", "RandomForest", "GradientBoosting", "KNeighbors"}
     assert found["LinearRegression"] < 1e-6 and max(found.values()) < 3.2
+
+
+@pytest.mark.parametrize("algorithm", ["SAMME", "SAMME.R"])
+def test_first_trees_are_the_fit_of_fewer_rounds(labelled, algorithm):
+    model = boost.AdaBoostClassifier(rounds=7, algorithm=algorithm).fit(labelled)
+    for n, told in model.staged(labelled, [2, 7]):
+        fewer = boost.AdaBoostClassifier(rounds=n, algorithm=algorithm).fit(labelled).transform(labelled)
+        assert {(r["id"], r["prediction"]) for r in told.collect()} == {(r["id"], r["prediction"]) for r in fewer.collect()}
+
+
+def test_boosting_grid_has_every_combination(labelled):
+    found = search.boosting_grid([1, 2], [0.5, 1.2], ["SAMME", "SAMME.R"], labelled, "id", folds=2)
+    assert found.count() == 8 and {r["parameters"] for r in found.collect()} >= {"algorithm=SAMME, rate=0.5, rounds=1", "algorithm=SAMME.R, rate=1.2, rounds=2"}
+
+
+def test_registered_grids_are_whole(monkeypatch):
+    from ledgerlens.catalog import modelling
+
+    asked = []
+    monkeypatch.setattr(modelling, "_documents", lambda *_: (None, None))
+    monkeypatch.setattr(search, "boosting_grid", lambda rounds, rates, algorithms, *_, folds=5: asked.append((len(rounds) * len(rates) * len(algorithms), max(rounds), folds)))
+    modelling.boosting_grid_search(None, None)
+    assert asked == [(50, 200, 5)]
