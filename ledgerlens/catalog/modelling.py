@@ -183,8 +183,11 @@ def soft_vote_predictions(spark, folder):
 @query("L24")
 def learning_curve(spark, folder):
     train, _ = _documents(spark, folder)
-    curve = evaluate.learning_curve(train, "doc_id", search.bernoulli_bayes(), lambda d: evaluate.summary(d)["accuracy"], folds=5)
-    return spark.createDataFrame(curve, "fraction double, train_score double, validation_score double")
+    found = []
+    for name, estimator in search.classifiers(4).items():
+        curve = evaluate.learning_curve(train, "doc_id", estimator, lambda d: evaluate.summary(d)["accuracy"], folds=5)
+        found += [(name, *point) for point in curve]
+    return spark.createDataFrame(found, "model string, fraction double, train_score double, validation_score double")
 
 
 def _prices(spark, folder):
@@ -192,11 +195,11 @@ def _prices(spark, folder):
     return [reused(part) for part in search.train_test_split(lines, "id", 0.30, 101)]
 
 
-@query("L9 L10 L11 L13 L20 L21")
+@query("L9 L10 L11 L12 L13 L20 L21")
 def price_cross_validation(spark, folder):
     train, _ = _prices(spark, folder)
     stages = search.feature_stages(["extended", "discount", "tax", "quantity"], ["flag"])
-    candidates = {n: Pipeline(stages=[*stages, m]) for n, m in search.regressors().items() if n in ("LinearRegression", "DecisionTree")}
+    candidates = {n: Pipeline(stages=[*stages, m]) for n, m in search.regressors(key="id").items()}
     return search.cross_validated_rmse(train, "id", candidates, folds=10)
 
 
@@ -204,14 +207,14 @@ def price_cross_validation(spark, folder):
 def price_feature_sets(spark, folder):
     train, test = _prices(spark, folder)
     sets = {"all": (["extended", "discount", "tax", "quantity"], ["flag"]), "reduced": (["extended", "tax"], [])}
-    return search.compare_feature_sets(train, test, sets, search.regressors())
+    return search.compare_feature_sets(train, test, sets, search.regressors(key="id"))
 
 
 @query("L10 L11 L13 L25")
 def price_model_errors(spark, folder):
     train, test = _prices(spark, folder)
     sets = {"all": (["extended", "discount", "tax", "quantity"], ["flag"])}
-    return search.compare_feature_sets(train, test, sets, search.regressors())
+    return search.compare_feature_sets(train, test, sets, search.regressors(key="id"))
 
 
 @query("S8 L26 L1")

@@ -165,3 +165,23 @@ def test_registered_grids_are_whole(monkeypatch):
     monkeypatch.setattr(search, "boosting_grid", lambda rounds, rates, algorithms, *_, folds=5: asked.append((len(rounds) * len(rates) * len(algorithms), max(rounds), folds)))
     modelling.boosting_grid_search(None, None)
     assert asked == [(50, 200, 5)]
+
+
+def test_registered_queries_have_all_models(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from ledgerlens.catalog import modelling
+
+    asked = []
+    monkeypatch.setattr(modelling, "_prices", lambda *_: (None, None))
+    monkeypatch.setattr(modelling, "_documents", lambda *_: (None, None))
+    monkeypatch.setattr(search, "cross_validated_rmse", lambda train, key, candidates, folds: asked.append((set(candidates), folds)))
+    monkeypatch.setattr(search, "compare_feature_sets", lambda train, test, sets, candidates: asked.append((set(candidates), 1)))
+    monkeypatch.setattr(evaluate, "learning_curve", lambda *_, folds: [(1.0, 0.5, 0.5)])
+    modelling.price_cross_validation(None, None)
+    modelling.price_feature_sets(None, None)
+    modelling.price_model_errors(None, None)
+    five = {"LinearRegression", "DecisionTree", "RandomForest", "GradientBoosting", "KNeighbors"}
+    assert asked == [(five, 10), (five, 1), (five, 1)]
+    curves = modelling.learning_curve(SimpleNamespace(createDataFrame=lambda rows, schema: rows), None)
+    assert {r[0] for r in curves} == set(search.classifiers(4))
