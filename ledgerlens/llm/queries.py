@@ -169,3 +169,11 @@ def op10_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerlens.llm.piece_codec import encode_documents
 
     return encode_documents(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"), keep_ids=False, keep_text=False)
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Frequent words of all documents, their more frequent near forms, and the roots of those chains."""
+    from ledgerlens.llm.spelling_variants import spelling_variants
+
+    return spelling_variants(table(spark, folder, "documents"), min_length=7, min_count=2, ratio=10, typo_every=31)
