@@ -171,6 +171,16 @@ def op10_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"), keep_ids=False, keep_text=False)
 
 
+@query()
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest and proof of every document; half of them are checked with the line feeds taken out of their text."""
+    from ledgerlens.llm.merkle_manifest import merkle_proofs
+
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_proofs(table(spark, folder, "documents"), tampered)
+
+
 @query()
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Frequent words of all documents, their more frequent near forms, and the roots of those chains."""
