@@ -171,6 +171,15 @@ def op10_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"), keep_ids=False, keep_text=False)
 
 
+@query()
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Base phrases and license labels of every document."""
+    from ledgerlens.llm.license_scan import scan_licenses
+
+    found = scan_licenses(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("places").alias("n_places"))
+
+
 @query()
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Digest and proof of every document; half of them are checked with the line feeds taken out of their text."""
