@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import clean_texts, materialized
+from ledgerlens.session import spread
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SAME_PARTS, OTHER_PARTS = 4, 2
@@ -81,7 +82,7 @@ def signatures(words: DataFrame, order: str) -> DataFrame:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): pairs of words that one inserted, deleted or replaced letter tells apart, each pair once."""
-    rows = signatures(words, letter_order(words))
+    rows = signatures(spread(words, "word"), letter_order(words))
     left = rows.select("key", F.col("role").alias("a_role"), F.col("word").alias("a"), F.col("n").alias("a_n"))
     right = rows.select("key", F.col("role").alias("b_role"), F.col("word").alias("b"), F.col("n").alias("b_n"))
     # one condition over both sides, so that both read the same shuffle
