@@ -146,7 +146,8 @@ def _swept(rows: DataFrame, work: Callable[[list[tuple]], list[tuple]], schema:
     return dealt.mapInArrow(run, schema)
 
 
-_BLOCK = F.floor(F.col("idx") / ARITY**BLOCK_LEVELS).alias("block")
+def _block() -> Column:
+    return F.floor(F.col("idx") / ARITY**BLOCK_LEVELS).alias("block")
 
 
 def rounds_up(nodes: DataFrame) -> list[DataFrame]:
@@ -159,7 +160,7 @@ def rounds_up(nodes: DataFrame) -> list[DataFrame]:
 
     tables = [nodes]
     while (tables[-1].agg(F.max("n")).first()[0] or 0) > 1:
-        rows = tables[-1].select("grp", _BLOCK, "idx", "n", "digest")
+        rows = tables[-1].select("grp", _block(), "idx", "n", "digest")
         tables.append(materialized(_swept(rows, work, "grp string, idx long, n long, digest string"), "merkle-up"))
     return tables
 
@@ -167,7 +168,7 @@ def rounds_up(nodes: DataFrame) -> list[DataFrame]:
 def _with_messages(nodes: DataFrame, messages: DataFrame, own: list[str]) -> DataFrame:
     """Nodes and the message to each block, which sorts before them."""
     none = [F.lit(None).cast("string").alias(c) for c in ("path", "subroot")]
-    rows = nodes.select("grp", _BLOCK, "idx", "n", "digest", *own, *none)
+    rows = nodes.select("grp", _block(), "idx", "n", "digest", *own, *none)
     kinds = dict(nodes.dtypes)
     blank = [F.lit(None).cast(kinds[c]).alias(c) for c in ("n", "digest", *own)]
     return rows.unionAll(messages.select("grp", "block", F.lit(-1).cast("long").alias("idx"), *blank, "path", "subroot"))

@@ -49,10 +49,14 @@ def letter_order(words: DataFrame) -> str:
 
 
 def _parts(order: str, parts: int) -> Column:
-    """The word's letters in order, each with the part its (letter, occurrence) is dealt to."""
-    letters = F.array_sort(F.split("word", ""))
-    dealt = lambda c, i: F.pmod(F.instr(F.lit(order), c) + i - F.array_position(letters, c), F.lit(parts)).cast("int")
-    return F.transform(letters, lambda c, i: F.struct(c.alias("c"), dealt(c, i).alias("part")))
+    """The word's letters in order, each with how many of its occurrences are dealt to each part.
+
+    Occurrence o of a letter goes to the part of its place in ``order`` plus o, so a projection is told by its counts.
+    """
+    letters = F.array_sort(F.array_distinct(F.split("word", "")))
+    times = lambda c: F.char_length("word") - F.char_length(F.replace("word", c, F.lit("")))
+    dealt = lambda c, part: F.floor((times(c) + F.pmod(F.instr(F.lit(order), c) - part, F.lit(parts))) / parts)
+    return F.transform(letters, lambda c: F.struct(c.alias("c"), *[dealt(c, p).cast("int").alias(f"n{p}") for p in range(parts)]))
 
 
 def _keys(kind: int, role: int, length: Column, letters: str, parts: int, left_out: int) -> list[Column]:
@@ -61,8 +65,8 @@ def _keys(kind: int, role: int, length: Column, letters: str, parts: int, left_o
     halves = [F.left("word", half), F.right("word", length - half)]
     found = []
     for number, chosen in enumerate(combinations(range(parts), parts - left_out)):
-        inside = lambda x: x["part"].isin(*chosen)  # noqa: B023, E731
-        kept = F.array_join(F.transform(F.filter(letters, inside), lambda x: x["c"]), "")
+        counts = lambda x: F.struct(x["c"].alias("c"), sum((x[f"n{p}"] for p in chosen[1:]), x[f"n{chosen[0]}"]).alias("n"))  # noqa: B023, E731
+        kept = F.filter(F.transform(letters, counts), lambda x: x["n"] > 0)
         for side, part in enumerate(halves):
             found.append(F.struct(F.xxhash64(F.lit(kind), length, F.lit(2 * number + side), part, kept).alias("key"), F.lit(role).cast("byte").alias("role")))
     return found

@@ -7,7 +7,9 @@ import corpus_pipeline
 from ledgerlens.llm.decontaminate import contaminated
 from ledgerlens.llm.embedding_dedup import embedding_components
 from ledgerlens.llm.language_id import fit, identify
+from ledgerlens.llm.license_scan import scan_licenses
 from ledgerlens.llm.line_dedup import remove_repeated_lines
+from ledgerlens.llm.merkle_manifest import merkle_proofs
 from ledgerlens.llm.piece_codec import encode_documents
 from ledgerlens.llm.secret_scan import find_secrets
 from ledgerlens.llm.sharding import shard_documents
@@ -22,6 +24,8 @@ OPERATORS = {
     "simhash": simhash_components,
     "secrets": find_secrets,
     "shards": shard_documents,
+    "licenses": scan_licenses,
+    "proofs": lambda docs: merkle_proofs(docs, docs["text"]),
     "tokens": lambda docs: token_table(docs, public_tokenizers.path("word_bpe_49k.json"), 1),
     "pieces": lambda docs: encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")),
 }
