@@ -4,20 +4,157 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasSeed
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.session import materialized, reused
+from ledgerlens.models.cells import Batch, candidate_splits, carried, cell_table, summed
+from ledgerlens.session import reused
 
 _TINY = 2.220446049250313e-16
-WRITE_EVERY = 5
+#: Rounds after which the margins of all cells are written out.
+WRITE_EVERY = 20
+#: Splits whose impurities differ by less than this share are alike; the first one is taken.
+ALIKE = 1e-10
+
+
+@dataclass(frozen=True)
+class Plan:
+    """One model to be fitted on all folds but ``held_out`` (-1: on all)."""
+
+    rate: float
+    by_label: bool
+    held_out: int = -1
+
+
+@dataclass(frozen=True)
+class Stump:
+    """What one round adds to the margin: ``left`` where the feature is at most the threshold, else ``right``."""
+
+    feature: int
+    threshold: float
+    left: float
+    right: float
+
+
+def _applied(batch: Batch, pending: list[tuple[np.ndarray, ...]]) -> None:
+    for feature, cut, left, right in pending:
+        batch.margin += np.where(batch.bins[:, feature] <= cut, left, right)
+
+
+def _best(h0: np.ndarray, h1: np.ndarray, widths: list[int]) -> tuple[np.ndarray, ...]:
+    """For each plan the feature and bin with the least Gini impurity after the split, and the class weights on both sides."""
+    plans = h0.shape[1]
+    kept = np.full(plans, np.inf)
+    feature, cut = np.zeros(plans, np.int64), np.full(plans, -1)
+    sides = np.zeros((4, plans))
+    total0, total1 = h0[: widths[0]].sum(0), h1[: widths[0]].sum(0)
+    impure = lambda a, b: 2 * a * b / np.maximum(a + b, 1e-300)
+    whole = impure(total0, total1)
+    at = 0
+    for f, width in enumerate(widths):
+        left0, left1 = h0[at : at + width].cumsum(0)[:-1], h1[at : at + width].cumsum(0)[:-1]
+        at += width
+        if not len(left0):
+            continue
+        right0, right1 = np.maximum(total0 - left0, 0), np.maximum(total1 - left1, 0)
+        cost = impure(left0, left1) + impure(right0, right1)
+        least = cost.argmin(0)
+        pick = (least, np.arange(plans))
+        better = cost[pick] < np.minimum(kept, whole) - ALIKE * whole
+        kept = np.where(better, cost[pick], kept)
+        feature, cut = np.where(better, f, feature), np.where(better, least, cut)
+        sides = np.where(better, np.stack([left0[pick], left1[pick], right0[pick], right1[pick]]), sides)
+    # without a gain both sides are the whole
+    none = cut < 0
+    return feature, cut, *np.where(none, np.stack([total0, total1, total0, total1]), sides), total0, total1
+
+
+def boosted(cells: DataFrame, splits: Sequence[Sequence[float]], plans: Sequence[Plan], rounds: int, score_at: Sequence[int] = ()) -> tuple[list[list[Stump]], list[list[float]], dict[int, np.ndarray]]:
+    """Stumps and votes of every plan, and for each of ``score_at`` rounds the held-out (hits, false alarms, misses) of class 1.
+
+    All plans advance together, one aggregate a round. The margin of a cell is the sum of its stumps, and its weight follows
+    from the margin, so nothing but margins is kept; a round depends on those before it alone, so the first n stumps
+    are the model of n rounds. A plan that ends early (no error left, or none better than chance) adds nothing more.
+    """
+    widths = [len(s) + 1 for s in splits]
+    offsets = np.concatenate([[0], np.cumsum(widths)])
+    slots, count = int(offsets[-1]), len(plans)
+    held = np.array([p.held_out for p in plans])
+    by_label, rate = np.array([p.by_label for p in plans]), np.array([p.rate for p in plans])
+    slope = np.where(by_label, 0.5, rate / 2)
+    level, rows = np.zeros(count), np.zeros(count)  # the level keeps the sum of weights near the number of rows
+    open_ = np.ones(count, bool)
+    stumps: list[list[Stump]] = [[] for _ in plans]
+    votes: list[list[float]] = [[] for _ in plans]
+    pending: list[tuple[np.ndarray, ...]] = []
+    scores: dict[int, np.ndarray] = {}
+    cells = reused(cells)
+
+    for turn in range(rounds + 1):
+        scoring, last = turn in score_at, turn == rounds
+        if last and not scoring:
+            break
+
+        def work(batch: Batch, pending=tuple(pending), level=level.copy()) -> tuple[np.ndarray, np.ndarray]:
+            _applied(batch, pending)
+            sign = 2 * batch.label - 1
+            out = np.zeros((2, slots + 3, count))
+            if not last:
+                weight = batch.n[:, None] * np.exp(level - slope * sign[:, None] * batch.margin) * (batch.fold[:, None] != held)
+                one = batch.label == 1
+                for f, width in enumerate(widths):
+                    places = (batch.bins[:, f][:, None] == np.arange(width)).astype(float)
+                    out[0, offsets[f] : offsets[f] + width] = places[~one].T @ weight[~one]
+                    out[1, offsets[f] : offsets[f] + width] = places[one].T @ weight[one]
+            if scoring:
+                apart = batch.n[:, None] * (batch.fold[:, None] == held)
+                told, true = batch.margin > 0, (batch.label == 1)[:, None]
+                out[0, slots:] = [(apart * (told & true)).sum(0), (apart * (told & ~true)).sum(0), (apart * (~told & true)).sum(0)]
+            return out[0].ravel(), out[1].ravel()
+
+        sums = summed(cells, work, (slots + 3) * count).reshape(2, slots + 3, count)
+        if scoring:
+            scores[turn] = sums[0, slots:]
+        if last:
+            break
+        feature, cut, l0, l1, r0, r1, t0, t1 = _best(sums[0, :slots], sums[1, :slots], widths)
+        left_one, right_one = l1 > l0, r1 > r0
+        total = t0 + t1
+        error = (np.where(left_one, l0, l1) + np.where(cut >= 0, np.where(right_one, r0, r1), 0)) / np.maximum(total, 1e-300)
+        first = turn == 0
+        stopped = open_ & by_label & (error >= 0.5)
+        adds = open_ & (~stopped | first)
+        with np.errstate(divide="ignore"):
+            vote = np.where(by_label & ~stopped & (error > 0), rate * np.log((1 - error) / np.maximum(error, 1e-300)), 1.0)
+        lean = lambda a, b: np.log(np.maximum(b / np.maximum(a + b, 1e-300), _TINY)) - np.log(np.maximum(a / np.maximum(a + b, 1e-300), _TINY))
+        left = np.where(by_label, vote * np.where(left_one, 1.0, -1.0), lean(l0, l1)) * adds
+        right = np.where(by_label, vote * np.where(right_one, 1.0, -1.0), lean(r0, r1)) * adds
+        for p in np.flatnonzero(adds):
+            threshold = splits[feature[p]][cut[p]] if cut[p] >= 0 else math.inf
+            stumps[p].append(Stump(int(feature[p]), float(threshold), float(left[p]), float(right[p])))
+            votes[p].append(float(vote[p]))
+        cut = np.where(cut >= 0, cut, 1 << 30)
+        pending.append((feature, cut, left, right))
+        rows = total if first else rows
+        level = np.where(total > 0, level - np.log(np.maximum(total, 1e-300) / np.maximum(rows, 1e-300)), level)
+        open_ &= ~(stopped | (error <= 0))
+        if not open_.any() and not any(n > turn for n in score_at):
+            break
+        if len(pending) == WRITE_EVERY and turn + 1 < rounds:
+            steps = tuple(pending)
+            after = reused(carried(cells, lambda batch, steps=steps: _applied(batch, steps)))
+            cells.unpersist()
+            cells, pending = after, []
+    cells.unpersist()
+    return stumps, votes, scores
 
 
 class _BoostParams(HasFeaturesCol, HasLabelCol, HasSeed):
@@ -29,8 +166,7 @@ class _BoostParams(HasFeaturesCol, HasLabelCol, HasSeed):
 class AdaBoostClassifier(Estimator, _BoostParams):
     """Each round fits a tree with one split on weighted rows; rows it gets wrong weigh more in the next.
 
-    The weights are one column of the training table. It is written out every few rounds, so neither the plan nor the
-    work to recover a lost executor grows with the rounds.
+    Features are cut at up to 31 thresholds, and equal rows are counted once, so a round is one aggregate over cells.
     """
 
     @keyword_only
@@ -40,88 +176,45 @@ class AdaBoostClassifier(Estimator, _BoostParams):
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> AdaBoostModel:
-        features, label = self.getFeaturesCol(), self.getLabelCol()
-        rate, by_label = self.getOrDefault("rate"), self.getOrDefault("algorithm") == "SAMME"
-        stump = DecisionTreeClassifier(
-            featuresCol=features, labelCol="_y", weightCol="_w", maxDepth=1, seed=self.getSeed(), minInfoGain=0.0,
-            rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred",
-        )
-        rows = materialized(dataset.select(features, F.col(label).cast("double").alias("_y")).withColumn("_w", F.lit(1.0)), "boost")
-        total = rows.agg(F.sum("_w").alias("w")).first()["w"]
-        trees, votes, kept = [], [], None
-        for turn in range(self.getOrDefault("rounds")):
-            tree = stump.fit(rows)
-            told = tree.transform(rows)
-            missed = (F.col("_pred") != F.col("_y")).cast("double")
-            error = told.agg((F.sum(F.col("_w") * missed) / F.sum("_w")).alias("e")).first()["e"]
-            if by_label and error >= 0.5:
-                if not trees:
-                    trees, votes = [tree], [1.0]
-                break
-            vote = rate * math.log((1.0 - error) / error) if by_label and error > 0 else 1.0
-            trees.append(tree)
-            votes.append(vote)
-            if error <= 0:
-                break
-            if by_label:
-                factor = F.exp(F.lit(vote) * missed)
-            else:
-                lean = _lean("_prob")
-                factor = F.exp(F.lit(-rate / 2.0) * F.when(F.col("_y") == 1.0, lean).otherwise(-lean))
-            # keep the weights' sum at the number of rows, so that they neither vanish nor overflow
-            weighted = reused(told.select(features, "_y", (F.col("_w") * factor).alias("_w")))
-            now = weighted.agg(F.sum("_w").alias("w")).first()["w"]
-            following = weighted.withColumn("_w", F.col("_w") * F.lit(total / now))
-            rows = materialized(following, "boost") if (turn + 1) % WRITE_EVERY == 0 else following
-            if kept is not None:
-                kept.unpersist()
-            kept = weighted
-        if kept is not None:
-            kept.unpersist()
-        return self._copyValues(AdaBoostModel(trees, votes, by_label))
+        by_label = self.getOrDefault("algorithm") == "SAMME"
+        rows = reused(dataset.select(vector_to_array(self.getFeaturesCol()).alias("x"), self.getLabelCol()))
+        splits = candidate_splits(rows, "x")
+        plan = Plan(self.getOrDefault("rate"), by_label)
+        stumps, votes, _ = boosted(cell_table(rows, "x", self.getLabelCol(), F.lit(0), splits, 1), splits, [plan], self.getOrDefault("rounds"))
+        rows.unpersist()
+        return self._copyValues(AdaBoostModel(stumps[0], votes[0], by_label))
 
 
 class AdaBoostModel(Model, _BoostParams):
-    """The trees and their votes; adds ``rawPrediction``, ``probability`` and ``prediction``."""
+    """The stumps and their votes; adds ``rawPrediction``, ``probability`` and ``prediction``."""
 
-    def __init__(self, trees=(), votes=(), by_label=False):
+    def __init__(self, stumps: Sequence[Stump] = (), votes: Sequence[float] = (), by_label: bool = False):
         super().__init__()
-        self.trees, self.votes, self.by_label = list(trees), list(votes), by_label
+        self.stumps, self.votes, self.by_label = list(stumps), list(votes), by_label
+
+    def _sum(self, count: int | None = None) -> Column:
+        """The margin's sum as one pass over an array of constants, so the plan does not grow with the rounds."""
+        parts = [(s.feature, s.threshold, s.left, s.right) for s in self.stumps[:count]]
+        if not parts:
+            return F.lit(0.0)
+        fields = ("feature int", "threshold double", "left double", "right double")
+        steps = F.array(*[F.struct(*[F.lit(v).cast(f.split()[1]).alias(f.split()[0]) for v, f in zip(p, fields, strict=True)]) for p in parts])
+        x = vector_to_array(self.getFeaturesCol())
+        return F.aggregate(steps, F.lit(0.0), lambda total, s: total + F.when(F.get(x, s["feature"]) <= s["threshold"], s["left"]).otherwise(s["right"]))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        scored = dataset.withColumn("_sum", F.lit(0.0))
-        for tree, vote in zip(self.trees, self.votes):
-            told = tree.transform(scored)
-            step = F.lit(vote) * (F.lit(2.0) * F.col("_pred") - F.lit(1.0)) if self.by_label else _lean("_prob")
-            scored = told.withColumn("_sum", F.col("_sum") + step).drop("_raw", "_prob", "_pred")
-        margin = F.col("_sum") / F.lit(sum(self.votes) if self.by_label else float(len(self.trees)))
+        scale = sum(self.votes) if self.by_label else float(max(1, len(self.stumps)))
+        told = dataset.withColumn("_margin", self._sum() / F.lit(scale))
+        margin = F.col("_margin")
         one = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
         return (
-            scored.withColumn("rawPrediction", array_to_vector(F.array(-margin, margin)))
+            told.withColumn("rawPrediction", array_to_vector(F.array(-margin, margin)))
             .withColumn("probability", array_to_vector(F.array(F.lit(1.0) - one, one)))
             .withColumn("prediction", (margin > 0).cast("double"))
-            .drop("_sum")
+            .drop("_margin")
         )
 
     def staged(self, dataset: DataFrame, rounds: Sequence[int]) -> Iterator[tuple[int, DataFrame]]:
-        """``(n, dataset with the prediction of the first n trees)`` for each of ``rounds``, in ascending order.
-
-        A round depends on those before it alone, so the first n trees are the fit of n rounds; a fit that ended early
-        has the same trees for all larger n. The sums are written out every few trees, so the plan does not grow.
-        """
-        columns, scored, done = dataset.columns, dataset.withColumn("_sum", F.lit(0.0)), 0
+        """``(n, dataset with the prediction of the first n trees)`` for each of ``rounds``, in ascending order."""
         for n in sorted(rounds):
-            for tree, vote in zip(self.trees[done:n], self.votes[done:n]):
-                told = tree.transform(scored)
-                step = F.lit(vote) * (F.lit(2.0) * F.col("_pred") - F.lit(1.0)) if self.by_label else _lean("_prob")
-                scored = told.select(*columns, (F.col("_sum") + step).alias("_sum"))
-                done += 1
-                if done % WRITE_EVERY == 0:
-                    scored = materialized(scored, "boost-sums")
-            yield n, scored.withColumn("prediction", (F.col("_sum") > 0).cast("double")).drop("_sum")
-
-
-def _lean(probability: str) -> Column:
-    """Log-odds of class 1, kept finite."""
-    p = vector_to_array(F.col(probability))
-    return F.log(F.greatest(p[1], F.lit(_TINY))) - F.log(F.greatest(p[0], F.lit(_TINY)))
+            yield n, dataset.withColumn("prediction", (self._sum(n) > 0).cast("double"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import astuple
 
+import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -26,7 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import FOLD_FACTOR, key_spot
-from ledgerlens.models.boost import AdaBoostClassifier, AdaBoostModel
+from ledgerlens.models.boost import AdaBoostClassifier, AdaBoostModel, Plan, Stump, boosted
+from ledgerlens.models.cells import candidate_splits, cell_table
 from ledgerlens.models.evaluate import regression_errors, summary
 from ledgerlens.operators.neighbors import _nearest_by_group
 from ledgerlens.session import materialized, reused
@@ -68,7 +71,7 @@ def bernoulli_bayes(smoothing: float = 1.0) -> Pipeline:
     )
 
 
-def classifiers(n_features: int, seed: int = 42, rounds: int = 10) -> dict[str, Estimator]:
+def classifiers(n_features: int, seed: int = 42, rounds: int = 50) -> dict[str, Estimator]:
     """The models compared in a sweep."""
     return {
         "LogisticRegression": LogisticRegression(maxIter=50),
@@ -202,22 +205,24 @@ def grid_search(estimator: Estimator, grid: Sequence[dict], train: DataFrame, ke
 
 
 def boosting_grid(rounds: Sequence[int], rates: Sequence[float], algorithms: Sequence[str], train: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """``grid_search`` over all combinations for adaptive boosting, as ``(parameters, f1)``, best first.
+    """Mean F1 of class 1 over folds of all combinations for adaptive boosting, as ``(parameters, f1)``, best first.
 
-    Each rate and algorithm is fitted once per fold with the most rounds; fewer rounds are scored from its first trees.
+    Every rate, algorithm and fold is one plan of a single boosting run with the most rounds; fewer rounds are scored on
+    its way. Thresholds are taken from all training rows, as they hold no labels.
     """
-    positive = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0, beta=1.0)
-    rows = reused(train.withColumn("_fold", fold_number(key, folds, seed)))
-    scores: dict[str, float] = {}
-    for rate in rates:
-        for algorithm in algorithms:
-            for fold in range(folds):
-                model = AdaBoostClassifier(rounds=max(rounds), rate=rate, algorithm=algorithm).fit(rows.filter(F.col("_fold") != fold))
-                for n, told in model.staged(rows.filter(F.col("_fold") == fold), rounds):
-                    name = f"algorithm={algorithm}, rate={rate}, rounds={n}"
-                    scores[name] = scores.get(name, 0.0) + positive.evaluate(told) / folds
+    rows = reused(train.select(F.col(key), vector_to_array("features").alias("x"), "label"))
+    splits = candidate_splits(rows, "x")
+    choices = [(rate, algorithm) for rate in rates for algorithm in algorithms]
+    plans = [Plan(rate, algorithm == "SAMME", fold) for rate, algorithm in choices for fold in range(folds)]
+    cells = cell_table(rows, "x", "label", fold_number(key, folds, seed), splits, len(plans))
+    _, _, scores = boosted(cells, splits, plans, max(rounds), sorted(rounds))
     rows.unpersist()
-    return train.sparkSession.createDataFrame(list(scores.items()), "parameters string, f1 double").orderBy(F.desc("f1"), "parameters")
+    found = []
+    for n in rounds:
+        hit, false, missed = scores[n]
+        f1 = (2 * hit / np.maximum(2 * hit + false + missed, 1)).reshape(len(choices), folds).mean(1)
+        found += [(f"algorithm={algorithm}, rate={rate}, rounds={n}", float(v)) for (rate, algorithm), v in zip(choices, f1, strict=True)]
+    return train.sparkSession.createDataFrame(found, "parameters string, f1 double").orderBy(F.desc("f1"), "parameters")
 
 
 def parameter_grid(choices: Mapping) -> list[dict]:
@@ -277,8 +282,8 @@ def save_model(model: Model, path: str) -> None:
         meta |= {"slope": model.slope, "intercept": model.intercept}
         parts = [model.model]
     elif isinstance(model, AdaBoostModel):
-        meta |= {"votes": model.votes, "by_label": model.by_label, "models": len(model.trees)}
-        parts = model.trees
+        meta |= {"votes": model.votes, "by_label": model.by_label, "stumps": [astuple(s) for s in model.stumps]}
+        parts = []
     elif isinstance(model, NearestMeanModel):
         meta |= {"key": model.key, "k": model.k}
         parts = []
@@ -303,7 +308,7 @@ def load_model(path: str) -> Model:
         case "CalibratedModel":
             return CalibratedModel(parts(1)[0], meta["slope"], meta["intercept"])
         case "AdaBoostModel":
-            return AdaBoostModel(parts(meta["models"]), meta["votes"], meta["by_label"])
+            return AdaBoostModel([Stump(*s) for s in meta["stumps"]], meta["votes"], meta["by_label"])
         case "NearestMeanModel":
             return NearestMeanModel(spark.read.parquet(f"{path}/rows"), meta["key"], meta["k"])
     return getattr(importlib.import_module(meta["module"]), meta["name"]).load(f"{path}/model")

@@ -7,7 +7,7 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from ledgerlens.models import boost, clusters, evaluate, search
+from ledgerlens.models import boost, cells, clusters, evaluate, search
 
 # confusion matrix (true 0: hit, miss; true 1: miss, hit) and the printed report rows
 REPORTS = [
@@ -75,7 +75,7 @@ def test_boosting_learns_the_split(labelled, algorithm):
     model = boost.AdaBoostClassifier(rounds=3, algorithm=algorithm).fit(labelled)
     told = model.transform(labelled)
     assert evaluate.summary(told)["accuracy"] > 0.85
-    assert len(model.trees) == len(model.votes) <= 3
+    assert len(model.stumps) == len(model.votes) <= 3
 
 
 def test_soft_vote_and_calibrated_margin(labelled):
@@ -167,6 +167,68 @@ def test_registered_grids_are_whole(monkeypatch):
     assert asked == [(50, 200, 5)]
 
 
+def numpy_boost(x, y, splits, rounds, rate, by_label):
+    """Weights by row, every threshold tried: margins after each round."""
+    w, margin, out = np.ones(len(y)), np.zeros(len(y)), []
+    for _ in range(rounds):
+        best = None
+        for f, thresholds in enumerate(splits):
+            for t in thresholds:
+                left = x[:, f] <= t
+                cost = sum(2 * w[s & (y == 0)].sum() * w[s & (y == 1)].sum() / max(w[s].sum(), 1e-300) for s in (left, ~left))
+                if best is None or cost < best[0] * (1 - 1e-9):
+                    best = (cost, left)
+        left = best[1]
+        one = [w[s & (y == 1)].sum() / w[s].sum() for s in (left, ~left)]
+        p = np.where(left, *one)
+        told = (p > 0.5).astype(float)
+        error = w[told != y].sum() / w.sum()
+        if by_label and error >= 0.5:
+            break
+        if by_label:
+            vote = rate * np.log((1 - error) / error)
+            margin, w = margin + vote * (2 * told - 1), w * np.exp(vote * (told != y))
+        else:
+            lean = np.log(p) - np.log(1 - p)
+            margin, w = margin + lean, w * np.exp(-rate / 2 * (2 * y - 1) * lean)
+        w = w / w.sum()
+        out.append(margin.copy())
+    return out
+
+
+@pytest.mark.parametrize("by_label", [True, False])
+def test_boosting_equals_weights_by_row(spark, labelled, by_label):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = labelled.select("id", vector_to_array("features").alias("x"), "label")
+    splits = cells.candidate_splits(rows, "x", bins=6)
+    fold = (F.col("id") % 3).cast("int")
+    plans = [boost.Plan(rate, by_label, held) for rate in (0.5, 1.2) for held in (-1, 0, 2)]
+    stumps, _, scores = boost.boosted(cells.cell_table(rows, "x", "label", fold, splits, len(plans)), splits, plans, 25, [3, 25])
+    local = rows.orderBy("id").collect()
+    x, y, ids = np.array([r["x"] for r in local]), np.array([r["label"] for r in local]), np.array([r["id"] for r in local])
+    for p, plan in enumerate(plans):
+        inside = ids % 3 != plan.held_out
+        told = numpy_boost(x[inside], y[inside], splits, 25, plan.rate, by_label)
+        margin = np.zeros(len(y))
+        for turn, s in enumerate(stumps[p]):
+            margin += np.where(x[:, s.feature] <= s.threshold, s.left, s.right)
+            assert np.allclose(margin[inside], told[turn])
+            if turn + 1 in scores:
+                apart = ~inside
+                hits = ((margin > 0) & (y == 1) & apart).sum(), ((margin > 0) & (y == 0) & apart).sum(), ((margin <= 0) & (y == 1) & apart).sum()
+                assert tuple(scores[turn + 1][:, p]) == hits
+        assert len(stumps[p]) == len(told)
+
+
+def test_candidate_splits(spark):
+    rows = spark.createDataFrame([([float(i % 3), float(i), 5.0],) for i in range(100)], "x array<double>")
+    few, many, one = cells.candidate_splits(rows, "x", bins=4)
+    assert few == [0.5, 1.5] and many == [24.75, 49.5, 74.25] and one == []
+    found = rows.select(cells.binned("x", [few, many, one]).alias("b"), "x").collect()
+    assert all(r["b"] == [int(r["x"][0]), sum(t < r["x"][1] for t in many), 0] for r in found)
+
+
 def test_registered_queries_have_all_models(spark, monkeypatch):
     from types import SimpleNamespace
 
