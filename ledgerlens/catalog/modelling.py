@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, NaiveBayes
 from pyspark.ml.feature import Binarizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ledgerlens.catalog import sql as S
 from ledgerlens.catalog.registry import query, single
-from ledgerlens.functions.exprs import SPLIT_FACTOR
-from ledgerlens.models import boost, clusters, evaluate, search
+from ledgerlens.functions.exprs import FOLD_FACTOR, SPLIT_FACTOR
+from ledgerlens.models import boost, clusters, evaluate, newton, search
+from ledgerlens.models.cells import candidate_splits, cell_table
 from ledgerlens.session import reused, scratch_path
 from ledgerlens.sources import views
 
@@ -160,6 +162,84 @@ def boosting_grid_search(spark, folder):
     return search.boosting_grid([25, 50, 75, 100, 200], [0.1, 0.5, 1.0, 1.2, 1.5], ["SAMME", "SAMME.R"], train, "doc_id")
 
 
+@query("L13 L19")
+def boosted_tree_grid_search(spark, folder):
+    train, _ = _documents(spark, folder)
+    return search.newton_grid([25, 50, 75, 100, 200], [0.1, 0.5, 1.0, 1.2, 1.5], [1, 2, 3, 4, 5], train, "doc_id")
+
+
+#: Training documents with codes, folds, candidate thresholds and, for every fold and threshold, class counts of both sides.
+_SPLITS = f"""raw AS (
+  SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, CAST(toxic AS DOUBLE) AS toxic, lang, source, CAST(quality AS DOUBLE) AS label,
+         CAST(floor({S.key_spot('doc_id', 42, FOLD_FACTOR)} * 5) AS INT) AS fold
+  FROM documents JOIN labels USING (doc_id) WHERE NOT ({S.key_spot('doc_id', 123, SPLIT_FACTOR)} < 0.20)),
+coded AS (SELECT *, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS DOUBLE) AS lang_code, CAST(dense_rank() OVER (ORDER BY source) - 1 AS DOUBLE) AS source_code FROM raw),
+long AS (SELECT doc_id, fold, label, unnest([0, 1, 2, 3]) AS feature, unnest([n_chars, toxic, lang_code, source_code]) AS value FROM coded),
+kinds AS (SELECT feature, count(DISTINCT value) AS n FROM long GROUP BY feature),
+edges AS (
+  SELECT feature, (value + after) / 2 AS threshold
+  FROM (SELECT feature, value, lead(value) OVER (PARTITION BY feature ORDER BY value) AS after FROM (SELECT DISTINCT feature, value FROM long)) JOIN kinds USING (feature)
+  WHERE n <= 32 AND after IS NOT NULL
+  UNION SELECT feature, unnest(q) FROM (
+    SELECT feature, quantile_cont(value, [{', '.join(f'{k / 32}' for k in range(1, 32))}]) AS q FROM long JOIN kinds USING (feature) WHERE n > 32 GROUP BY feature)),
+sides AS (
+  SELECT f.fold, e.feature, e.threshold,
+         CAST(count(*) FILTER (value <= threshold AND label = 0) AS DOUBLE) AS l0, CAST(count(*) FILTER (value <= threshold AND label = 1) AS DOUBLE) AS l1,
+         CAST(count(*) FILTER (value > threshold AND label = 0) AS DOUBLE) AS r0, CAST(count(*) FILTER (value > threshold AND label = 1) AS DOUBLE) AS r1
+  FROM (SELECT unnest(range(5)) AS fold) f, edges e JOIN long USING (feature) WHERE long.fold <> f.fold GROUP BY ALL)"""
+
+
+def _raw_features(spark, folder):
+    """Training documents with unscaled features, as the first rounds are compared with SQL."""
+    train, _ = search.train_test_split(views.classified_documents(spark, folder), "doc_id", 0.20, 123)
+    prepared = Pipeline(stages=search.feature_stages(["n_chars", "toxic"], ["lang", "source"], scale=False)).fit(train)
+    return reused(prepared.transform(train).select("doc_id", vector_to_array("features").alias("x"), "label"))
+
+
+@query(
+    "L14",
+    f"""WITH {_SPLITS}, ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(2 * l0 * l1 / (l0 + l1) + 2 * r0 * r1 / (r0 + r1), 6), feature, threshold) AS place
+      FROM sides WHERE l0 + l1 > 0 AND r0 + r1 > 0)
+    SELECT CAST(fold AS INT) AS fold, CAST(feature AS INT) AS feature, round(threshold, 6) AS threshold,
+           round(ln(greatest(l1 / (l0 + l1), 2.220446049250313e-16)) - ln(greatest(l0 / (l0 + l1), 2.220446049250313e-16)), 6) AS "left",
+           round(ln(greatest(r1 / (r0 + r1), 2.220446049250313e-16)) - ln(greatest(r0 / (r0 + r1), 2.220446049250313e-16)), 6) AS "right"
+    FROM ranked WHERE place = 1""",
+)
+def boosting_first_rounds(spark, folder):
+    rows = _raw_features(spark, folder)
+    splits = candidate_splits(rows, "x")
+    plans = [boost.Plan(1.0, False, fold) for fold in range(5)]
+    cells = cell_table(rows, "x", "label", search.fold_number("doc_id", 5, 42), splits, len(plans))
+    stumps, _, _ = boost.boosted(cells, splits, plans, 1)
+    found = [(fold, s.feature, s.threshold, s.left, s.right) for fold, made in enumerate(stumps) for s in made]
+    told = spark.createDataFrame(found, "fold int, feature int, threshold double, left double, right double")
+    return told.select("fold", "feature", *[F.round(c, 6).alias(c) for c in ("threshold", "left", "right")])
+
+
+@query(
+    "L13",
+    f"""WITH {_SPLITS},
+    slopes AS (SELECT *, (l0 - l1) / 2 AS lg, (l0 + l1) / 4 AS lh, (r0 - r1) / 2 AS rg, (r0 + r1) / 4 AS rh FROM sides),
+    gains AS (
+      SELECT fold, feature, threshold, lg, lh, rg, rh, lg * lg / (lh + 1) + rg * rg / (rh + 1) - (lg + rg) * (lg + rg) / (lh + rh + 1) AS gain
+      FROM slopes WHERE lh >= 1 AND rh >= 1
+      UNION ALL SELECT DISTINCT fold, 0, CAST('Infinity' AS DOUBLE), lg + rg, lh + rh, lg + rg, lh + rh, 0.000001 FROM slopes),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(gain, 6) DESC, feature, threshold DESC) AS place FROM gains)
+    SELECT CAST(fold AS INT) AS fold, CAST(feature AS INT) AS feature, round(threshold, 6) AS threshold,
+           round(-0.3 * lg / (lh + 1), 6) AS "left", round(-0.3 * rg / (rh + 1), 6) AS "right" FROM ranked WHERE place = 1""",
+)
+def boosted_first_trees(spark, folder):
+    rows = _raw_features(spark, folder)
+    splits = candidate_splits(rows, "x")
+    plans = [newton.Plan(0.3, 1, fold) for fold in range(5)]
+    cells = cell_table(rows, "x", "label", search.fold_number("doc_id", 5, 42), splits, len(plans))
+    trees, _ = newton.newton_boosted(cells, splits, plans, 1)
+    found = [(fold, t.features[0][0], t.thresholds[0][0], *t.leaves) for fold, made in enumerate(trees) for t in made]
+    told = spark.createDataFrame(found, "fold int, feature int, threshold double, left double, right double")
+    return told.select("fold", "feature", *[F.round(c, 6).alias(c) for c in ("threshold", "left", "right")])
+
+
 @query("L16 L19")
 def margin_grid_search(spark, folder):
     train, _ = _documents(spark, folder)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 from pyspark import keyword_only
@@ -15,7 +16,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasSeed
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.models.cells import Batch, candidate_splits, carried, cell_table, summed
+from ledgerlens.models.cells import Batch, Cells, candidate_splits, carried, cell_table, summed
 from ledgerlens.session import reused
 
 _TINY = 2.220446049250313e-16
@@ -77,7 +78,7 @@ def _best(h0: np.ndarray, h1: np.ndarray, widths: list[int]) -> tuple[np.ndarray
     return feature, cut, *np.where(none, np.stack([total0, total1, total0, total1]), sides), total0, total1
 
 
-def boosted(cells: DataFrame, splits: Sequence[Sequence[float]], plans: Sequence[Plan], rounds: int, score_at: Sequence[int] = ()) -> tuple[list[list[Stump]], list[list[float]], dict[int, np.ndarray]]:
+def boosted(cells: Cells, splits: Sequence[Sequence[float]], plans: Sequence[Plan], rounds: int, score_at: Sequence[int] = ()) -> tuple[list[list[Stump]], list[list[float]], dict[int, np.ndarray]]:
     """Stumps and votes of every plan, and for each of ``score_at`` rounds the held-out (hits, false alarms, misses) of class 1.
 
     All plans advance together, one aggregate a round. The margin of a cell is the sum of its stumps, and its weight follows
@@ -96,7 +97,6 @@ def boosted(cells: DataFrame, splits: Sequence[Sequence[float]], plans: Sequence
     votes: list[list[float]] = [[] for _ in plans]
     pending: list[tuple[np.ndarray, ...]] = []
     scores: dict[int, np.ndarray] = {}
-    cells = reused(cells)
 
     for turn in range(rounds + 1):
         scoring, last = turn in score_at, turn == rounds
@@ -150,10 +150,8 @@ def boosted(cells: DataFrame, splits: Sequence[Sequence[float]], plans: Sequence
             break
         if len(pending) == WRITE_EVERY and turn + 1 < rounds:
             steps = tuple(pending)
-            after = reused(carried(cells, lambda batch, steps=steps: _applied(batch, steps)))
-            cells.unpersist()
-            cells, pending = after, []
-    cells.unpersist()
+            cells, pending = carried(cells, lambda batch, steps=steps: _applied(batch, steps)), []
+    cells.release()
     return stumps, votes, scores
 
 
@@ -194,11 +192,10 @@ class AdaBoostModel(Model, _BoostParams):
 
     def _sum(self, count: int | None = None) -> Column:
         """The margin's sum as one pass over an array of constants, so the plan does not grow with the rounds."""
-        parts = [(s.feature, s.threshold, s.left, s.right) for s in self.stumps[:count]]
-        if not parts:
+        if not self.stumps[:count]:
             return F.lit(0.0)
-        fields = ("feature int", "threshold double", "left double", "right double")
-        steps = F.array(*[F.struct(*[F.lit(v).cast(f.split()[1]).alias(f.split()[0]) for v, f in zip(p, fields, strict=True)]) for p in parts])
+        told = [asdict(s) | {"threshold": min(s.threshold, 1.7976931348623157e308)} for s in self.stumps[:count]]
+        steps = F.from_json(F.lit(json.dumps(told)), "array<struct<feature:int,threshold:double,left:double,right:double>>")
         x = vector_to_array(self.getFeaturesCol())
         return F.aggregate(steps, F.lit(0.0), lambda total, s: total + F.when(F.get(x, s["feature"]) <= s["threshold"], s["left"]).otherwise(s["right"]))
 

@@ -8,6 +8,7 @@ the cells, from which only weighted counts by (plan, node, feature, bin) come ba
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -55,14 +56,25 @@ def binned(features: str, splits: Sequence[Sequence[float]]) -> Column:
     return F.array(*[place(i, s) for i, s in enumerate(splits)])
 
 
-def cell_table(df: DataFrame, features: str, label: str, fold: Column, splits: Sequence[Sequence[float]], plans: int) -> DataFrame:
-    """(bins, fold, label, n, margin): rows with equal bins, fold and 0/1 label counted; no plan has a margin yet."""
+@dataclass(frozen=True)
+class Cells:
+    """A kept table of cells (bins, fold, label, n, margin) in so many partitions."""
+
+    table: DataFrame
+    parts: int
+
+    def release(self) -> None:
+        self.table.unpersist()
+
+
+def cell_table(df: DataFrame, features: str, label: str, fold: Column, splits: Sequence[Sequence[float]], plans: int) -> Cells:
+    """Rows with equal bins, fold and 0/1 label counted; no plan has a margin yet."""
     rows = df.select(binned(features, splits).alias("bins"), fold.cast("int").alias("fold"), F.col(label).cast("double").alias("label"))
     cells = materialized(rows.groupBy("bins", "fold", "label").agg(F.count(F.lit(1)).cast("double").alias("n")), "cells")
     parts = max(1, -(-cells.count() * plans // STATE))
     none = F.array_repeat(F.lit(0.0), plans)
     spread = cells.repartition(parts, "bins", "fold", "label") if parts > 1 else cells.coalesce(1)
-    return spread.withColumn("margin", none)
+    return Cells(reused(spread.withColumn("margin", none)), parts)
 
 
 class Batch:
@@ -84,7 +96,7 @@ class Batch:
 CELL_SCHEMA = "bins array<int>, fold int, label double, n double, margin array<double>"
 
 
-def summed(cells: DataFrame, work: Callable[[Batch], tuple[np.ndarray, np.ndarray]], slots: int) -> np.ndarray:
+def summed(cells: Cells, work: Callable[[Batch], tuple[np.ndarray, np.ndarray]], slots: int) -> np.ndarray:
     """Two sums for each of ``slots`` numbered places, over all cells: one pass, and one aggregate with map-side combine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +109,7 @@ def summed(cells: DataFrame, work: Callable[[Batch], tuple[np.ndarray, np.ndarra
         some = np.flatnonzero((first != 0) | (second != 0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(first[some]), pa.array(second[some])], names=["slot", "a", "b"])
 
-    rows = cells.mapInArrow(run, "slot long, a double, b double")
+    rows = cells.table.mapInArrow(run, "slot long, a double, b double")
     found = rows.groupBy("slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
     out = np.zeros((2, slots))
     slot = found.column("slot").to_numpy()
@@ -105,7 +117,7 @@ def summed(cells: DataFrame, work: Callable[[Batch], tuple[np.ndarray, np.ndarra
     return out
 
 
-def carried(cells: DataFrame, apply: Callable[[Batch], None]) -> DataFrame:
+def carried(cells: Cells, apply: Callable[[Batch], None]) -> Cells:
     """The cells with margins brought up to date and written: what a lost executor can cost is bounded by this."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,4 +127,6 @@ def carried(cells: DataFrame, apply: Callable[[Batch], None]) -> DataFrame:
                 apply(own)
                 yield own.advanced(batch)
 
-    return materialized(cells.mapInArrow(run, CELL_SCHEMA), "cells")
+    after = materialized(cells.table.mapInArrow(run, CELL_SCHEMA), "cells")
+    cells.release()
+    return Cells(reused(after.coalesce(cells.parts)), cells.parts)

@@ -7,7 +7,7 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from ledgerlens.models import boost, cells, clusters, evaluate, search
+from ledgerlens.models import boost, cells, clusters, evaluate, newton, search
 
 # confusion matrix (true 0: hit, miss; true 1: miss, hit) and the printed report rows
 REPORTS = [
@@ -221,6 +221,69 @@ def test_boosting_equals_weights_by_row(spark, labelled, by_label):
         assert len(stumps[p]) == len(told)
 
 
+def numpy_newton(x, y, splits, rounds, rate, depth):
+    """Trees grown on rows by exact gains over the same thresholds: margins after each round."""
+    margin, out = np.zeros(len(y)), []
+
+    def grow(rows, left_levels):
+        g, h = slope[rows].sum(), curve[rows].sum()
+        best = (1e-6, None)
+        if left_levels:
+            for f, thresholds in enumerate(splits):
+                for t in thresholds:
+                    a, b = rows[x[rows, f] <= t], rows[x[rows, f] > t]
+                    ha, hb = curve[a].sum(), curve[b].sum()
+                    if ha >= 1 and hb >= 1:
+                        gain = slope[a].sum() ** 2 / (ha + 1) + slope[b].sum() ** 2 / (hb + 1) - g * g / (h + 1)
+                        if gain > best[0] * (1 + 1e-9):
+                            best = (gain, (a, b))
+        if best[1] is None:
+            margin[rows] += -rate * g / (h + 1)
+        else:
+            for part in best[1]:
+                grow(part, left_levels - 1)
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-margin))
+        slope, curve = p - y, p * (1 - p)
+        grow(np.arange(len(y)), depth)
+        out.append(margin.copy())
+    return out
+
+
+def test_newton_boosting_equals_rows(spark, labelled):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = labelled.select("id", vector_to_array("features").alias("x"), "label")
+    splits = cells.candidate_splits(rows, "x", bins=6)
+    plans = [newton.Plan(rate, depth, held) for rate in (0.3, 1.2) for depth in (1, 3) for held in (-1, 1)]
+    made = cells.cell_table(rows, "x", "label", (F.col("id") % 3).cast("int"), splits, len(plans))
+    trees, scores = newton.newton_boosted(made, splits, plans, 12, [2, 12])
+    local = labelled.orderBy("id").collect()
+    x, y, ids = np.array([r["features"].toArray() for r in local]), np.array([r["label"] for r in local]), np.array([r["id"] for r in local])
+    for p, plan in enumerate(plans):
+        inside = ids % 3 != plan.held_out
+        told = numpy_newton(x[inside], y[inside], splits, 12, plan.rate, plan.depth)
+        for n in (1, 2, 12):
+            model = newton.NewtonBoostModel(trees[p][:n])
+            margin = np.array([r["m"] for r in labelled.orderBy("id").select(model.margin(vector_to_array("features")).alias("m")).collect()])
+            assert np.allclose(margin[inside], told[n - 1])
+            if n in scores:
+                apart = ~inside
+                hits = ((margin > 0) & (y == 1) & apart).sum(), ((margin > 0) & (y == 0) & apart).sum(), ((margin <= 0) & (y == 1) & apart).sum()
+                assert tuple(scores[n][:, p]) == hits
+
+
+def test_newton_grid_and_estimator(labelled, tmp_path):
+    found = search.newton_grid([1, 3], [0.3, 1.5], [1, 2], labelled, "id", folds=2)
+    assert found.count() == 8
+    model = newton.NewtonBoostClassifier(rounds=4, depth=2).fit(labelled)
+    assert evaluate.summary(model.transform(labelled))["accuracy"] > 0.85
+    search.save_model(model, str(tmp_path / "newton"))
+    again = search.load_model(str(tmp_path / "newton")).transform(labelled)
+    assert [r["probability"] for r in again.orderBy("id").collect()] == [r["probability"] for r in model.transform(labelled).orderBy("id").collect()]
+
+
 def test_candidate_splits(spark):
     rows = spark.createDataFrame([([float(i % 3), float(i), 5.0],) for i in range(100)], "x array<double>")
     few, many, one = cells.candidate_splits(rows, "x", bins=4)
