@@ -144,7 +144,17 @@ def _documents(spark, folder):
 @query("L14 L15 L13 L16 L17 L21")
 def model_sweep(spark, folder):
     train, test = _documents(spark, folder)
-    return search.model_sweep(train, test, search.classifiers(4))
+    return search.model_sweep(train, test, search.classifiers(4, key="doc_id"), "doc_id")
+
+
+@query("L17 L22 L23")
+def model_reports(spark, folder):
+    """Report rows of every model of the sweep, its confusion counts and area, all from one table of predictions."""
+    train, test = _documents(spark, folder)
+    told = reused(search.held_out_predictions(train, test, search.classifiers(4, key="doc_id"), "doc_id"))
+    report = evaluate.classification_report(evaluate.confusion(told, by=["model"]), ["model"])
+    areas = evaluate.roc_ladders(told).groupBy("model").agg(F.max("auc").alias("auc"))
+    return report.join(areas, "model")
 
 
 @query("L15 L19")
@@ -252,7 +262,7 @@ def margin_grid_search(spark, folder):
 def soft_vote_predictions(spark, folder):
     train, test = _documents(spark, folder)
     models = [
-        boost.AdaBoostClassifier(rounds=10).fit(train),
+        boost.AdaBoostClassifier(rounds=50).fit(train),
         search.bernoulli_bayes().fit(train),
         search.CalibratedMargin(LinearSVC(maxIter=50), "doc_id").fit(train),
     ]
@@ -263,10 +273,10 @@ def soft_vote_predictions(spark, folder):
 @query("L24")
 def learning_curve(spark, folder):
     train, _ = _documents(spark, folder)
-    found = []
-    for name, estimator in search.classifiers(4).items():
-        curve = evaluate.learning_curve(train, "doc_id", estimator, lambda d: evaluate.summary(d)["accuracy"], folds=5)
-        found += [(name, *point) for point in curve]
+    fractions = (0.1, 0.325, 0.55, 0.775, 1.0)
+    found = search.boosting_curves(train, "doc_id", fractions, folds=5)
+    others = {n: e for n, e in search.classifiers(4).items() if n not in {name for name, *_ in found}}
+    found += evaluate.learning_curves(train, "doc_id", others, lambda d: evaluate.summary(d)["accuracy"], fractions, folds=5)
     return spark.createDataFrame(found, "model string, fraction double, train_score double, validation_score double")
 
 
@@ -279,8 +289,7 @@ def _prices(spark, folder):
 def price_cross_validation(spark, folder):
     train, _ = _prices(spark, folder)
     stages = search.feature_stages(["extended", "discount", "tax", "quantity"], ["flag"])
-    candidates = {n: Pipeline(stages=[*stages, m]) for n, m in search.regressors(key="id").items()}
-    return search.cross_validated_rmse(train, "id", candidates, folds=10)
+    return search.cross_validated_rmse(train, "id", search.regressors(key="id"), stages, folds=10)
 
 
 @query("L9 L10 L28 L4")

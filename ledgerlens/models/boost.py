@@ -16,7 +16,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasSeed
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.models.cells import Batch, Cells, candidate_splits, carried, cell_table, summed
+from ledgerlens.models.cells import EVERY_BAND, SCORES, Batch, Cells, candidate_splits, carried, cell_table, summed
 from ledgerlens.session import reused
 
 _TINY = 2.220446049250313e-16
@@ -28,11 +28,12 @@ ALIKE = 1e-10
 
 @dataclass(frozen=True)
 class Plan:
-    """One model to be fitted on all folds but ``held_out`` (-1: on all)."""
+    """One model to be fitted on the bands up to ``band`` of all folds but ``held_out`` (-1: of all)."""
 
     rate: float
     by_label: bool
     held_out: int = -1
+    band: int = EVERY_BAND
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ def _best(h0: np.ndarray, h1: np.ndarray, widths: list[int]) -> tuple[np.ndarray
 
 
 def boosted(cells: Cells, splits: Sequence[Sequence[float]], plans: Sequence[Plan], rounds: int, score_at: Sequence[int] = ()) -> tuple[list[list[Stump]], list[list[float]], dict[int, np.ndarray]]:
-    """Stumps and votes of every plan, and for each of ``score_at`` rounds the held-out (hits, false alarms, misses) of class 1.
+    """Stumps and votes of every plan, and for each of ``score_at`` rounds the ``SCORES`` of every plan.
 
     All plans advance together, one aggregate a round. The margin of a cell is the sum of its stumps, and its weight follows
     from the margin, so nothing but margins is kept; a round depends on those before it alone, so the first n stumps
@@ -88,7 +89,7 @@ def boosted(cells: Cells, splits: Sequence[Sequence[float]], plans: Sequence[Pla
     widths = [len(s) + 1 for s in splits]
     offsets = np.concatenate([[0], np.cumsum(widths)])
     slots, count = int(offsets[-1]), len(plans)
-    held = np.array([p.held_out for p in plans])
+    held, band = np.array([p.held_out for p in plans]), np.array([p.band for p in plans])
     by_label, rate = np.array([p.by_label for p in plans]), np.array([p.rate for p in plans])
     slope = np.where(by_label, 0.5, rate / 2)
     level, rows = np.zeros(count), np.zeros(count)  # the level keeps the sum of weights near the number of rows
@@ -106,21 +107,19 @@ def boosted(cells: Cells, splits: Sequence[Sequence[float]], plans: Sequence[Pla
         def work(batch: Batch, pending=tuple(pending), level=level.copy()) -> tuple[np.ndarray, np.ndarray]:
             _applied(batch, pending)
             sign = 2 * batch.label - 1
-            out = np.zeros((2, slots + 3, count))
+            out = np.zeros((2, slots + len(SCORES), count))
             if not last:
-                weight = batch.n[:, None] * np.exp(level - slope * sign[:, None] * batch.margin) * (batch.fold[:, None] != held)
+                weight = batch.weights(held, band) * np.exp(level - slope * sign[:, None] * batch.margin) 
                 one = batch.label == 1
                 for f, width in enumerate(widths):
                     places = (batch.bins[:, f][:, None] == np.arange(width)).astype(float)
                     out[0, offsets[f] : offsets[f] + width] = places[~one].T @ weight[~one]
                     out[1, offsets[f] : offsets[f] + width] = places[one].T @ weight[one]
             if scoring:
-                apart = batch.n[:, None] * (batch.fold[:, None] == held)
-                told, true = batch.margin > 0, (batch.label == 1)[:, None]
-                out[0, slots:] = [(apart * (told & true)).sum(0), (apart * (told & ~true)).sum(0), (apart * (~told & true)).sum(0)]
+                out[0, slots:] = batch.scores(held, band)
             return out[0].ravel(), out[1].ravel()
 
-        sums = summed(cells, work, (slots + 3) * count).reshape(2, slots + 3, count)
+        sums = summed(cells, work, (slots + len(SCORES)) * count).reshape(2, slots + len(SCORES), count)
         if scoring:
             scores[turn] = sums[0, slots:]
         if last:

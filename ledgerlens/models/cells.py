@@ -58,7 +58,7 @@ def binned(features: str, splits: Sequence[Sequence[float]]) -> Column:
 
 @dataclass(frozen=True)
 class Cells:
-    """A kept table of cells (bins, fold, label, n, margin) in so many partitions."""
+    """A kept table of cells (bins, fold, band, label, n, margin) in so many partitions."""
 
     table: DataFrame
     parts: int
@@ -67,13 +67,14 @@ class Cells:
         self.table.unpersist()
 
 
-def cell_table(df: DataFrame, features: str, label: str, fold: Column, splits: Sequence[Sequence[float]], plans: int) -> Cells:
-    """Rows with equal bins, fold and 0/1 label counted; no plan has a margin yet."""
-    rows = df.select(binned(features, splits).alias("bins"), fold.cast("int").alias("fold"), F.col(label).cast("double").alias("label"))
-    cells = materialized(rows.groupBy("bins", "fold", "label").agg(F.count(F.lit(1)).cast("double").alias("n")), "cells")
+def cell_table(df: DataFrame, features: str, label: str, fold: Column, splits: Sequence[Sequence[float]], plans: int, band: Column | None = None) -> Cells:
+    """Rows with equal bins, fold, band and 0/1 label counted; no plan has a margin yet. A plan takes bands up to its own."""
+    band = F.lit(0) if band is None else band
+    rows = df.select(binned(features, splits).alias("bins"), fold.cast("int").alias("fold"), band.cast("int").alias("band"), F.col(label).cast("double").alias("label"))
+    cells = materialized(rows.groupBy("bins", "fold", "band", "label").agg(F.count(F.lit(1)).cast("double").alias("n")), "cells")
     parts = max(1, -(-cells.count() * plans // STATE))
     none = F.array_repeat(F.lit(0.0), plans)
-    spread = cells.repartition(parts, "bins", "fold", "label") if parts > 1 else cells.coalesce(1)
+    spread = cells.repartition(parts, "bins", "fold", "band", "label") if parts > 1 else cells.coalesce(1)
     return Cells(reused(spread.withColumn("margin", none)), parts)
 
 
@@ -83,17 +84,33 @@ class Batch:
     def __init__(self, batch: pa.RecordBatch):
         rows = batch.num_rows
         self.bins = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
-        self.fold, self.label, self.n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "label", "n"))
+        self.fold, self.band, self.label, self.n = (batch.column(c).to_numpy(zero_copy_only=False) for c in KEYS)
         self.margin = batch.column("margin").flatten().to_numpy(zero_copy_only=False).reshape(rows, -1).copy()
 
     def advanced(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         """The same cells with the margins as they are now."""
         at = pa.array(np.arange(len(self.margin) + 1, dtype=np.int32) * self.margin.shape[1])
         margin = pa.ListArray.from_arrays(at, pa.array(self.margin.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column(c) for c in ("bins", "fold", "label", "n")] + [margin], names=["bins", "fold", "label", "n", "margin"])
-
-
-CELL_SCHEMA = "bins array<int>, fold int, label double, n double, margin array<double>"
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in ("bins", *KEYS)] + [margin], names=["bins", *KEYS, "margin"])
+
+    def weights(self, held: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Counts of the cells each plan is trained on: outside its held-out fold and within its band."""
+        return self.n[:, None] * ((self.fold[:, None] != held) & (self.band[:, None] <= band))
+
+    def scores(self, held: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """The rows of ``SCORES`` for each plan."""
+        inside, apart = self.weights(held, band), self.n[:, None] * (self.fold[:, None] == held)
+        told, true = self.margin > 0, (self.label == 1)[:, None]
+        right = told == true
+        parts = [apart * (told & true), apart * (told & ~true), apart * (~told & true), apart * right, apart, inside * right, inside]
+        return np.stack([p.sum(0) for p in parts])
+
+
+KEYS = ("fold", "band", "label", "n")
+#: Hits, false alarms and misses of class 1, right answers and rows of the held-out fold, right answers and rows of the training part.
+SCORES = ("hit", "false", "missed", "right", "rows", "train_right", "train_rows")
+EVERY_BAND = 1 << 30
+CELL_SCHEMA = "bins array<int>, fold int, band int, label double, n double, margin array<double>"
 
 
 def summed(cells: Cells, work: Callable[[Batch], tuple[np.ndarray, np.ndarray]], slots: int) -> np.ndarray:

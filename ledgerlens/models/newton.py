@@ -16,7 +16,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.models.cells import Batch, Cells, candidate_splits, carried, cell_table, summed
+from ledgerlens.models.cells import EVERY_BAND, SCORES, Batch, Cells, candidate_splits, carried, cell_table, summed
 from ledgerlens.session import reused
 
 #: Rounds after which the margins of all cells are written out.
@@ -27,13 +27,14 @@ LEFT = 1 << 30
 
 @dataclass(frozen=True)
 class Plan:
-    """One model to be fitted on all folds but ``held_out`` (-1: on all)."""
+    """One model to be fitted on the bands up to ``band`` of all folds but ``held_out`` (-1: of all)."""
 
     rate: float
     depth: int
     held_out: int = -1
     ridge: float = 1.0
     least_weight: float = 1.0
+    band: int = EVERY_BAND
 
 
 @dataclass(frozen=True)
@@ -61,10 +62,10 @@ def _applied(batch: Batch, trees: Sequence[tuple]) -> None:
         batch.margin += leaves[_placed(batch, levels), plan]
 
 
-def _slopes(batch: Batch, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and second derivatives of the logistic loss, zero for held-out cells."""
+def _slopes(batch: Batch, held: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivatives of the logistic loss, zero for cells a plan is not trained on."""
     p = 1 / (1 + np.exp(-batch.margin))
-    n = batch.n[:, None] * (batch.fold[:, None] != held)
+    n = batch.weights(held, band)
     return n * (p - batch.label[:, None]), n * np.maximum(p * (1 - p), 1e-16)
 
 
@@ -98,7 +99,7 @@ def _chosen(g: np.ndarray, h: np.ndarray, widths: Sequence[int], ridge: np.ndarr
 
 
 def newton_boosted(cells: Cells, splits: Sequence[Sequence[float]], plans: Sequence[Plan], rounds: int, score_at: Sequence[int] = ()) -> tuple[list[list[Tree]], dict[int, np.ndarray]]:
-    """Trees of every plan, and for each of ``score_at`` rounds the held-out (hits, false alarms, misses) of class 1.
+    """Trees of every plan, and for each of ``score_at`` rounds the ``SCORES`` of every plan.
 
     All plans grow their trees together, level by level: one aggregate of first and second derivatives a level, in which
     plans of less depth no longer take part. The first n trees are the model of n rounds.
@@ -106,7 +107,7 @@ def newton_boosted(cells: Cells, splits: Sequence[Sequence[float]], plans: Seque
     widths = [len(s) + 1 for s in splits]
     offsets = np.concatenate([[0], np.cumsum(widths)])
     slots, count = int(offsets[-1]), len(plans)
-    held, depth = np.array([p.held_out for p in plans]), np.array([p.depth for p in plans])
+    held, band, depth = (np.array([getattr(p, c) for p in plans]) for c in ("held_out", "band", "depth"))
     rate, ridge, least = (np.array([getattr(p, c) for p in plans]) for c in ("rate", "ridge", "least_weight"))
     deepest = int(depth.max())
     trees: list[list[Tree]] = [[] for _ in plans]
@@ -126,23 +127,21 @@ def newton_boosted(cells: Cells, splits: Sequence[Sequence[float]], plans: Seque
 
             def work(batch: Batch, trees=tuple(pending), levels=tuple(levels), active=active, nodes=nodes, size=size, scoring=scoring, last=last) -> tuple[np.ndarray, np.ndarray]:
                 _applied(batch, trees)
-                first, second = np.zeros(size + 3 * count), np.zeros(size + 3 * count)
+                first, second = np.zeros(size + len(SCORES) * count), np.zeros(size + len(SCORES) * count)
                 if not last:
-                    g, h = _slopes(batch, held)
+                    g, h = _slopes(batch, held, band)
                     g, h, node = g[:, active].ravel(), h[:, active].ravel(), _placed(batch, levels)[:, active]
                     for f, width in enumerate(widths):
                         place = ((node * slots + offsets[f] + batch.bins[:, f][:, None]) * len(active) + np.arange(len(active))).ravel()
                         first[:size] += np.bincount(place, g, size)
                         second[:size] += np.bincount(place, h, size)
                 if scoring:
-                    apart = batch.n[:, None] * (batch.fold[:, None] == held)
-                    told, true = batch.margin > 0, (batch.label == 1)[:, None]
-                    first[size:] = np.concatenate([(apart * (told & true)).sum(0), (apart * (told & ~true)).sum(0), (apart * (~told & true)).sum(0)])
+                    first[size:] = batch.scores(held, band).ravel()
                 return first, second
 
-            first, second = summed(cells, work, size + 3 * count)
+            first, second = summed(cells, work, size + len(SCORES) * count)
             if scoring:
-                scores[turn] = first[size:].reshape(3, count)
+                scores[turn] = first[size:].reshape(len(SCORES), count)
             if last:
                 break
             feature, cut = np.zeros((nodes, count), np.int64), np.full((nodes, count), LEFT)

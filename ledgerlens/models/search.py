@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 import json
 from collections.abc import Mapping, Sequence
@@ -12,7 +13,6 @@ from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     FMClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -27,13 +27,15 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.exprs import FOLD_FACTOR, key_spot
+from ledgerlens.functions.exprs import FOLD_FACTOR, PICK_FACTOR, key_spot
 from ledgerlens.models import newton
+from ledgerlens.models.newton import NewtonBoostClassifier
 from ledgerlens.models.boost import AdaBoostClassifier, AdaBoostModel, Plan, Stump, boosted
 from ledgerlens.models.cells import candidate_splits, cell_table
-from ledgerlens.models.evaluate import regression_errors, summary
+from ledgerlens.models.moments import DiscriminantClassifier, QuadraticModel, RidgeClassifier, linear_fold_errors
+from ledgerlens.models.evaluate import regression_errors, summaries
 from ledgerlens.operators.neighbors import _nearest_by_group
-from ledgerlens.session import materialized, reused
+from ledgerlens.session import at_once, materialized, reused
 
 # --- data ----------------------------------------------------------------------------------------------------------
 
@@ -72,19 +74,26 @@ def bernoulli_bayes(smoothing: float = 1.0) -> Pipeline:
     )
 
 
-def classifiers(n_features: int, seed: int = 42, rounds: int = 50) -> dict[str, Estimator]:
-    """The models compared in a sweep."""
-    return {
+def classifiers(n_features: int, seed: int = 42, rounds: int = 50, key: str | None = None) -> dict[str, Estimator]:
+    """The models compared in a sweep; with a ``key`` column also the vote of nearest neighbours."""
+    found: dict[str, Estimator] = {
         "LogisticRegression": LogisticRegression(maxIter=50),
         "DecisionTree": DecisionTreeClassifier(seed=seed),
         "RandomForest": RandomForestClassifier(seed=seed),
-        "GradientBoosting": GBTClassifier(seed=seed, maxIter=rounds),
+        "GradientBoosting": NewtonBoostClassifier(rounds=rounds, depth=3),
         "AdaBoost": AdaBoostClassifier(rounds=rounds, seed=seed),
         "BernoulliBayes": bernoulli_bayes(),
         "LinearSVC": LinearSVC(maxIter=50),
         "FactorizationMachine": FMClassifier(seed=seed, maxIter=50, stepSize=0.05),
         "Perceptron": MultilayerPerceptronClassifier(layers=[n_features, 8, 2], seed=seed, maxIter=50),
+        "Ridge": RidgeClassifier(),
+        "RidgeChosen": RidgeClassifier(penalties=[0.1, 1.0, 10.0]),
+        "LinearDiscriminant": DiscriminantClassifier(),
+        "QuadraticDiscriminant": DiscriminantClassifier(quadratic=True),
     }
+    if key:
+        found["KNeighbors"] = NearestVoteClassifier(key=key)
+    return found
 
 
 def regressors(seed: int = 42, key: str | None = None) -> dict[str, Estimator]:
@@ -117,6 +126,9 @@ class NearestMeanModel(Model):
         super().__init__()
         self.rows, self.key, self.k = rows, key, k
 
+    def _parts(self) -> tuple[DataFrame, str, int]:
+        return self.rows, self.key, self.k
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         asked = dataset.select(F.lit(0).alias("g"), F.col(self.key).alias("_query"), vector_to_array("features").alias("v"))
         found = _nearest_by_group(asked, self.rows.select("g", "_point", "v"), self.k)
@@ -125,6 +137,20 @@ class NearestMeanModel(Model):
         return dataset.join(means, self.key, "left")
 
 
+class NearestVoteClassifier(NearestMeanRegressor):
+    """The class most of the nearest training rows have; labels are 0 and 1."""
+
+    def _fit(self, dataset: DataFrame) -> NearestVoteModel:
+        return NearestVoteModel(*super()._fit(dataset)._parts())
+
+
+class NearestVoteModel(NearestMeanModel):
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        told = super()._transform(dataset)
+        share = F.col("prediction")
+        return told.withColumn("probability", array_to_vector(F.array(F.lit(1.0) - share, share))).withColumn("prediction", (share > 0.5).cast("double"))
+
+
 class CalibratedMargin(Estimator):
     """A margin classifier with probabilities: a logistic curve on margins of rows left out of the fit."""
 
@@ -185,15 +211,27 @@ class SoftVote(Model):
 # --- comparison and tuning -----------------------------------------------------------------------------------------
 
 
-def model_sweep(train: DataFrame, test: DataFrame, candidates: Mapping[str, Estimator]) -> DataFrame:
+def held_out_predictions(train: DataFrame, test: DataFrame, candidates: Mapping[str, Estimator], key: str) -> DataFrame:
+    """(model, key, label, prediction, score) of every model on every test row, written: one table for all evaluation.
+
+    ``score`` orders rows by how likely class 1 is: the probability, else the margin, else the prediction.
+    """
+
+    def told(name: str, estimator: Estimator) -> DataFrame:
+        found = estimator.fit(train).transform(test)
+        column = next((c for c in ("probability", "rawPrediction") if c in found.columns), None)
+        score = vector_to_array(column)[1] if column else F.col("prediction")
+        return materialized(found.select(F.lit(name).alias("model"), F.col(key), F.col("label").cast("double").alias("label"), "prediction", score.alias("score")), "predictions")
+
+    parts = at_once(train.sparkSession, [lambda n=n, e=e: told(n, e) for n, e in candidates.items()])
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+def model_sweep(train: DataFrame, test: DataFrame, candidates: Mapping[str, Estimator], key: str) -> DataFrame:
     """Fit every model and rank by weighted F1, then accuracy. For two classes the area of hard predictions equals the
     balanced accuracy, which is what the sweep reports."""
-    rows = []
-    for name, estimator in candidates.items():
-        m = summary(estimator.fit(train).transform(test))
-        rows.append((name, m["accuracy"], m["balanced_accuracy"], m["balanced_accuracy"], m["f1"]))
-    found = train.sparkSession.createDataFrame(rows, "model string, accuracy double, balanced_accuracy double, roc_auc double, f1 double")
-    return found.orderBy(F.desc("f1"), F.desc("accuracy"), "model")
+    found = summaries(held_out_predictions(train, test, candidates, key))
+    return found.select("model", "accuracy", "balanced_accuracy", F.col("balanced_accuracy").alias("roc_auc"), "f1").orderBy(F.desc("f1"), F.desc("accuracy"), "model")
 
 
 def grid_search(estimator: Estimator, grid: Sequence[dict], train: DataFrame, key: str, folds: int = 5, seed: int = 42, parallelism: int = 4) -> CrossValidatorModel:
@@ -240,10 +278,36 @@ def newton_grid(rounds: Sequence[int], rates: Sequence[float], depths: Sequence[
 
 def _mean_f1(counts: np.ndarray, folds: int) -> list[float]:
     """F1 of every choice, averaged over its folds; ``counts`` has hits, false alarms and misses of each (choice, fold)."""
-    hit, false, missed = counts
+    hit, false, missed = counts[:3]
     return (2 * hit / np.maximum(2 * hit + false + missed, 1)).reshape(-1, folds).mean(1).tolist()
 
 
+def boosting_curves(train: DataFrame, key: str, fractions: Sequence[float], folds: int = 5, seed: int = 42, rounds: int = 50) -> list[tuple[str, float, float, float]]:
+    """Learning curves of both boosted models: ``(model, fraction, train accuracy, validation accuracy)``.
+
+    A fraction is all bands of keys up to it, so every fraction and fold is one plan over the same cells.
+    """
+    rows = reused(train.select(F.col(key), vector_to_array("features").alias("x"), "label"))
+    splits = candidate_splits(rows, "x")
+    spot = key_spot(F.col(key), seed, PICK_FACTOR)
+    band = sum(((spot >= f).cast("int") for f in sorted(fractions)), F.lit(0))
+    asked = [(f, k) for f in sorted(fractions) for k in range(folds)]
+    where = {f: i for i, f in enumerate(sorted(fractions))}
+
+    def cells():
+        return cell_table(rows, "x", "label", fold_number(key, folds, seed), splits, len(asked), band)
+
+    _, _, ada = boosted(cells(), splits, [Plan(1.0, False, k, where[f]) for f, k in asked], rounds, [rounds])
+    _, second = newton.newton_boosted(cells(), splits, [newton.Plan(0.3, 3, k, band=where[f]) for f, k in asked], rounds, [rounds])
+    rows.unpersist()
+    found = []
+    for name, scores in (("AdaBoost", ada[rounds]), ("GradientBoosting", second[rounds])):
+        right, count, train_right, train_count = scores[3:]
+        shares = [v.reshape(-1, folds).mean(1) for v in (train_right / np.maximum(train_count, 1), right / np.maximum(count, 1))]
+        found += [(name, float(f), float(a), float(b)) for f, a, b in zip(sorted(fractions), *shares, strict=True)]
+    return found
+
+
 def parameter_grid(choices: Mapping) -> list[dict]:
     """All combinations of ``{param: values}``."""
     builder = ParamGridBuilder()
@@ -261,31 +325,56 @@ def grid_results(model: CrossValidatorModel, spark) -> DataFrame:
     return spark.createDataFrame(rows, "parameters string, f1 double").orderBy(F.desc("f1"), "parameters")
 
 
-def cross_validated_rmse(train: DataFrame, key: str, candidates: Mapping[str, Estimator], folds: int = 10, seed: int = 42) -> DataFrame:
-    """Root mean squared error of every model on every fold: ``(model, fold, rmse)``."""
+def cross_validated_rmse(train: DataFrame, key: str, candidates: Mapping[str, Estimator], stages: Sequence, folds: int = 10, seed: int = 42) -> DataFrame:
+    """Root mean squared error of every model on every fold: ``(model, fold, rmse)``.
+
+    ``stages`` prepare the features once per training part. A plain linear regression needs no fit for each fold: its errors
+    on all of them follow from one pass (scaling the features changes no prediction). The other fits run a few at a time.
+    """
     rows = reused(train.withColumn("_fold", fold_number(key, folds, seed)))
+    spark = train.sparkSession
+    plain = [n for n, e in candidates.items() if type(e) is LinearRegression and e.getRegParam() == 0 and e.getFitIntercept()]
     scores = []
-    for name, estimator in candidates.items():
-        for fold in range(folds):
-            model = estimator.fit(rows.filter(F.col("_fold") != fold).drop("_fold"))
-            told = model.transform(rows.filter(F.col("_fold") == fold).drop("_fold"))
-            scores.append((name, fold, regression_errors(told).first()["rmse"]))
+    if plain:
+        prepared = Pipeline(stages=list(stages)).fit(rows).transform(rows)
+        errors = linear_fold_errors(prepared, F.col("_fold"), vector_to_array("features"), F.col("label"))
+        scores += [(n, f, e) for n in plain for f, e in errors.items()]
+
+    def of_fold(fold: int) -> tuple[DataFrame, DataFrame]:
+        inside = rows.filter(F.col("_fold") != fold).drop("_fold")
+        prepared = Pipeline(stages=list(stages)).fit(inside)
+        parts = inside, rows.filter(F.col("_fold") == fold).drop("_fold")
+        return tuple(reused(prepared.transform(p).select(key, "features", "label")) for p in parts)
+
+    parts = at_once(spark, [lambda f=f: of_fold(f) for f in range(folds)]) if len(plain) < len(candidates) else []
+
+    def of_model(name: str, fold: int) -> tuple[str, int, float]:
+        told = candidates[name].fit(parts[fold][0]).transform(parts[fold][1])
+        return name, fold, regression_errors(told).first()["rmse"]
+
+    scores += at_once(spark, [lambda n=n, f=f: of_model(n, f) for n in candidates if n not in plain for f in range(folds)])
+    for part in (p for pair in parts for p in pair):
+        part.unpersist()
     rows.unpersist()
-    return train.sparkSession.createDataFrame(scores, "model string, fold int, rmse double")
+    return spark.createDataFrame(scores, "model string, fold int, rmse double")
 
 
 def compare_feature_sets(train: DataFrame, test: DataFrame, feature_sets: Mapping[str, tuple[Sequence[str], Sequence[str]]], candidates: Mapping[str, Estimator]) -> DataFrame:
     """Errors of the same models on different columns: ``(columns, model, r2, mae, mse, rmse)``."""
-    rows = []
+    spark = train.sparkSession
+    made = {}
     for label, (numbers, texts) in feature_sets.items():
         prepared = Pipeline(stages=feature_stages(numbers, texts)).fit(train)
-        fit_rows, test_rows = reused(prepared.transform(train)), reused(prepared.transform(test))
-        for name, estimator in candidates.items():
-            m = regression_errors(estimator.fit(fit_rows).transform(test_rows)).first()
-            rows.append((label, name, m["r2"], m["mae"], m["mse"], m["rmse"]))
-        fit_rows.unpersist()
-        test_rows.unpersist()
-    return train.sparkSession.createDataFrame(rows, "columns string, model string, r2 double, mae double, mse double, rmse double")
+        made[label] = reused(prepared.transform(train)), reused(prepared.transform(test))
+
+    def errors(label: str, name: str) -> tuple:
+        m = regression_errors(candidates[name].fit(made[label][0]).transform(made[label][1])).first()
+        return label, name, m["r2"], m["mae"], m["mse"], m["rmse"]
+
+    rows = at_once(spark, [lambda s=s, n=n: errors(s, n) for s in feature_sets for n in candidates])
+    for part in (p for pair in made.values() for p in pair):
+        part.unpersist()
+    return spark.createDataFrame(rows, "columns string, model string, r2 double, mae double, mse double, rmse double")
 
 
 # --- persistence and scoring ---------------------------------------------------------------------------------------
@@ -306,6 +395,9 @@ def save_model(model: Model, path: str) -> None:
     elif isinstance(model, newton.NewtonBoostModel):
         meta |= {"trees": [astuple(t) for t in model.trees]}
         parts = []
+    elif isinstance(model, QuadraticModel):
+        meta |= {"constant": model.constant, "linear": model.linear, "square": model.square, "odds": model.odds}
+        parts = []
     elif isinstance(model, NearestMeanModel):
         meta |= {"key": model.key, "k": model.k}
         parts = []
@@ -333,8 +425,10 @@ def load_model(path: str) -> Model:
             return AdaBoostModel([Stump(*s) for s in meta["stumps"]], meta["votes"], meta["by_label"])
         case "NewtonBoostModel":
             return newton.NewtonBoostModel([newton.Tree(*t) for t in meta["trees"]])
-        case "NearestMeanModel":
-            return NearestMeanModel(spark.read.parquet(f"{path}/rows"), meta["key"], meta["k"])
+        case "QuadraticModel":
+            return QuadraticModel(meta["constant"], meta["linear"], meta["square"], meta["odds"])
+        case "NearestMeanModel" | "NearestVoteModel" as name:
+            return {"NearestMeanModel": NearestMeanModel, "NearestVoteModel": NearestVoteModel}[name](spark.read.parquet(f"{path}/rows"), meta["key"], meta["k"])
     return getattr(importlib.import_module(meta["module"]), meta["name"]).load(f"{path}/model")
 
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
+
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +86,20 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
+T = TypeVar("T")
+
+
+def at_once(spark: SparkSession, tasks: Sequence[Callable[[], T]], parallelism: int = 6) -> list[T]:
+    """Results of several driver-side tasks, in order; so many at a time hand their jobs to the scheduler.
+
+    One fit after the other would leave executors idle between its many small jobs.
+    """
+    if not tasks:
+        return []
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        return [r.get() for r in [pool.apply_async(inheritable_thread_target(spark)(t)) for t in tasks]]
+
+
 def reused(df: DataFrame) -> DataFrame:
     """Keep ``df`` for several passes. Lost blocks are recomputed from lineage, so executor loss is harmless."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

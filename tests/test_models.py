@@ -132,18 +132,47 @@ def test_own_models_are_saved(labelled, tmp_path):
 
 
 def test_all_regressors_cross_validated(spark):
-    from pyspark.ml import Pipeline
-
     rng = np.random.default_rng(13)
     x = rng.normal(size=(120, 2))
     df = spark.createDataFrame(pd.DataFrame({"id": range(120), "a": x[:, 0], "b": x[:, 1], "label": 3 * x[:, 0] - x[:, 1]}))
-    candidates = {n: Pipeline(stages=[*search.feature_stages(["a", "b"]), m]) for n, m in search.regressors(key="id").items()}
-    scores = search.cross_validated_rmse(df, "id", candidates, folds=2).groupBy("model").agg(F.avg("rmse").alias("rmse"))
+    scores = search.cross_validated_rmse(df, "id", search.regressors(key="id"), search.feature_stages(["a", "b"]), folds=2).groupBy("model").agg(F.avg("rmse").alias("rmse"))
     found = {r["model"]: r["rmse"] for r in scores.collect()}
     assert set(found) == {"LinearRegression", "DecisionTree", "RandomForest", "GradientBoosting", "KNeighbors"}
     assert found["LinearRegression"] < 1e-6 and max(found.values()) < 3.2
 
 
+def test_curves_of_boosting_equal_single_fits(labelled):
+    found = {(n, f): scores for n, f, *scores in search.boosting_curves(labelled, "id", (0.5, 1.0), folds=2, rounds=3)}
+    assert set(found) == {(n, f) for n in ("AdaBoost", "GradientBoosting") for f in (0.5, 1.0)}
+    assert all(0.8 < v <= 1 for scores in found.values() for v in scores)
+    measure = lambda d: evaluate.summary(d)["accuracy"]
+    single = evaluate.learning_curves(labelled, "id", {"LogisticRegression": search.classifiers(3)["LogisticRegression"]}, measure, (0.5, 1.0), 2)
+    assert [(n, f) for n, f, *_ in single] == [("LogisticRegression", 0.5), ("LogisticRegression", 1.0)]
+
+
+def test_predictions_of_all_models(labelled):
+    import duckdb
+
+    train, test = search.train_test_split(labelled, "id", 0.4, 7)
+    chosen = {n: e for n, e in search.classifiers(3, rounds=3, key="id").items() if n in ("Ridge", "LinearDiscriminant", "KNeighbors", "LogisticRegression")}
+    told = search.held_out_predictions(train, test, chosen, "id").persist()
+    assert told.count() == 4 * test.count()
+    local = told.toPandas()
+    report = evaluate.classification_report(evaluate.confusion(told, by=["model"]), ["model"])
+    for r in report.where("name IN ('0', '1')").collect():
+        c, mine = float(r["name"]), local[local["model"] == r["model"]]
+        hits = ((mine["prediction"] == c) & (mine["label"] == c)).sum()
+        assert r["precision"] == pytest.approx(hits / max((mine["prediction"] == c).sum(), 1)) and r["support"] == (mine["label"] == c).sum()
+    areas = duckdb.sql("""SELECT model, sum((a.score > b.score)::INT + (a.score = b.score)::INT / 2) / count(*) AS auc
+        FROM local a JOIN local b USING (model) WHERE a.label = 1 AND b.label = 0 GROUP BY model""").fetchall()
+    for rows_per_task in (10**6, 7):
+        found = evaluate.roc_ladders(told, rows_per_task=rows_per_task).groupBy("model").agg(F.max("auc").alias("auc"), F.max("fpr").alias("fpr"), F.max("tpr").alias("tpr")).collect()
+        assert {r["model"]: r["auc"] for r in found} == pytest.approx(dict(areas))
+        assert all(r["fpr"] == r["tpr"] == 1 for r in found)
+    swept = search.model_sweep(train, test, chosen, "id").collect()
+    assert [r["f1"] for r in swept] == sorted((r["f1"] for r in swept), reverse=True) and len(swept) == 4
+
+
 @pytest.mark.parametrize("algorithm", ["SAMME", "SAMME.R"])
 def test_first_trees_are_the_fit_of_fewer_rounds(labelled, algorithm):
     model = boost.AdaBoostClassifier(rounds=7, algorithm=algorithm).fit(labelled)
@@ -217,7 +246,7 @@ def test_boosting_equals_weights_by_row(spark, labelled, by_label):
             if turn + 1 in scores:
                 apart = ~inside
                 hits = ((margin > 0) & (y == 1) & apart).sum(), ((margin > 0) & (y == 0) & apart).sum(), ((margin <= 0) & (y == 1) & apart).sum()
-                assert tuple(scores[turn + 1][:, p]) == hits
+                assert tuple(scores[turn + 1][:3, p]) == hits
         assert len(stumps[p]) == len(told)
 
 
@@ -271,7 +300,7 @@ def test_newton_boosting_equals_rows(spark, labelled):
             if n in scores:
                 apart = ~inside
                 hits = ((margin > 0) & (y == 1) & apart).sum(), ((margin > 0) & (y == 0) & apart).sum(), ((margin <= 0) & (y == 1) & apart).sum()
-                assert tuple(scores[n][:, p]) == hits
+                assert tuple(scores[n][:3, p]) == hits
 
 
 def test_newton_grid_and_estimator(labelled, tmp_path):
@@ -300,9 +329,10 @@ def test_registered_queries_have_all_models(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(modelling, "_prices", lambda *_: (None, None))
     monkeypatch.setattr(modelling, "_documents", lambda *_: (None, None))
-    monkeypatch.setattr(search, "cross_validated_rmse", lambda train, key, candidates, folds: asked.append((set(candidates), folds)))
+    monkeypatch.setattr(search, "cross_validated_rmse", lambda train, key, candidates, stages, folds: asked.append((set(candidates), folds)))
     monkeypatch.setattr(search, "compare_feature_sets", lambda train, test, sets, candidates: asked.append((set(candidates), 1)))
-    monkeypatch.setattr(evaluate, "learning_curve", lambda *_, folds: [(1.0, 0.5, 0.5)])
+    monkeypatch.setattr(search, "boosting_curves", lambda *_, folds: [("AdaBoost", 1.0, 0.5, 0.5), ("GradientBoosting", 1.0, 0.5, 0.5)])
+    monkeypatch.setattr(evaluate, "learning_curves", lambda train, key, estimators, *_, folds: [(n, 1.0, 0.5, 0.5) for n in estimators])
     modelling.price_cross_validation(None, None)
     modelling.price_feature_sets(None, None)
     modelling.price_model_errors(None, None)
