@@ -10,6 +10,7 @@ earlier match of every position, and matches of ``length`` bytes mark what goes.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ GRAM = 20
 CHUNK = 1 << 20
 FILTER_BITS = 27
 CROWD = 20_000
+#: Strings of crowded anchors that are compared in a task before they are shuffled.
+SETTLED_ROWS = 200_000
 
 BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -366,13 +369,53 @@ def _by_factors(found: DataFrame, length: int) -> DataFrame:
 
 
 def _by_strings(found: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts, which would make one task large: strings are dealt out by content."""
+    """The same for anchors with very many contexts, which would make one task large: strings are dealt out by content.
+
+    Of a string's places in one batch only those of its smallest document are open; the others are settled where they
+    stand. So a string of very many documents reaches the task of its content once for each batch. Each task streams through its
+    strings in order and holds none.
+    """
     placed = found.withColumn("o", F.explode(F.sequence(F.lit(0), F.octet_length("seg") - length)))
     cut = F.substring("seg", F.col("o") + 1, F.lit(length))
     strings = placed.select("doc_id", "alt", (F.col("start") + F.col("o")).alias("start"), F.xxhash64(cut).alias("s1"), F.xxhash64(F.lit(1), cut).alias("s2"))
-    least = strings.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
-    span = F.shiftleft("start", 16) + length
-    return strings.join(least, ["s1", "s2"]).where("doc_id > least").select("doc_id", "alt", span.alias("span"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+            if not held or (batch is not None and sum(b.num_rows for b in held) < SETTLED_ROWS):
+                continue
+            table = pa.Table.from_batches(held)
+            held = []
+            doc, alt, start, s1, s2 = (table.column(c).to_numpy() for c in ("doc_id", "alt", "start", "s1", "s2"))
+            order = np.lexsort((doc, s2, s1))
+            doc, alt, start, s1, s2 = (x[order] for x in (doc, alt, start, s1, s2))
+            fresh = np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]) if len(doc) else np.empty(0, bool)
+            lead = np.maximum.accumulate(np.where(fresh, np.arange(len(doc)), 0))
+            settled = doc > doc[lead]
+            # all places of one document follow from its first one: the span is what is left to tell
+            spread = np.where(settled, s1 ^ (start * 0x9E3779B1) ^ doc, s1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, s2, settled, doc, alt, _packed_spans(start, np.full(len(start), length)))], names=["s1", "s2", "settled", "doc_id", "alt", "span"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first = None, 0
+        for batch in batches:
+            s1, s2, settled, doc, alt, span = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            gone = settled.copy()
+            at = np.flatnonzero(~settled)
+            if len(at):
+                a, b, d = s1[at], s2[at], doc[at]
+                new = np.concatenate([[key != (a[0], b[0])], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                lead = np.maximum.accumulate(np.where(new, np.arange(len(at)), -1))
+                least = np.where(lead < 0, first, d[lead])
+                gone[at] = d > least
+                key, first = (a[-1], b[-1]), int(least[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in (doc, alt, span)], names=["doc_id", "alt", "span"])
+
+    rows = strings.mapInArrow(settle, "s1 long, s2 long, settled boolean, doc_id long, alt long, span long")
+    dealt = rows.repartition(shuffle_parts(found), "s1", "s2").sortWithinPartitions("s1", "s2", "doc_id")
+    return dealt.mapInArrow(stream, "doc_id long, alt long, span long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = FILTER_BITS, crowd: int = CROWD, keep_bytes: bool = True) -> DataFrame:
