@@ -38,11 +38,47 @@ def find_parts(text: str) -> list[tuple[int, int, int]]:
     for m in re.finditer(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])", text):
         if re.search(r"[0-9+/]", m[0]) and re.search(r"[A-Z]", m[0]) and re.search(r"[a-z]", m[0]):
             found.append((3, m.start(), m.end()))
-    for m in re.finditer(r"https?://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|internal)\b", text, re.ASCII):
-        found.append((4, m.start(), m.end()))
+    found += [(4, start, end) for start, end in endpoints(text)]
     return found
 
 
+_RUN = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)*")
+_ENDING = re.compile(r"\.(?:amazonaws\.com|internal)\b", re.ASCII)
+_OPENING = re.compile(r"\b[a-z0-9-]", re.ASCII)
+_ADDRESS = re.compile(r"https?://[^\s\"'<>]+", re.ASCII)
+
+
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Addresses, and host names with one of the fixed endings: (start, end), in time linear in the text.
+
+    Host names are looked for from their endings: each lies in one run of labels, in which the name goes from the first
+    word boundary to the last ending.
+    """
+    addresses = [m.span() for m in _ADDRESS.finditer(text)]
+    endings = [m.span() for m in _ENDING.finditer(text)]
+    found = list(addresses)
+    if endings:
+        nth, after = 0, 0
+        for run in _RUN.finditer(text):
+            while nth < len(endings) and endings[nth][0] < run.start():
+                nth += 1
+            if nth == len(endings):
+                break
+            while after < len(addresses) and addresses[after][1] <= run.start():
+                after += 1
+            low, high = run.span()
+            if after < len(addresses):
+                start, end = addresses[after]
+                low, high = (max(low, end), high) if start <= low else (low, min(high, start))
+            first, last = _OPENING.search(text, low, high) if low < high else None, None
+            while nth < len(endings) and endings[nth][1] <= high:
+                last = endings[nth] if first and endings[nth][0] > first.start() else last
+                nth += 1
+            if last:
+                found.append((first.start(), last[1]))
+    return sorted(found)
+
+
 #: Texts without any of these hold no part; RE2 looks for them over a whole column at once.
 HINT = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{24}|[A-Za-z0-9+/]{40}|https?://|\.amazonaws\.com|\.internal"
 
