@@ -2,12 +2,15 @@
 
 Texts are cut into words, of which each distinct one is encoded once per slice. All distinct words lie in one flat symbol
 array; a round looks up the rank of every adjacent pair, takes the smallest rank of each word (segmented minimum), merges
-its leftmost non-overlapping occurrences at once, and compacts the array. Words without a pair left leave it.
+its leftmost non-overlapping occurrences at once, and compacts the array. Words without a pair left leave it. A word of more than
+``LONG`` characters (text without spaces) would keep rounds going for itself alone; its pairs are merged in the same order
+from a queue, in time nearly linear in its length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +21,9 @@ from ledgerlens.llm.common import clean_texts, ragged, slices, string_from, stri
 
 SPACE = "▁"
 NO_RANK = np.int32(2**31 - 1)
+#: Words of more symbols are merged one pair at a time.
+LONG = 128
+GONE = -(1 << 31)
 
 
 class PairTable:
@@ -67,6 +73,7 @@ class PieceCodec:
         self.tables = tables
         self.__dict__.update(tables)
         self.pairs = PairTable(tables["levels"])
+        self._known: dict[int, int] | None = None
 
     @classmethod
     def of_model(cls, path: str) -> PieceCodec:
@@ -82,6 +89,15 @@ class PieceCodec:
         symbol = self.char_symbol[points]
         symbol = np.where(symbol < 0, -1 - points, symbol)
         done_word, done_symbol = [], []
+        long = np.flatnonzero(lengths > LONG)
+        for w in long.tolist():
+            first = int(before[at[w]])
+            merged = self._queued(symbol[first : first + int(lengths[w])].tolist())
+            done_word.append(np.full(len(merged), w, np.int32))
+            done_symbol.append(np.array(merged, symbol.dtype))
+        if len(long):
+            short = np.repeat(lengths <= LONG, lengths)
+            symbol, word = symbol[short], word[short]
         while len(symbol):
             left, right = symbol[:-1], symbol[1:]
             near = (word[:-1] == word[1:]) & (left >= 0) & (right >= 0)
@@ -114,6 +130,34 @@ class PieceCodec:
         word, symbol = word[order], symbol[order]
         return self._with_bytes(word, symbol, len(words))
 
+    def _queued(self, symbol: list[int]) -> list[int]:
+        """The same merges for one very long word, which would need about as many rounds as merges: pairs wait in a queue by
+        rank, then place, as a round would take them."""
+        if self._known is None:
+            self._known = {k: v for _, _, keys, values in self.pairs.levels for k, v in zip(keys.tolist(), values.tolist(), strict=True) if v >= 0}
+        known, rank = self._known, self.rank
+        after, before = [*range(1, len(symbol)), -1], [*range(-1, len(symbol) - 1)]
+
+        def pair(i: int, j: int) -> tuple | None:
+            merged = known.get((symbol[i] << 32) | symbol[j]) if symbol[i] >= 0 and symbol[j] >= 0 else None
+            return None if merged is None else (int(rank[merged]), i, j, symbol[i], symbol[j], merged)
+
+        queue = [p for p in (pair(i, i + 1) for i in range(len(symbol) - 1)) if p]
+        heapq.heapify(queue)
+        while queue:
+            _, i, j, left, right, merged = heapq.heappop(queue)
+            if symbol[i] != left or symbol[j] != right or after[i] != j:
+                continue
+            symbol[i], symbol[j] = merged, GONE
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                found = pair(a, b) if a >= 0 and b >= 0 else None
+                if found:
+                    heapq.heappush(queue, found)
+        return [s for s in symbol if s != GONE]
+
     def _with_bytes(self, word: np.ndarray, symbol: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Spell symbols outside the vocabulary by their UTF-8 bytes."""
         odd = np.flatnonzero((symbol < 0) | (symbol >= self.size))
