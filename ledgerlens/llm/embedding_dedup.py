@@ -7,6 +7,8 @@ whose bound reaches the threshold are computed again in double precision.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,7 +19,7 @@ from ledgerlens.llm.components import connected_components, joined_labels
 
 THRESHOLD = 0.9
 BLOCK = 4096
-STRIP = 512
+STRIP = 128
 SLACK = 1e-9  # far above double rounding in the sums of a bound
 
 
@@ -29,16 +31,16 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, error
 
 
-def tile_links(left: np.ndarray, right: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, int]:
-    """Index pairs with a cosine of ``threshold`` or more, and how many pairs were computed in full precision.
+def tile_strips(left: np.ndarray, right: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Index pairs with a cosine of ``threshold`` or more, in strips, and how many pairs were computed in full precision.
 
-    ``left`` and ``right`` are unit vectors in double precision; with ``same``, pairs i < j alone.
+    ``left`` and ``right`` are unit vectors in double precision; with ``same``, pairs i < j alone. A strip holds
+    ``STRIP`` rows of the tile, so memory does not follow the number of near pairs.
     """
     (a, sa, ea), (b, sb, eb) = quantised(left), quantised(right)
     # Sums of int8 products are exact in single precision up to 1,040 components.
     kind = np.float32 if left.shape[1] <= 1040 else np.float64
     codes = b.astype(kind).T
-    found_i, found_j, checked = [], [], 0
     for low in range(0, len(left), STRIP):
         product = a[low : low + STRIP].astype(kind) @ codes
         # |x.y - sa sb (a.b)| <= ea + (1 + ea) eb; first with the block's largest scale and error, then with each pair's own.
@@ -51,14 +53,10 @@ def tile_links(left: np.ndarray, right: np.ndarray, threshold: float, same: bool
         if same:
             near &= i + low < j
         i, j = i[near] + low, j[near]
-        checked += len(i)
-        for k in range(0, len(i), 1 << 16):
-            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            exact = np.einsum("ij,ij->i", left[p], right[q]) >= threshold
-            found_i.append(p[exact])
-            found_j.append(q[exact])
-    none = [np.empty(0, np.int64)]
-    return np.concatenate(found_i or none), np.concatenate(found_j or none), checked
+        exact = np.empty(len(i), bool)
+        for k in range(0, len(i), 1 << 14):
+            exact[k : k + (1 << 14)] = np.einsum("ij,ij->i", left[i[k : k + (1 << 14)]], right[j[k : k + (1 << 14)]]) >= threshold
+        yield i[exact], j[exact], len(i)
 
 
 def _usable(v: Column) -> Column:
@@ -72,7 +70,8 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block
     ``vectors`` needs vec_id and embedding (an array of float or double); other columns are not looked at. Vectors that are
     null, empty, zero, or hold null or non-finite components link with nothing, as do vectors of different lengths with
     each other. Equal vectors are one node, so copies cost nothing; they count each other as links, repeated rows as well.
-    Rows without vec_id count as links of others. All pairs of distinct vectors are covered by tiles, so the work grows
+    Rows without vec_id count as links of others and join their components; their own component is null if no vector in it has
+    an id. Ties and other columns' names play no part. All pairs of distinct vectors are covered by tiles, so the work grows
     with the square of their number, spread evenly over tasks; what a tile returns grows with its rows alone. Returns
     vec_id, n_links, component_id, kept.
     """
@@ -81,7 +80,12 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block
     keyed = rows.withColumn("k1", F.when(F.col("usable"), F.xxhash64("embedding"))).withColumn("k2", F.xxhash64(F.lit(1), "embedding"))
     named = materialized(keyed.select("vec_id", "k1", "k2"), "vector-ids")
     nodes = keyed.where("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
-    nodes = materialized(nodes.where("node IS NOT NULL"), "vectors")
+    nodes = materialized(nodes, "vectors")
+    # nodes that no row with an id holds are numbered past the largest id
+    largest = nodes.agg(F.max("node")).first()[0]
+    largest = -1 if largest is None else largest
+    nodes = nodes.withColumn("node", F.coalesce("node", F.lit(largest + 1) + F.monotonically_increasing_id()))
+    nodes = materialized(nodes, "vectors") if nodes.where(F.col("node") > largest).limit(1).count() else nodes
     blocks = max(1, -(-nodes.count() // block))
 
     own = F.pmod(F.xxhash64("k1"), F.lit(blocks)).cast("int")
@@ -99,11 +103,10 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block
         links = np.zeros(len(node), np.int64)
         label = np.arange(len(node))
         if len(left) and len(right):
-            p, q, _ = tile_links(unit[left], unit[right], threshold, first == second)
-            p, q = left[p], right[q]
-            np.add.at(links, p, copies[q])
-            np.add.at(links, q, copies[p])
-            label = joined_labels(label, p, q)
+            for p, q, _ in tile_strips(unit[left], unit[right], threshold, first == second):
+                p, q = left[p], right[q]
+                links += np.bincount(p, copies[q], len(node)).astype(np.int64) + np.bincount(q, copies[p], len(node)).astype(np.int64)
+                label = joined_labels(label, p, q)
         hung, linked = np.flatnonzero(label != np.arange(len(node))), np.flatnonzero(links)
         return pa.table({
             "a": pa.array(np.concatenate([node[label[hung]], node[linked]])),
@@ -117,5 +120,6 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block
     known = nodes.select("k1", "k2", "node", "copies").join(counts, "node", "left").join(labels, "node", "left")
     known = known.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "node").alias("component_id"))
     joined = named.join(known, ["k1", "k2"], "left")
-    component = F.coalesce("component_id", "vec_id")
+    known_id = F.when(F.col("component_id") <= largest, F.col("component_id"))
+    component = F.when(F.col("component_id").isNotNull(), known_id).otherwise(F.col("vec_id"))
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
