@@ -76,7 +76,11 @@ WITH words AS (
   SELECT 1, item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark WHERE text IS NOT NULL),
 shingles AS (
   SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS shingle
-  FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+  FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+  UNION
+  SELECT DISTINCT 0, id, array_to_string(w[i:i + n - 1], ' ')
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM words, (SELECT DISTINCT len(w) AS n FROM words WHERE kind = 1 AND len(w) BETWEEN 1 AND 4) WHERE kind = 0 AND len(w) >= n)),
 items AS (SELECT id AS item_id, shingle, count(*) OVER (PARTITION BY id) AS n_shingles FROM shingles WHERE kind = 1)
 SELECT d.id AS doc_id, i.item_id, count(*) AS n_shared, i.n_shingles, count(*) / i.n_shingles AS containment
 FROM shingles d JOIN items i ON d.shingle = i.shingle WHERE d.kind = 0
