@@ -9,14 +9,14 @@ split into tiles, so that every pair of its parts meets in some task.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import clean_texts, materialized, ragged, shuffle_parts, slices, string_parts
+from ledgerlens.llm.common import materialized, ragged, shuffle_parts, slices, string_parts
 from ledgerlens.llm.components import connected_components, joined_labels
 
 SEED = 42
@@ -59,16 +59,17 @@ def simhashes(texts: pa.Array, words: int = 4) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, bits) of every whole text; bits is the fingerprint as a signed long. A null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int = 4, key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(key, bits) of every whole text; bits is the fingerprint as a signed long. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 bits = simhashes(part.column("text"), words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bits)], names=["doc_id", "bits"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in key], pa.array(bits)], names=[*key, "bits"])
 
-    return clean_texts(docs).mapInArrow(run, "doc_id long, bits long")
+    rows = docs.select(*[F.col(c).cast("long").alias(c) for c in key], F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in key) + ", bits long")
 
 
 def block_masks(max_bits: int) -> list[int]:
@@ -133,15 +134,26 @@ def near_links(nodes: DataFrame, max_bits: int = 4, tile: int = TILE) -> DataFra
     return dealt.mapInArrow(_links(max_bits), "a long, b long").distinct()
 
 
+def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int = 4, key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(key, bits, label): fingerprint of every row and the smallest fingerprint (as a signed number) it is linked to.
+
+    Fingerprints are the nodes, so rows without doc_id take part like any other.
+    """
+    prints = materialized(fingerprints(docs, words, key), "fingerprints")
+    nodes = materialized(prints.select("bits").distinct().select(F.col("bits").alias("node"), "bits"), "fingerprint-nodes")
+    labels = materialized(connected_components(near_links(nodes, max_bits)), "fingerprint-labels")
+    return prints.join(labels, F.col("bits") == F.col("node"), "left").select(*key, "bits", F.coalesce("label", "bits").alias("label"))
+
+
 def simhash_components(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
     """Fingerprint of every document, and the smallest doc_id reachable over links of at most ``max_bits`` bits.
 
-    ``docs`` needs doc_id and text. A null or blank text has fingerprint zero and is linked like any other. Repeated rows
-    are returned each for itself. Documents without doc_id get the component of their fingerprint, null if no document
-    with it has an id. Returns doc_id, fingerprint (16 lowercase hex digits), component_id.
+    ``docs`` needs doc_id and text; other columns are not looked at, whatever their names. A null or blank text has
+    fingerprint zero and is linked like any other; very long texts are taken whole. Repeated rows are returned each for
+    itself; ties do not occur. Documents without doc_id link others and get the component of their group, null if no document
+    in it has an id. Returns doc_id, fingerprint (16 lowercase hex digits), component_id.
     """
-    prints = materialized(fingerprints(docs, words), "fingerprints")
-    nodes = materialized(prints.groupBy("bits").agg(F.min("doc_id").alias("node")), "fingerprint-nodes")
-    labels = connected_components(near_links(nodes.where("node IS NOT NULL"), max_bits))
-    owners = nodes.join(labels, "node", "left").select("bits", F.coalesce("label", "node").alias("component_id"))
-    return prints.join(owners, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = simhash_groups(docs, words, max_bits)
+    owners = groups.groupBy("bits", "label").agg(F.min("doc_id").alias("own"))
+    firsts = materialized(owners.groupBy("label").agg(F.min("own").alias("component_id")), "fingerprint-groups")
+    return groups.join(firsts, "label").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
