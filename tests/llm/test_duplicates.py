@@ -8,7 +8,7 @@ import xxhash
 
 from ledgerlens.llm import suffix_dedup
 from ledgerlens.llm.components import connected_components
-from ledgerlens.llm.embedding_dedup import embedding_components, quantised, tile_links
+from ledgerlens.llm.embedding_dedup import embedding_components, quantised, tile_strips
 from ledgerlens.llm.line_dedup import remove_repeated_lines
 from ledgerlens.llm.simhash_dedup import block_masks, near_links, simhash_components, simhashes
 from ledgerlens.llm.suffix_dedup import contexts, longest_previous, previous_smaller, remove_repeats
@@ -193,11 +193,47 @@ def test_tiles_find_every_pair():
     unit = r.normal(size=(20, 16))[r.integers(0, 20, 700)] + 0.25 * r.normal(size=(700, 16))
     unit /= np.linalg.norm(unit, axis=1)[:, None]
     for threshold in (0.9, 0.1, -0.5):
-        i, j, checked = tile_links(unit, unit, threshold, True)
+        strips = list(tile_strips(unit, unit, threshold, True))
+        i, j, checked = np.concatenate([x[0] for x in strips]), np.concatenate([x[1] for x in strips]), sum(x[2] for x in strips)
         expected = {(a, b) for a, b in zip(*np.nonzero(np.einsum("ik,jk->ij", unit, unit) >= threshold), strict=True) if a < b}
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == expected and checked >= len(expected)
 
 
+def test_a_tile_of_near_vectors_needs_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    unit = 1 + 0.01 * r.normal(size=(3000, 16))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    tracemalloc.start()
+    assert sum(len(i) for i, _, _ in tile_strips(unit, unit, 0.9, True)) == 3000 * 2999 // 2
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_vectors_without_id_link_others(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.72, 0.69]), (None, [0.93, 0.3676]), (None, [-1.0, 0.0]), (None, [-1.0, 0.1]), (5, [0.0, -1.0])]
+    found = embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {x["vec_id"]: (x["n_links"], x["component_id"]) for x in found if x["vec_id"]} == {1: (1, 1), 2: (1, 1), 5: (0, 5)}
+    assert sorted((x["n_links"], x["component_id"] or -1, x["kept"]) for x in found if x["vec_id"] is None) == [(1, -1, False), (1, -1, False), (2, 1, False)]
+    bare = spark.createDataFrame([(None, [1.0]), (None, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(x) for x in embedding_components(bare).collect()] == [(None, 1, None, False)] * 2
+
+
+def test_crowded_strings_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SETTLED_ROWS", 50)
+    rows = [(i, prose(7, 12) + prose(i, 3) * (i % 3)) for i in range(60)] + [(100 + i, "ab" * 60) for i in range(5)]
+    found = remove_repeats(frame(spark, rows).repartition(7), crowd=1)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found.collect()} == repeats_by_hand(rows)
+
+
+def test_fingerprints_of_rows_without_id(spark):
+    text = prose(5, 200)
+    rows = [(None, text), (9, text + " end"), (None, prose(6, 200)), (4, prose(8, 200))]
+    found = [(r["doc_id"], r["component_id"]) for r in simhash_components(frame(spark, rows)).collect()]
+    assert sorted(found, key=str) == sorted([(None, 9), (9, 9), (None, None), (4, 4)], key=str)
+
+
 def test_vectors_equal_brute_force(spark):
     r = np.random.default_rng(3)
     base = r.normal(size=(25, 12))[r.integers(0, 25, 300)] + 0.2 * r.normal(size=(300, 12))

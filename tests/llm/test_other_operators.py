@@ -31,8 +31,8 @@ def shingles_of(text, n=5):
 def contained(docs, items):
     out = {}
     for d, text in docs:
-        own = shingles_of(text)
         for i, item in items:
+            own = shingles_of(text) | shingles_of(text, min(5, max(1, len(words_of(item)))))
             wanted = shingles_of(item)
             if wanted and len(own & wanted) >= 0.8 * len(wanted) - 1e-9:
                 out[d, i] = (len(own & wanted), len(wanted))
@@ -56,6 +56,40 @@ def test_contamination_equals_brute_force(spark):
     assert found == contained(docs, items) and len(found) > 10
 
 
+def test_short_items_inside_documents(spark):
+    items = [(1, "alpha beta gamma"), (2, "Delta"), (3, "one two three four"), (4, "a b c d e"), (5, "")]
+    docs = [(1, "so alpha, beta: gamma it is"), (2, "alpha beta"), (3, "x delta y one two three"), (4, "one two three four"), (5, "a b c d e one TWO three four five"), (6, "delta")]
+    found = {(x["doc_id"], x["item_id"]): (x["n_shared"], x["n_shingles"]) for x in contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == contained(docs, items) == {k: (1, 1) for k in [(1, 1), (3, 2), (4, 3), (5, 3), (5, 4), (6, 2)]}
+
+
+def test_stages_judge_rows_without_id(spark, tmp_path):
+    leak, text = prose(1, 20), prose(2, 200)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame(spark, [(None, f"so {leak} there"), (None, "clean"), (1, f"and {leak}"), (1, "other text of the same id"), (2, None)], clashes=True)
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(((x["doc_id"], x["text"]) for x in left), key=str) == sorted([(None, "clean"), (1, "other text of the same id"), (2, None)], key=str)
+    docs = frame(spark, [(None, text), (7, f"{text} end"), (7, "another text under this id"), (None, prose(3, 150)), (None, prose(3, 150)), (3, text), (3, text)], clashes=True)
+    left = corpus_pipeline.simhash_dedup(spark, docs, str(tmp_path)).collect()
+    assert sorted(((x["doc_id"], x["text"]) for x in left), key=str) == sorted([(3, text), (7, "another text under this id"), (None, prose(3, 150))], key=str)
+
+
+def test_endpoints_of_long_texts():
+    import time
+
+    from ledgerlens.llm.secret_scan import endpoints, find_parts
+
+    pattern = re.compile(r"https?://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|internal)\b", re.ASCII)
+    r = random.Random(8)
+    parts = ["a", "b-", "-", ".", "internal", ".internal", ".amazonaws.com", "https://", "http://", "x", " ", "_", "é", "Q", "..", "s3", "\n", "://", "http", "'"]
+    for _ in range(5000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        assert endpoints(text) == [m.span() for m in pattern.finditer(text)], text
+    start = time.time()
+    assert find_parts("token=abcdefg " + "a-b." * 262_144) == [(0, 0, 13)]
+    assert len(find_parts("a.internal." * 100_000)) == 1 and time.time() - start < 10
+
+
 def test_sketches_follow_item_size(spark):
     items = spark.createDataFrame([(1, prose(1, 10)), (2, prose(2, 200))], "item_id long, text string")
     sizes = {(r["item_id"], r["n_shingles"], r["partition"], r["needed"]) for r in item_shingles(items).collect()}
@@ -248,7 +282,7 @@ def test_pipeline_equals_brute_force(spark):
 
 
 def test_registered_queries():
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])

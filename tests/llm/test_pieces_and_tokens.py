@@ -31,6 +31,21 @@ def test_pieces_equal_the_library():
     assert own.decode(ids, at) == [library.decode(e).encode() for e in expected]
 
 
+def test_long_words_equal_the_library():
+    import time
+
+    own, library = PieceCodec.of_model(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    r = random.Random(6)
+    letters = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    rows = [" " * 20_000, letters(100_000, "abcdefghijklmnopqrstuvwxyz"), "ab" * 3000, "\n" * 4000, letters(20_000, "的一是不了人我在有他这为"), "é" * 500 + "🙂" * 300]
+    rows += ["x" * n for n in (127, 128, 129, 130)] + [letters(300, "aeinrst") + " " + letters(90, "aeinrst")]
+    start = time.time()
+    ids, at = own.encode(pa.array(rows))
+    own.encode(pa.array([letters(1 << 20, "abcdefghijklmnopqrstuvwxyzABC/+0123456789")]))
+    assert time.time() - start < 60
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(rows))] == library.encode(rows, add_bos=True, add_eos=True)
+
+
 def test_any_ids_decode_like_the_library():
     own, library = PieceCodec.of_model(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     r = random.Random(2)
