@@ -15,7 +15,7 @@ from ledgerlens.llm.language_id import fit, identify
 from ledgerlens.llm.line_dedup import edited_lines
 from ledgerlens.llm.piece_codec import encode_documents
 from ledgerlens.llm.queries import table, vocabulary
-from ledgerlens.llm.simhash_dedup import simhash_components
+from ledgerlens.llm.simhash_dedup import simhash_groups
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,22 +43,35 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
+def _marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows told apart by a 128-bit hash (k1, k2) of doc_id and text, nulls included: whole as ``doc``, and (k1, k2, doc_id, text).
+
+    So rows without doc_id, and rows of one doc_id with other texts, are judged each for itself; repeated rows are alike.
+    """
+    parts = [F.col(c).isNull() for c in ("doc_id", "text")] + [F.col("doc_id"), F.col("text")]
+    keys = [F.xxhash64(F.lit(n), *parts).alias(f"k{n}") for n in (1, 2)]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *keys)
+    return whole, docs.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest doc_id, of each group linked by SimHash (4 words, 4 bits).
 
-    Of repeated rows of the kept doc_id one stays. Rows without doc_id stay, as they can't be named by a group.
+    Rows without doc_id take part and stay where no row of their group has one (ties: by hash). Of repeated rows one stays.
     """
-    groups = simhash_components(docs, words=4, max_bits=4)
-    chosen = materialized(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "chosen")
-    kept = docs.join(chosen, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    whole, rows = _marked(docs)
+    groups = simhash_groups(rows, words=4, max_bits=4, key=("k1", "k2", "doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first")
+    chosen = materialized(groups.groupBy("label").agg(first).select("first.k1", "first.k2"), "chosen")
+    return whole.join(chosen, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold at least 0.8 of the five-word shingles of a test item of ``benchmark``."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    leaks = materialized(found.select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Drop documents that hold at least 0.8 of the five-word shingles of a test item of ``benchmark``, with or without doc_id."""
+    whole, rows = _marked(docs)
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), key=("k1", "k2"))
+    leaks = materialized(found.select("k1", "k2").distinct(), "leaks")
+    return whole.join(leaks, ["k1", "k2"], "left_anti").select("doc.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
