@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, NaiveBayes
-from pyspark.ml.feature import Binarizer
+from pyspark.ml.feature import Binarizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ledgerlens.catalog import sql as S
 from ledgerlens.catalog.registry import query, single
 from ledgerlens.functions.exprs import FOLD_FACTOR, SPLIT_FACTOR
-from ledgerlens.models import boost, clusters, evaluate, newton, search
+from ledgerlens.models import boost, clusters, evaluate, moments, newton, search
 from ledgerlens.models.cells import candidate_splits, cell_table
 from ledgerlens.session import reused, scratch_path
 from ledgerlens.sources import views
+from ledgerlens.sources.tables import parquet_table
 
 SERVICES = ("backup", "support", "streaming", "plan")
 THRESHOLD = 0.05
@@ -306,6 +307,86 @@ def price_model_errors(spark, folder):
     return search.compare_feature_sets(train, test, sets, search.regressors(key="id"))
 
 
+_RETURNS = """returns AS (
+  SELECT l_quantity AS a, l_extendedprice / 1000 AS b, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem)"""
+
+
+def _returned_lines(spark, folder):
+    line = parquet_table(spark, folder, "lineitem")
+    rows = line.select(F.col("l_quantity").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"), (F.col("l_returnflag") == "R").cast("double").alias("label"))
+    return reused(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows))
+
+
+def _terms(spark, model):
+    return spark.createDataFrame(list(zip(("constant", "quantity", "price"), (model.constant, *model.linear), strict=True)), "term string, value double")
+
+
+@query(
+    "L17",
+    f"""WITH {_RETURNS},
+    m AS (SELECT count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0,
+                 avg(a) FILTER (y = 1) AS a1, avg(b) FILTER (y = 1) AS b1, avg(a) FILTER (y = 0) AS a0, avg(b) FILTER (y = 0) AS b0,
+                 (n1 * var_pop(a) FILTER (y = 1) + n0 * var_pop(a) FILTER (y = 0)) / (n1 + n0 - 2) AS saa,
+                 (n1 * var_pop(b) FILTER (y = 1) + n0 * var_pop(b) FILTER (y = 0)) / (n1 + n0 - 2) AS sbb,
+                 (n1 * covar_pop(a, b) FILTER (y = 1) + n0 * covar_pop(a, b) FILTER (y = 0)) / (n1 + n0 - 2) AS sab FROM returns),
+    w AS (SELECT *, (sbb * (a1 - a0) - sab * (b1 - b0)) / (saa * sbb - sab * sab) AS wa, (saa * (b1 - b0) - sab * (a1 - a0)) / (saa * sbb - sab * sab) AS wb FROM m)
+    SELECT 'constant' AS term, round(ln(n1 / n0) - (wa * (a1 + a0) + wb * (b1 + b0)) / 2, 8) AS value FROM w
+    UNION ALL SELECT 'quantity', round(wa, 8) FROM w UNION ALL SELECT 'price', round(wb, 8) FROM w""",
+)
+def discriminant_coefficients(spark, folder):
+    """Linear discriminant of returned lines: class means and pooled covariance from one aggregate."""
+    model = moments.DiscriminantClassifier().fit(_returned_lines(spark, folder))
+    return _terms(spark, model).withColumn("value", F.round("value", 8))
+
+
+@query(
+    "L17",
+    f"""WITH {_RETURNS},
+    m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(2 * y - 1) AS my, count(*) * var_pop(a) + 10 AS saa, count(*) * var_pop(b) + 10 AS sbb,
+                 count(*) * covar_pop(a, b) AS sab, count(*) * covar_pop(a, 2 * y - 1) AS say, count(*) * covar_pop(b, 2 * y - 1) AS sby FROM returns),
+    w AS (SELECT *, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS wa, (saa * sby - sab * say) / (saa * sbb - sab * sab) AS wb FROM m)
+    SELECT 'constant' AS term, round(my - wa * ma - wb * mb, 8) AS value FROM w
+    UNION ALL SELECT 'quantity', round(wa, 8) FROM w UNION ALL SELECT 'price', round(wb, 8) FROM w""",
+)
+def ridge_coefficients(spark, folder):
+    """Ridge classifier of returned lines with a penalty of 10."""
+    model = moments.RidgeClassifier(penalties=[10.0]).fit(_returned_lines(spark, folder))
+    return _terms(spark, model).withColumn("value", F.round("value", 8))
+
+
+_FOLDED = """priced AS (
+  SELECT l_extendedprice AS x, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS y, l_orderkey % 10 AS fold FROM lineitem)"""
+
+
+@query(
+    "L9 L20",
+    f"""WITH {_FOLDED},
+    fits AS (SELECT f.fold, regr_slope(y, x) AS slope, regr_intercept(y, x) AS start FROM priced p JOIN (SELECT DISTINCT fold FROM priced) f ON p.fold <> f.fold GROUP BY f.fold)
+    SELECT p.fold, round(sqrt(avg((y - start - slope * x) * (y - start - slope * x))), 4) AS rmse FROM priced p JOIN fits USING (fold) GROUP BY p.fold""",
+)
+def linear_fold_errors(spark, folder):
+    """Held-out error of the linear model of price on ten folds of whole orders, all from one pass."""
+    line = parquet_table(spark, folder, "lineitem")
+    y = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    errors = moments.linear_fold_errors(line, F.col("l_orderkey") % 10, F.array("l_extendedprice"), y)
+    return spark.createDataFrame(list(errors.items()), "fold long, rmse double").withColumn("rmse", F.round("rmse", 4))
+
+
+@query(
+    "L20 L28",
+    f"""WITH {_FOLDED}, t AS (SELECT fold, unnest([0, 0, 0, 1, 1, 2]) AS row_no, unnest([0, 1, 2, 1, 2, 2]) AS col_no,
+           unnest([1.0, x, y, x * x, x * y, y * y]) AS v FROM priced)
+    SELECT fold, row_no, col_no, round(sum(v) / 1000000, 3) AS millions FROM t GROUP BY ALL""",
+)
+def linear_fold_products(spark, folder):
+    """The sums of products behind the folds: entries of (1, price, net price) crossed with itself, by fold."""
+    line = parquet_table(spark, folder, "lineitem")
+    y = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    sums = moments.product_sums(line, F.col("l_orderkey") % 10, F.array("l_extendedprice"), y)
+    found = [(int(f), i, j, float(m[i, j]) / 1e6) for f, m in sums.items() for i in range(3) for j in range(i, 3)]
+    return spark.createDataFrame(found, "fold long, row_no int, col_no int, millions double").withColumn("millions", F.round("millions", 3))
+
+
 @query("S8 L26 L1")
 def stored_model_estimates(spark, folder):
     train, test = _prices(spark, folder)

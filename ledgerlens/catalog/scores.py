@@ -133,15 +133,15 @@ def urgent_buyers(spark, folder):
 @query(
     "J8",
     """SELECT coalesce(c.c_custkey, o.o_custkey) AS customer_id, c.c_mktsegment AS segment, o.orders, o.spend
-    FROM (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0) c
-    FULL JOIN (SELECT o_custkey, count(*) AS orders, round(sum(CAST(o_totalprice AS DECIMAL(18, 2))), 2) AS spend FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey""",
+    FROM (SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 0) c
+    FULL JOIN (SELECT o_custkey, count(*) AS orders, round(sum(CAST(o_totalprice AS DECIMAL(18, 2))), 2) AS spend FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) o ON c_custkey = o_custkey""",
 )
 def customers_beside_totals(spark, folder):
-    """Two tables put side by side by key, rows of either kept."""
+    """Customers with credit and totals of open orders side by side by key, rows of either kept."""
     customer, order = parquet_table(spark, folder, "customer"), parquet_table(spark, folder, "orders")
-    left = customer.filter(F.col("c_custkey") % 3 != 0).select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"))
+    left = customer.filter(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"))
     spend = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("spend")
-    right = order.groupBy(F.col("o_custkey").alias("customer_id")).agg(F.count(F.lit(1)).alias("orders"), spend)
+    right = order.filter(F.col("o_orderstatus") == "O").groupBy(F.col("o_custkey").alias("customer_id")).agg(F.count(F.lit(1)).alias("orders"), spend)
     return left.join(right, "customer_id", "full")
 
 

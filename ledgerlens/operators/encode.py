@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.order_stats import quantiles, with_position
 from ledgerlens.operators.profile import is_text, long_values
-from ledgerlens.session import reused, small_side
+from ledgerlens.session import kept, reused, small_side
 
 MAX_LEVELS = 10_000
 
@@ -71,7 +71,8 @@ def rare_encoded(df: DataFrame, share: float, columns: Sequence[str] | None = No
 
 def robust_scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Minus the median, divided by the distance of the quartiles (by 1 where that is 0)."""
-    found = quantiles(df, {c: (0.25, 0.5, 0.75) for c in columns})
+    with kept(df.select(*columns)) as rows:
+        found = quantiles(rows, {c: (0.25, 0.5, 0.75) for c in columns})
     edited = {}
     for c, (q1, q2, q3) in found.items():
         if q2 is not None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.operators.order_stats import quantiles
+from ledgerlens.session import kept
 
 PROFILE_QUANTILES = (0, 0.05, 0.50, 0.95, 0.99, 1)
 SUMMARY_QUANTILES = (0.05, 0.10, 0.20, 0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90, 0.95, 0.99)
@@ -46,13 +47,18 @@ def _present(df: DataFrame, column: str) -> Column:
     return value.isNotNull()
 
 
+def _one_row(df: DataFrame, figures: Sequence[Column]) -> DataFrame:
+    """The figures of one aggregate, computed now, so that what follows reads no input."""
+    found = df.agg(*figures)
+    return df.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
 def table_profile(df: DataFrame, probabilities: Sequence[float] = PROFILE_QUANTILES) -> DataFrame:
     """Rows and columns, nulls of every column, and quantiles of the numeric ones, as ``(column, metric, value)``."""
     numbers = numeric_columns(df)
-    found = quantiles(df, {c: probabilities for c in numbers})
-    counted = df.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count_if(~_present(df, c)).alias(f"n_{i}") for i, c in enumerate(df.columns)]
-    )
+    with kept(df) as rows:
+        counted = _one_row(rows, [F.count(F.lit(1)).alias("_rows"), *[F.count_if(~_present(df, c)).alias(f"n_{i}") for i, c in enumerate(df.columns)]])
+        found = quantiles(rows, {c: probabilities for c in numbers}, rows=counted.first()["_rows"])
     entries = [("*", "rows", F.col("_rows")), ("*", "columns", F.lit(len(df.columns)))]
     entries += [(c, "nulls", F.col(f"n_{i}")) for i, c in enumerate(df.columns)]
     entries += [(c, f"q{p:g}", F.lit(v)) for c in numbers for p, v in zip(probabilities, found[c])]
@@ -83,10 +89,10 @@ def null_counts(df: DataFrame, with_type: bool = False) -> DataFrame:
 
 def numeric_summary(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = SUMMARY_QUANTILES) -> DataFrame:
     """Count, mean, sample deviation, minimum, quantiles and maximum as ``(column, metric, value)``."""
-    found = quantiles(df, {c: probabilities for c in columns})
-    measured = df.agg(
-        *[f(F.col(c).cast("double")).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in _BASIC.items()]
-    )
+    with kept(df.select(*columns)) as rows:
+        measured = _one_row(rows, [f(F.col(c).cast("double")).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in _BASIC.items()])
+        most = max((measured.first()[f"count_{i}"] for i in range(len(columns))), default=0)
+        found = quantiles(rows, {c: probabilities for c in columns}, rows=most)
     entries = [(c, n, F.col(f"{n}_{i}")) for i, c in enumerate(columns) for n in _BASIC]
     entries += [(c, f"{p * 100:g}%", F.lit(v)) for c in columns for p, v in zip(probabilities, found[c])]
     return long_report(measured, entries)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from multiprocessing.pool import ThreadPool
 from typing import TypeVar
 
@@ -100,6 +101,19 @@ def at_once(spark: SparkSession, tasks: Sequence[Callable[[], T]], parallelism:
         return [r.get() for r in [pool.apply_async(inheritable_thread_target(spark)(t)) for t in tasks]]
 
 
+@contextlib.contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` for the passes of one report: persisted here unless the caller has, and then released again."""
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        yield df
+        return
+    held = reused(df)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def reused(df: DataFrame) -> DataFrame:
     """Keep ``df`` for several passes. Lost blocks are recomputed from lineage, so executor loss is harmless."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
