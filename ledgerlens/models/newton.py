@@ -69,8 +69,11 @@ def _slopes(batch: Batch, held: np.ndarray, band: np.ndarray) -> tuple[np.ndarra
     return n * (p - batch.label[:, None]), n * np.maximum(p * (1 - p), 1e-16)
 
 
-def _chosen(g: np.ndarray, h: np.ndarray, widths: Sequence[int], ridge: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The split of largest gain for each (node, plan): feature, cut, and the sums on both sides; sums are (node, slot, plan)."""
+def _chosen(g: np.ndarray, h: np.ndarray, widths: Sequence[int], ridge: np.ndarray, least: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The split of largest gain for each (node, plan): feature, cut, and the sums on both sides; sums are (node, slot, plan).
+
+    ``allowed`` may bar cuts, by the slot of the last bin on the left.
+    """
     nodes, _, plans = g.shape
     whole_g, whole_h = g[:, : widths[0]].sum(1), h[:, : widths[0]].sum(1)
     worth = lambda a, b: a * a / (b + ridge)
@@ -80,15 +83,16 @@ def _chosen(g: np.ndarray, h: np.ndarray, widths: Sequence[int], ridge: np.ndarr
     at = 0
     for f, width in enumerate(widths):
         lg, lh = g[:, at : at + width].cumsum(1)[:, :-1], h[:, at : at + width].cumsum(1)[:, :-1]
+        free = None if allowed is None else allowed[:, at : at + width - 1]
         at += width
         if not lg.shape[1]:
             continue
         rg, rh = whole_g[:, None] - lg, whole_h[:, None] - lh
         gain = worth(lg, lh) + worth(rg, rh) - worth(whole_g, whole_h)[:, None]
-        gain = np.where((lh >= least) & (rh >= least), gain, -np.inf)
+        gain = np.where((lh >= least) & (rh >= least) & (True if free is None else free), gain, -np.inf)
         # of gains that are alike the first one, so that the order of sums does not decide
         top = gain.max(1, keepdims=True)
-        pick = (gain >= top - ALIKE * np.abs(top)).argmax(1)[:, None]
+        pick = (gain >= np.where(np.isfinite(top), top - ALIKE * np.abs(top), top)).argmax(1)[:, None]
         top = top[:, 0]
         better = top > best * (1 + ALIKE)
         best = np.where(better, top, best)

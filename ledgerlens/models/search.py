@@ -32,6 +32,7 @@ from ledgerlens.models import newton
 from ledgerlens.models.newton import NewtonBoostClassifier
 from ledgerlens.models.boost import AdaBoostClassifier, AdaBoostModel, Plan, Stump, boosted
 from ledgerlens.models.cells import candidate_splits, cell_table
+from ledgerlens.models.forests import TreesClassifier, TreesModel
 from ledgerlens.models.moments import DiscriminantClassifier, QuadraticModel, RidgeClassifier, linear_fold_errors
 from ledgerlens.models.evaluate import regression_errors, summaries
 from ledgerlens.operators.neighbors import _nearest_by_group
@@ -75,7 +76,7 @@ def bernoulli_bayes(smoothing: float = 1.0) -> Pipeline:
 
 
 def classifiers(n_features: int, seed: int = 42, rounds: int = 50, key: str | None = None) -> dict[str, Estimator]:
-    """The models compared in a sweep; with a ``key`` column also the vote of nearest neighbours."""
+    """The models compared in a sweep; with a ``key`` column also the vote of nearest neighbours, bagged and random trees."""
     found: dict[str, Estimator] = {
         "LogisticRegression": LogisticRegression(maxIter=50),
         "DecisionTree": DecisionTreeClassifier(seed=seed),
@@ -93,6 +94,8 @@ def classifiers(n_features: int, seed: int = 42, rounds: int = 50, key: str | No
     }
     if key:
         found["KNeighbors"] = NearestVoteClassifier(key=key)
+        found["BaggedTrees"] = TreesClassifier(key=key, trees=10, seed=seed)
+        found["ExtraTrees"] = TreesClassifier(key=key, trees=100, random_splits=True, seed=seed)
     return found
 
 
@@ -423,8 +426,8 @@ def load_model(path: str) -> Model:
             return CalibratedModel(parts(1)[0], meta["slope"], meta["intercept"])
         case "AdaBoostModel":
             return AdaBoostModel([Stump(*s) for s in meta["stumps"]], meta["votes"], meta["by_label"])
-        case "NewtonBoostModel":
-            return newton.NewtonBoostModel([newton.Tree(*t) for t in meta["trees"]])
+        case "NewtonBoostModel" | "TreesModel" as name:
+            return {"NewtonBoostModel": newton.NewtonBoostModel, "TreesModel": TreesModel}[name]([newton.Tree(*t) for t in meta["trees"]])
         case "QuadraticModel":
             return QuadraticModel(meta["constant"], meta["linear"], meta["square"], meta["odds"])
         case "NearestMeanModel" | "NearestVoteModel" as name:
