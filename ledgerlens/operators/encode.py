@@ -60,12 +60,13 @@ def rare_encoded(df: DataFrame, share: float, columns: Sequence[str] | None = No
     chosen = list(columns) if columns is not None else [c for c in df.columns if is_text(df, c)]
     if not chosen:
         return df
+    counts = long_values(df, chosen).where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1))).scalar()
+    rare_levels = reused(counts.where(F.col("_n") / total < F.lit(share)))
     for c in chosen:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_{c}")).agg(F.count(F.lit(1)).alias("_n"))
-        rare = counts.filter(F.col("_n") / total < F.lit(share)).select(f"_{c}")
+        rare = rare_levels.where(F.col("column") == c).select(F.col("value").alias(f"_{c}"))
         edited = F.when(F.col(f"_{c}").isNotNull(), F.lit(name)).otherwise(F.col(c))
-        df = df.join(small_side(rare), F.col(c) == F.col(f"_{c}"), "left").withColumn(c, edited).drop(f"_{c}")
+        df = df.join(small_side(rare), F.col(c).cast("string") == F.col(f"_{c}"), "left").withColumn(c, edited).drop(f"_{c}")
     return df
 
 
