@@ -184,7 +184,43 @@ def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("places").alias("n_places"))
 
 
-@query()
+#: CRC-32 of a list of byte values.
+_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes}), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+_DIGITS = "list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))"
+_LEAF = "||".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+MERKLE_SQL = f"""
+WITH RECURSIVE raw AS (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents),
+marked AS (SELECT *, CASE WHEN xor(4294967295, {_CRC.format(bytes=_DIGITS)}) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered FROM raw),
+leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS grp, sha256({_LEAF.format(text='text')}) AS leaf, sha256({_LEAF.format(text='tampered')}) AS changed,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM marked),
+nodes AS (
+  SELECT grp, 0 AS lv, idx, n, leaf AS d FROM leaves
+  UNION ALL SELECT grp, lv + 1, idx // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY grp, lv, idx // 3, n),
+subroots AS (SELECT grp, d, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lv, idx, n, d FROM subroots
+  UNION ALL SELECT lv + 1, idx // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY lv, idx // 3, n),
+runs AS (
+  SELECT grp, lv, idx // 3 AS run, list(d ORDER BY idx) AS ds FROM nodes WHERE n > 1 GROUP BY grp, lv, idx // 3
+  UNION ALL SELECT NULL, lv, idx // 3, list(d ORDER BY idx) FROM tops WHERE n > 1 GROUP BY lv, idx // 3),
+steps AS (SELECT grp, lv, run, unnest(range(len(ds))) AS place, ds, len(ds) AS size FROM runs),
+low AS (
+  SELECT doc_id, grp, 0 AS lv, idx, changed AS now, '' AS proof FROM leaves
+  UNION ALL SELECT w.doc_id, w.grp, w.lv + 1, w.idx // 3, sha256(array_to_string(ds[:place] || [now] || ds[place + 2:], '')), proof || array_to_string(ds[:place] || ds[place + 2:], '')
+  FROM low w JOIN steps s ON s.grp = w.grp AND s.lv = w.lv AND s.run = w.idx // 3 AND s.place = w.idx % 3),
+high AS (
+  SELECT doc_id, 0 AS lv, s.idx, now, proof FROM (SELECT doc_id, grp, max_by(now, lv) AS now, max_by(proof, lv) AS proof FROM low GROUP BY doc_id, grp) JOIN subroots s USING (grp)
+  UNION ALL SELECT w.doc_id, w.lv + 1, w.idx // 3, sha256(array_to_string(ds[:place] || [now] || ds[place + 2:], '')), proof || array_to_string(ds[:place] || ds[place + 2:], '')
+  FROM high w JOIN steps s ON s.grp IS NULL AND s.lv = w.lv AND s.run = w.idx // 3 AND s.place = w.idx % 3),
+ended AS (SELECT doc_id, max_by(now, lv) AS now, max_by(proof, lv) AS proof FROM high GROUP BY doc_id)
+SELECT doc_id, leaf, s.d AS subroot, t.d AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = t.d AS verified
+FROM leaves JOIN ended USING (doc_id) JOIN subroots s USING (grp), (SELECT d FROM tops WHERE n = 1) t
+"""
+
+
+@query(MERKLE_SQL)
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Digest and proof of every document; half of them are checked with the line feeds taken out of their text."""
     from ledgerlens.llm.merkle_manifest import merkle_proofs
@@ -194,7 +230,28 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_proofs(table(spark, folder, "documents"), tampered)
 
 
-@query()
+_BYTES = "list_transform(range(1, strlen(s) + 1), lambda i: CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT))"
+VARIANTS_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents) WHERE length(r) >= 7),
+keyed AS (SELECT w, s, hex(encode(s)) AS x FROM (SELECT w, doc_id || ':' || w AS s FROM runs)),
+hashed AS (SELECT w, xor(4294967295, {_CRC.format(bytes=_BYTES)}) AS h FROM keyed),
+typed AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed),
+words AS (SELECT word, count(*) AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cuts AS (SELECT word, p, left(word, p) || substr(word, p + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS p FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM cuts a JOIN cuts b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word FROM cuts c JOIN words w ON c.rest = w.word),
+best AS (SELECT p.word, count(*) AS n_near, arg_min(near, struct_pack(a := -w.n, b := encode(near))) AS near, max(w.n) AS near_n FROM pairs p JOIN words w ON w.word = p.near GROUP BY p.word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (SELECT word, word AS root, 0 AS hop FROM forms UNION ALL SELECT c.word, f.form, hop + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, max_by(root, hop) AS root FROM chain GROUP BY word) USING (word)
+"""
+
+
+@query(VARIANTS_SQL)
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Frequent words of all documents, their more frequent near forms, and the roots of those chains."""
     from ledgerlens.llm.spelling_variants import spelling_variants
