@@ -99,8 +99,31 @@ def kmeans_clusters(spark, folder):
     return clusters.fit_kmeans(rows, 3).transform(rows).groupBy("cluster").agg(F.count(F.lit(1)).alias("customers"), F.avg("recency").alias("recency"))
 
 
-@query("L7")
+def _elbow_sql() -> str:
+    scaled = f"""{S.CLEAN}, {S.rfm('clean').replace('sum(quantity * price) AS', 'round(sum(quantity * price), 2) AS')},
+    long AS (SELECT unnest(['recency', 'frequency', 'monetary']) AS "column", unnest([
+      (recency - (SELECT min(recency) FROM rfm)) / (SELECT CAST(max(recency) - min(recency) AS DOUBLE) FROM rfm),
+      (frequency - (SELECT min(frequency) FROM rfm)) / (SELECT CAST(max(frequency) - min(frequency) AS DOUBLE) FROM rfm),
+      (monetary - (SELECT min(monetary) FROM rfm)) / (SELECT CAST(max(monetary) - min(monetary) AS DOUBLE) FROM rfm)]) AS v FROM rfm)"""
+    return f"""WITH RECURSIVE {scaled},
+    centred AS (SELECT "column", v - avg(v) OVER (PARTITION BY "column") AS v FROM long),
+    grouped AS (SELECT "column", v, count(*) AS n FROM centred GROUP BY ALL),
+    upto AS (SELECT "column", row_number() OVER w AS i, CAST(sum(n) OVER w AS DOUBLE) AS n, sum(n * v) OVER w AS s, sum(n * v * v) OVER w AS q
+             FROM grouped WINDOW w AS (PARTITION BY "column" ORDER BY v)),
+    runs AS (SELECT b."column", a.i AS start, b.i AS stop, (b.q - a.q) - (b.s - a.s) * (b.s - a.s) / (b.n - a.n) AS cost
+             FROM (SELECT "column", i, n, s, q FROM upto UNION ALL SELECT DISTINCT "column", 0, 0.0, 0.0, 0.0 FROM upto) a JOIN upto b ON a."column" = b."column" AND a.i < b.i),
+    best AS (SELECT "column", 1 AS k, stop, cost FROM runs WHERE start = 0
+             UNION ALL SELECT r."column", p.k + 1, r.stop, min(p.cost + r.cost) FROM best p JOIN runs r ON r."column" = p."column" AND r.start = p.stop
+             WHERE p.k < 19 GROUP BY r."column", p.k, r.stop),
+    costs AS (SELECT "column", k, greatest(arg_max(cost, stop), 0) AS cost FROM best JOIN (SELECT "column", max(i) AS stop FROM upto GROUP BY ALL) USING ("column", stop) GROUP BY ALL),
+    drops AS (SELECT *, first_value(cost) OVER w + (last_value(cost) OVER w - first_value(cost) OVER w) * (k - 1) / 18 - cost AS fall
+              FROM costs WINDOW w AS (PARTITION BY "column" ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    SELECT "column", CAST(k AS INT) AS k, round(cost, 6) AS cost, row_number() OVER (PARTITION BY "column" ORDER BY round(fall, 9) DESC, k) = 1 AS chosen FROM drops"""
+
+
+@query("L7", _elbow_sql())
 def kmeans_elbow(spark, folder):
+    """Least costs of 1 to 19 clusters of each measure, and where the curve bends most."""
     from ledgerlens.catalog.neighbours import _standardised
 
     rows = reused(_standardised(spark, folder))
@@ -108,7 +131,7 @@ def kmeans_elbow(spark, folder):
     for column in ("recency", "frequency", "monetary"):
         costs = clusters.kmeans_costs(rows, [column])
         chosen = clusters.knee(costs)
-        found += [(column, k, c, k == chosen) for k, c in costs]
+        found += [(column, k, round(c, 6), k == chosen) for k, c in costs]
     rows.unpersist()
     return spark.createDataFrame(found, "column string, k int, cost double, chosen boolean")
 

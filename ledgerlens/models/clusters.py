@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,10 @@ def fit_kmeans(df: DataFrame, k: int, seed: int = 42, features: str = "features"
 
 
 def kmeans_costs(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(1, 20), seed: int = 42) -> list[tuple[int, float]]:
-    """Sum of squared distances to the nearest centre for each ``k``."""
+    """Sum of squared distances to the nearest centre for each ``k``: the least one for a single column, else what k-means finds."""
+    exact = exact_costs(df, columns[0], max(ks)) if len(columns) == 1 else None
+    if exact is not None:
+        return [(k, c) for k, c in exact if k in ks]
     rows = reused(with_vector(df, columns))
     costs = []
     for k in ks:
@@ -34,6 +38,71 @@ def kmeans_costs(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = rang
     return costs
 
 
+#: Distinct values of a column up to which its best clusters are found exactly.
+EXACT_VALUES = 1_000_000
+
+
+def exact_costs(df: DataFrame, column: str, most: int = 19) -> list[tuple[int, float]] | None:
+    """The least possible sum of squared distances to centres of one column, for 1 to ``most`` clusters; nulls left out.
+
+    In one dimension clusters are runs of the sorted values, so equal values are counted first and the best runs are found
+    by dynamic programming over what is left: as the last run's start never falls while its end rises, each number of
+    clusters takes about log2(m) vectorised passes over m distinct values. None beyond ``EXACT_VALUES`` of them.
+    """
+    counts = reused(df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    m = counts.count()
+    if m > EXACT_VALUES:
+        counts.unpersist()
+        return None
+    table = counts.toArrow()
+    counts.unpersist()
+    if not m:
+        return [(k, 0.0) for k in range(1, most + 1)]
+    v, n = table.column("v").to_numpy(), table.column("n").to_numpy().astype(float)
+    order = np.argsort(v)
+    v, n = v[order] - np.average(v, weights=n), n[order]
+    upto = [np.concatenate([[0.0], np.cumsum(x)]) for x in (n, n * v, n * v * v)]
+
+    def cost(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        rows, total, square = (u[high + 1] - u[low] for u in upto)
+        return np.maximum(square - total * total / rows, 0.0)
+
+    best = cost(np.zeros(m, np.int64), np.arange(m))
+    found = [(1, float(best[-1]))]
+    for k in range(2, most + 1):
+        best = _next_layer(best, cost, m)
+        found.append((k, float(best[-1])))
+    return found
+
+
+def _next_layer(before: np.ndarray, cost: Callable[[np.ndarray, np.ndarray], np.ndarray], m: int) -> np.ndarray:
+    """For each end the least of ``before[start - 1] + cost(start, end)`` over starts: middles first, between known starts."""
+    best, start = before.copy(), np.zeros(m, np.int64)
+    known = np.array([-1, m])  # ends whose best start is settled; the bounds stand for 1 and their own place
+    while len(known) < m + 2:
+        low, high = known[:-1], known[1:]
+        open_ = high - low > 1
+        low, high = low[open_], high[open_]
+        middle = (low + high) // 2
+        first = np.where(low < 0, 1, np.maximum(start[np.maximum(low, 0)], 1))
+        last = np.where(high == m, middle, np.minimum(start[np.minimum(high, m - 1)], middle))
+        last, real = np.maximum(last, first), middle >= first
+        size = last - first + 1
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        end = np.repeat(middle, size)
+        value = np.where(at <= end, before[np.maximum(at - 1, 0)] + cost(np.minimum(at, end), end), np.inf)
+        edges = np.cumsum(size) - size
+        least = np.minimum.reduceat(value, edges)
+        hit = np.flatnonzero(value == np.repeat(least, size))
+        pick = at[hit[np.searchsorted(hit, edges)]]
+        # one run less can be as good where there are fewer values than runs
+        better = real & (least <= before[middle])
+        best[middle] = np.where(better, least, before[middle])
+        start[middle] = np.where(real, pick, first)
+        known = np.sort(np.concatenate([known, middle]))
+    return best
+
+
 def knee(costs: Sequence[tuple[int, float]]) -> int:
     """The ``k`` furthest below the line from the first to the last cost."""
     (k0, c0), (k1, c1) = costs[0], costs[-1]

@@ -105,6 +105,23 @@ def test_kmeans_cost_of_one_cluster_is_the_spread(spark):
     assert clusters.knee([(1, 100.0), (2, 20.0), (3, 10.0), (4, 5.0)]) == 2
 
 
+def test_least_costs_of_one_column(spark):
+    rng = np.random.default_rng(17)
+    for values in (np.round(rng.normal(size=60), 1), rng.integers(0, 4, 30).astype(float), np.array([2.0]), np.repeat([1.0, 5.0], 3)):
+        v = np.sort(values)
+        cost = lambda i, j: ((v[i:j] - v[i:j].mean()) ** 2).sum()  # noqa: B023, E731
+        best = [cost(0, j) if j else 0.0 for j in range(len(v) + 1)]
+        expected = [best[-1]]
+        for _ in range(7):
+            best = [min([best[j], *[best[i] + cost(i, j) for i in range(1, j)]]) if j else 0.0 for j in range(len(v) + 1)]
+            expected.append(best[-1])
+        df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "x double")
+        found = clusters.exact_costs(df, "x", 8)
+        assert [k for k, _ in found] == list(range(1, 9))
+        assert [c for _, c in found] == pytest.approx(expected, abs=1e-9)
+    assert clusters.exact_costs(df.limit(0), "x", 2) == [(1, 0.0), (2, 0.0)]
+
+
 def test_nearest_mean_regressor(labelled):
     model = search.NearestMeanRegressor("id", k=3).fit(labelled)
     told = model.transform(labelled)
