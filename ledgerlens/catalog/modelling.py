@@ -116,7 +116,7 @@ def _elbow_sql() -> str:
              UNION ALL SELECT r."column", p.k + 1, r.stop, min(p.cost + r.cost) FROM best p JOIN runs r ON r."column" = p."column" AND r.start = p.stop
              WHERE p.k < 19 GROUP BY r."column", p.k, r.stop),
     costs AS (SELECT "column", k, greatest(arg_max(cost, stop), 0) AS cost FROM best JOIN (SELECT "column", max(i) AS stop FROM upto GROUP BY ALL) USING ("column", stop) GROUP BY ALL),
-    drops AS (SELECT *, first_value(cost) OVER w + (last_value(cost) OVER w - first_value(cost) OVER w) * (k - 1) / 18 - cost AS fall
+    drops AS (SELECT *, first_value(cost) OVER w + (last_value(cost) OVER w - first_value(cost) OVER w) * (k - 1) / greatest(max(k) OVER w - 1, 1) - cost AS fall
               FROM costs WINDOW w AS (PARTITION BY "column" ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
     SELECT "column", CAST(k AS INT) AS k, round(cost, 6) AS cost, row_number() OVER (PARTITION BY "column" ORDER BY round(fall, 9) DESC, k) = 1 AS chosen FROM drops"""
 

@@ -43,7 +43,8 @@ EXACT_VALUES = 1_000_000
 
 
 def exact_costs(df: DataFrame, column: str, most: int = 19) -> list[tuple[int, float]] | None:
-    """The least possible sum of squared distances to centres of one column, for 1 to ``most`` clusters; nulls left out.
+    """The least possible sum of squared distances to centres of one column, for 1 to ``most`` clusters (no more
+    than there are distinct values); nulls left out.
 
     In one dimension clusters are runs of the sorted values, so equal values are counted first and the best runs are found
     by dynamic programming over what is left: as the last run's start never falls while its end rises, each number of
@@ -57,7 +58,7 @@ def exact_costs(df: DataFrame, column: str, most: int = 19) -> list[tuple[int, f
     table = counts.toArrow()
     counts.unpersist()
     if not m:
-        return [(k, 0.0) for k in range(1, most + 1)]
+        return []
     v, n = table.column("v").to_numpy(), table.column("n").to_numpy().astype(float)
     order = np.argsort(v)
     v, n = v[order] - np.average(v, weights=n), n[order]
@@ -69,7 +70,7 @@ def exact_costs(df: DataFrame, column: str, most: int = 19) -> list[tuple[int, f
 
     best = cost(np.zeros(m, np.int64), np.arange(m))
     found = [(1, float(best[-1]))]
-    for k in range(2, most + 1):
+    for k in range(2, min(most, m) + 1):
         best = _next_layer(best, cost, m)
         found.append((k, float(best[-1])))
     return found
@@ -95,7 +96,7 @@ def _next_layer(before: np.ndarray, cost: Callable[[np.ndarray, np.ndarray], np.
         least = np.minimum.reduceat(value, edges)
         hit = np.flatnonzero(value == np.repeat(least, size))
         pick = at[hit[np.searchsorted(hit, edges)]]
-        # one run less can be as good where there are fewer values than runs
+        # an end with fewer values before it than runs keeps what fewer runs cost
         better = real & (least <= before[middle])
         best[middle] = np.where(better, least, before[middle])
         start[middle] = np.where(real, pick, first)

@@ -117,9 +117,9 @@ def test_least_costs_of_one_column(spark):
             expected.append(best[-1])
         df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "x double")
         found = clusters.exact_costs(df, "x", 8)
-        assert [k for k, _ in found] == list(range(1, 9))
-        assert [c for _, c in found] == pytest.approx(expected, abs=1e-9)
-    assert clusters.exact_costs(df.limit(0), "x", 2) == [(1, 0.0), (2, 0.0)]
+        assert [k for k, _ in found] == list(range(1, min(8, len(set(values))) + 1))
+        assert [c for _, c in found] == pytest.approx(expected[: len(found)], abs=1e-9)
+    assert clusters.exact_costs(df.limit(0), "x", 2) == []
 
 
 def test_nearest_mean_regressor(labelled):
