@@ -14,7 +14,7 @@ from ledgerlens.catalog.registry import query, single
 from ledgerlens.functions.exprs import FOLD_FACTOR, SPLIT_FACTOR
 from ledgerlens.models import boost, clusters, evaluate, moments, newton, search
 from ledgerlens.models.cells import candidate_splits, cell_table
-from ledgerlens.session import reused, scratch_path
+from ledgerlens.session import at_once, reused, scratch_path
 from ledgerlens.sources import views
 from ledgerlens.sources.tables import parquet_table
 
@@ -181,27 +181,6 @@ def model_reports(spark, folder):
     return report.join(areas, "model")
 
 
-@query("L15 L19")
-def bayes_grid_search(spark, folder):
-    train, _ = _documents(spark, folder)
-    bayes = NaiveBayes(modelType="bernoulli", featuresCol="binary")
-    estimator = Pipeline(stages=[Binarizer(threshold=0.0, inputCol="features", outputCol="binary"), bayes])
-    found = search.grid_search(estimator, search.parameter_grid({bayes.smoothing: [0.1, 0.5, 1.0, 1.5, 2.0]}), train, "doc_id")
-    return search.grid_results(found, spark)
-
-
-@query("L14 L19")
-def boosting_grid_search(spark, folder):
-    train, _ = _documents(spark, folder)
-    return search.boosting_grid([25, 50, 75, 100, 200], [0.1, 0.5, 1.0, 1.2, 1.5], ["SAMME", "SAMME.R"], train, "doc_id")
-
-
-@query("L13 L19")
-def boosted_tree_grid_search(spark, folder):
-    train, _ = _documents(spark, folder)
-    return search.newton_grid([25, 50, 75, 100, 200], [0.1, 0.5, 1.0, 1.2, 1.5], [1, 2, 3, 4, 5], train, "doc_id")
-
-
 #: Training documents with codes, folds, candidate thresholds and, for every fold and threshold, class counts of both sides.
 _SPLITS = f"""raw AS (
   SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, CAST(toxic AS DOUBLE) AS toxic, lang, source, CAST(quality AS DOUBLE) AS label,
@@ -222,6 +201,41 @@ sides AS (
          CAST(count(*) FILTER (value > threshold AND label = 0) AS DOUBLE) AS r0, CAST(count(*) FILTER (value > threshold AND label = 1) AS DOUBLE) AS r1
   FROM (SELECT unnest(range(5)) AS fold) f, edges e JOIN long USING (feature) WHERE long.fold <> f.fold GROUP BY ALL)"""
 
+_BAYES = """long_bits AS (
+  SELECT doc_id, fold, label, feature, value > avg(value) OVER (PARTITION BY feature) AS b FROM long),
+smoothings AS (SELECT unnest([0.1, 0.5, 1.0, 1.5, 2.0]) AS s),
+folds AS (SELECT DISTINCT fold AS k FROM coded),
+classes AS (SELECT k, label, count(*) AS n FROM coded, folds WHERE fold <> k GROUP BY ALL),
+priors AS (SELECT k, label, s, n, ln((n + s) / (sum(n) OVER (PARTITION BY k, s) + 2 * s)) AS prior FROM classes, smoothings),
+rates AS (SELECT k, label, feature, count(*) FILTER (b) AS hits FROM long_bits, folds WHERE fold <> k GROUP BY ALL),
+points AS (SELECT d.doc_id, d.fold, d.label AS truth, p.label AS class, p.s, any_value(prior)
+             + sum(CASE WHEN b THEN ln((hits + s) / (n + 2 * s)) ELSE ln(1 - (hits + s) / (n + 2 * s)) END) AS score
+           FROM long_bits d JOIN priors p ON p.k = d.fold JOIN rates r ON r.k = d.fold AND r.label = p.label AND r.feature = d.feature
+           GROUP BY d.doc_id, d.fold, d.label, p.label, p.s),
+told AS (SELECT doc_id, fold, truth, s, CASE WHEN max(score) FILTER (class = 1) > max(score) FILTER (class = 0) THEN 1 ELSE 0 END AS guess FROM points GROUP BY ALL),
+f1s AS (SELECT fold, s, coalesce(2.0 * count(*) FILTER (guess = 1 AND truth = 1) / nullif(count(*) FILTER (guess = 1) + count(*) FILTER (truth = 1), 0), 0) AS f1 FROM told GROUP BY ALL)"""
+
+
+@query("L15 L19", f"WITH {_SPLITS}, {_BAYES} SELECT 'smoothing=' || CAST(s AS DECIMAL(2, 1)) AS parameters, round(avg(f1), 8) AS f1 FROM f1s GROUP BY s")
+def bayes_grid_search(spark, folder):
+    train, _ = _documents(spark, folder)
+    bayes = NaiveBayes(modelType="bernoulli", featuresCol="binary")
+    estimator = Pipeline(stages=[Binarizer(threshold=0.0, inputCol="features", outputCol="binary"), bayes])
+    found = search.grid_search(estimator, search.parameter_grid({bayes.smoothing: [0.1, 0.5, 1.0, 1.5, 2.0]}), train, "doc_id")
+    return search.grid_results(found, spark).withColumn("f1", F.round("f1", 8))
+
+
+@query("L14 L19")
+def boosting_grid_search(spark, folder):
+    train, _ = _documents(spark, folder)
+    return search.boosting_grid([25, 50, 75, 100, 200], [0.1, 0.5, 1.0, 1.2, 1.5], ["SAMME", "SAMME.R"], train, "doc_id")
+
+
+@query("L13 L19")
+def boosted_tree_grid_search(spark, folder):
+    train, _ = _documents(spark, folder)
+    return search.newton_grid([25, 50, 75, 100, 200], [0.1, 0.5, 1.0, 1.2, 1.5], [1, 2, 3, 4, 5], train, "doc_id")
+
 
 def _raw_features(spark, folder):
     """Training documents with unscaled features, as the first rounds are compared with SQL."""
@@ -294,6 +308,15 @@ def soft_vote_predictions(spark, folder):
     return told.select("doc_id", "label", "prediction")
 
 
+@query("L18 L22")
+def boosted_vote_report(spark, folder):
+    """Report of the soft vote of naive Bayes, AdaBoost and second-order boosted trees, 50 rounds each."""
+    train, test = _documents(spark, folder)
+    candidates = [search.bernoulli_bayes(), boost.AdaBoostClassifier(rounds=50), newton.NewtonBoostClassifier(rounds=50, depth=3)]
+    vote = search.SoftVote(at_once(spark, [lambda e=e: e.fit(train) for e in candidates]))
+    return evaluate.classification_report(evaluate.confusion(vote.transform(test)))
+
+
 @query("L24")
 def learning_curve(spark, folder):
     train, _ = _documents(spark, folder)
