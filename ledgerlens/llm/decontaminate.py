@@ -29,13 +29,14 @@ def shingle_rows(rows: DataFrame, key: Sequence[str], words: int = WORDS, shorte
     """
     terms = F.array_remove(F.split(F.lower("text"), WORD_GAP), "")
     hashed = rows.select(*key, F.transform(terms, lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") > 0)
-    spots = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0))), lambda i: F.struct(i.alias("i"), F.lit(words).alias("n")))
+    places = lambda n: F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))
+    placed = hashed.select(*key, "w", F.explode(places(words)).alias("i"))
+    rows = placed.select(*key, F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(words)]).alias("h"))
     for n in shorter:
-        own = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: F.struct(i.alias("i"), F.lit(n).alias("n")))  # noqa: B023
-        spots = F.concat(spots, own)
-    placed = hashed.select(*key, "w", F.explode(spots).alias("s")).select(*key, "w", "s.i", "s.n")
-    part = lambda k: F.get("w", F.col("i") + k)
-    return placed.select(*key, F.xxhash64(*[F.when(F.col("n") > k, part(k)) if shorter else part(k) for k in range(words)]).alias("h"))
+        few = hashed.select(*key, "w", F.explode(places(n)).alias("i"))
+        none = [F.lit(None).cast("long")] * (words - n)
+        rows = rows.unionAll(few.select(*key, F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(n)], *none).alias("h")))
+    return rows
 
 
 def item_shingles(items: DataFrame, words: int = WORDS, sketch: int = SKETCH, containment: float = CONTAINMENT) -> DataFrame:
