@@ -134,7 +134,10 @@ class PieceCodec:
         """The same merges for one very long word, which would need about as many rounds as merges: pairs wait in a queue by
         rank, then place, as a round would take them."""
         if self._known is None:
-            self._known = {k: v for _, _, keys, values in self.pairs.levels for k, v in zip(keys.tolist(), values.tolist(), strict=True) if v >= 0}
+            self._known = {}
+            for _, _, keys, values in self.pairs.levels:
+                used = values >= 0  # most slots are empty
+                self._known.update(zip(keys[used].tolist(), values[used].tolist(), strict=True))
         known, rank = self._known, self.rank
         after, before = [*range(1, len(symbol)), -1], [*range(-1, len(symbol) - 1)]
 
