@@ -141,7 +141,8 @@ def identify(rows: DataFrame, keys: list[str], languages: list[str], logs: np.nd
 
     ``declared`` and ``host`` may be null or empty: then they say nothing beyond the prior. A null text counts as empty,
     and a text without letters has no text evidence. ``kept`` is false for these, and where no language reaches
-    ``min_posterior``. Repeated rows are judged each for itself. With no languages everything is rejected, with a null
+    ``min_posterior``. Very long texts are read whole, in evidence worth ``effective`` grams at most; of languages with equal posteriors
+    the first in alphabetical order is answered. Repeated rows are judged each for itself. With no languages everything is rejected, with a null
     language. Returns keys, lang, posterior, text_lang, n_grams, kept.
     """
     if not languages:

@@ -66,7 +66,7 @@ def remove_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Lines end at line feeds and are compared byte for byte. Windows of blank lines alone are not counted, nor is a place
     that overlaps the window's first place in the same document, so a run of equal lines keeps its first ``width``.
-    Texts of fewer lines stay whole. Of repeated rows (equal doc_id and text) all count as one document and get the same
+    Texts of fewer lines stay whole, very long ones are read whole. Of repeated rows (equal doc_id and text) all count as one document and get the same
     result. Null texts stay null and have 0 lines; documents without doc_id come first in the order. Every row and column
     of ``docs`` is kept, ``text`` changed; ``n_lines`` and ``n_removed`` are added (columns of these names are replaced).
     """

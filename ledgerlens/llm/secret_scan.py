@@ -135,7 +135,8 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Spans of secrets in every whole text.
 
     ``docs`` needs doc_id and text; a null text counts as empty, and a document without secrets has zero counts and an
-    empty list. Repeated rows are returned each for itself; rows without doc_id are scanned as well, without linking.
+    empty list. Very long texts are scanned whole, in time linear in their length; spans of equal start are ordered by kind.
+    Other columns are not looked at, whatever their names. Repeated rows are returned each for itself; rows without doc_id are scanned as well, without linking.
     Returns doc_id, n_assign, n_access, n_hex, n_linked, base_sha256 (digest of the strong spans' list), spans (all spans,
     the linked ones included).
     """

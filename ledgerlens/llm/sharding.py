@@ -103,7 +103,8 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     Size is the text's UTF-8 bytes plus 1 (null: 1). The largest shard is as small as whole, ordered groups allow; a group
     larger than the capacity of the others has a shard for itself. Groups are ordered by their first doc_id; slots
     within a shard follow doc_id, then the text's digest. Repeated rows get slots of their own. An empty table gives an
-    empty result; a null doc_id sorts first. Returns doc_id, size, text_crc32, shard, slot.
+    empty result; a null doc_id sorts first, and groups of equal first doc_id by digest. Very long texts count like any other;
+    other columns of ``docs`` are not looked at, whatever their names. Returns doc_id, size, text_crc32, shard, slot.
     """
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

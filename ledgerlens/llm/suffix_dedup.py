@@ -422,7 +422,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits
     """Take every byte covered by a ``length``-byte string that also starts in a document of smaller doc_id out of ``docs``.
 
     ``docs`` needs doc_id and text; texts are UTF-8 bytes, a null one is empty, and matches never cross documents. Strings
-    are judged on the input; overlaps count. Texts shorter than ``length`` stay whole. Rows of equal doc_id never match
+    are judged on the input; overlaps count. Very long texts are searched whole, in chunks that overlap; other columns are not
+    looked at, whatever their names. Texts shorter than ``length`` stay whole. Rows of equal doc_id never match
     each other; repeated rows are returned each for itself, with equal results. Rows without doc_id are neither searched
     nor changed. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_bytes``, kept (the remaining
     bytes).

@@ -193,7 +193,11 @@ def describe_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Write the token files of ``docs`` in the shared scratch folder and describe them from what was written."""
+    """Write the token files of ``docs`` in the shared scratch folder and describe them from what was written.
+
+    A null text counts as empty, very long texts are encoded whole, repeated rows each for themselves in a fixed order; an
+    empty table gives an empty result. Other columns are not looked at, whatever their names.
+    """
     path = scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, end_id)
     return describe_tokens(docs.sparkSession, path)
