@@ -213,14 +213,18 @@ class NewtonBoostModel(Model, _NewtonParams):
         told = [{"features": t.features, "thresholds": [[min(v, high) for v in level] for level in t.thresholds], "leaves": t.leaves} for t in self.trees]
         trees = F.from_json(F.lit(json.dumps(told)), kind)
 
-        def leaf(tree: Column) -> Column:
-            node = F.lit(0)
-            for level in range(len(self.trees[0].features)):
-                right = F.get(features, F.get(F.get(tree["features"], level), node)) > F.get(F.get(tree["thresholds"], level), node)
-                node = node * 2 + F.when(right, 1).otherwise(0)
-            return F.get(tree["leaves"], node)
-
-        return F.aggregate(trees, F.lit(0.0), lambda total, tree: total + leaf(tree))
+        # row and node are lambda variables: written out, each level would repeat the expression of the one above three times
+        def leaf(tree: Column, row: Column) -> Column:
+            levels = F.arrays_zip(tree["features"].alias("f"), tree["thresholds"].alias("t"))
+
+            def below(node: Column, level: Column) -> Column:
+                right = F.get(row, F.get(level["f"], node)) > F.get(level["t"], node)
+                return node * 2 + F.when(right, 1).otherwise(0)
+
+            return F.get(tree["leaves"], F.aggregate(levels, F.lit(0), below))
+
+        rows = F.transform(F.array(features), lambda row: F.aggregate(trees, F.lit(0.0), lambda total, tree: total + leaf(tree, row)))
+        return F.get(rows, 0)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         told = dataset.withColumn("_margin", self.margin(vector_to_array(self.getFeaturesCol())))
