@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, astuple, dataclass
 
 import numpy as np
 from pyspark import keyword_only
@@ -16,7 +16,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasSeed
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.models.cells import EVERY_BAND, SCORES, Batch, Cells, candidate_splits, carried, cell_table, summed
+from ledgerlens.models.cells import EVERY_BAND, SCORES, Batch, Cells, HeldCells, candidate_splits, cell_table, dealt, held_at_once
 from ledgerlens.session import reused
 
 _TINY = 2.220446049250313e-16
@@ -85,7 +85,19 @@ def boosted(cells: Cells, splits: Sequence[Sequence[float]], plans: Sequence[Pla
     All plans advance together, one aggregate a round. The margin of a cell is the sum of its stumps, and its weight follows
     from the margin, so nothing but margins is kept; a round depends on those before it alone, so the first n stumps
     are the model of n rounds. A plan that ends early (no error left, or none better than chance) adds nothing more.
+    Few cells are held by tasks that take some plans each through all rounds.
     """
+    if held_at_once(cells):
+        def fit(held_cells: HeldCells, own: list[Plan]) -> tuple[list, dict[int, np.ndarray]]:
+            stumps, votes, scores = _advanced(held_cells, splits, own, rounds, score_at)
+            return [([astuple(s) for s in made], [float(v) for v in vote]) for made, vote in zip(stumps, votes, strict=True)], scores
+
+        told, scores = dealt(cells, plans, fit)
+        return [[Stump(*s) for s in made] for made, _ in told], [vote for _, vote in told], scores
+    return _advanced(cells, splits, plans, rounds, score_at)
+
+
+def _advanced(cells: Cells | HeldCells, splits: Sequence[Sequence[float]], plans: Sequence[Plan], rounds: int, score_at: Sequence[int]) -> tuple[list[list[Stump]], list[list[float]], dict[int, np.ndarray]]:
     widths = [len(s) + 1 for s in splits]
     offsets = np.concatenate([[0], np.cumsum(widths)])
     slots, count = int(offsets[-1]), len(plans)
@@ -119,7 +131,7 @@ def boosted(cells: Cells, splits: Sequence[Sequence[float]], plans: Sequence[Pla
                 out[0, slots:] = batch.scores(held, band)
             return out[0].ravel(), out[1].ravel()
 
-        sums = summed(cells, work, (slots + len(SCORES)) * count).reshape(2, slots + len(SCORES), count)
+        sums = cells.summed(work, (slots + len(SCORES)) * count).reshape(2, slots + len(SCORES), count)
         if scoring:
             scores[turn] = sums[0, slots:]
         if last:
@@ -147,9 +159,9 @@ def boosted(cells: Cells, splits: Sequence[Sequence[float]], plans: Sequence[Pla
         open_ &= ~(stopped | (error <= 0))
         if not open_.any() and not any(n > turn for n in score_at):
             break
-        if len(pending) == WRITE_EVERY and turn + 1 < rounds:
-            steps = tuple(pending)
-            cells, pending = carried(cells, lambda batch, steps=steps: _applied(batch, steps)), []
+        if turn + 1 < rounds:
+            after = cells.carried(lambda batch, steps=tuple(pending): _applied(batch, steps), len(pending), WRITE_EVERY)
+            cells, pending = (cells, pending) if after is None else (after, [])
     cells.release()
     return stumps, votes, scores
 

@@ -3,10 +3,15 @@
 A feature is cut at a few candidate thresholds, so rows with equal bins, label and fold behave alike in every tree and become
 one cell with a count. A model is a *plan*; all plans, and all folds of a cross-validation, advance in the same rounds: a round is one pass over
 the cells, from which only weighted counts by (plan, node, feature, bin) come back.
+
+Plans do not depend on each other. Up to ``HELD_CELLS`` cells (of any number of rows) a task holds them all and takes its
+plans through every round itself, by the same steps, so that no round costs a job; the plans are dealt out to tasks.
 """
 
 from __future__ import annotations
 
+import copy
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,6 +26,9 @@ from ledgerlens.session import materialized, reused
 BINS = 32
 #: Numbers a task holds at once: cells of a partition times plans.
 STATE = 4_000_000
+#: Cells that one task may hold, and tasks that plans are dealt to at most.
+HELD_CELLS = 1 << 16
+HELD_TASKS = 32
 
 
 def candidate_splits(df: DataFrame, features: str, bins: int = BINS) -> list[list[float]]:
@@ -62,20 +70,29 @@ class Cells:
 
     table: DataFrame
     parts: int
+    rows: int | None = None
 
     def release(self) -> None:
         self.table.unpersist()
 
+    def summed(self, work: Callable[[Batch], tuple[np.ndarray, np.ndarray]], slots: int) -> np.ndarray:
+        return summed(self, work, slots)
+
+    def carried(self, apply: Callable[[Batch], None], pending: int, most: int) -> Cells | None:
+        """The cells brought up to date once ``most`` steps are pending, else nothing."""
+        return carried(self, apply) if pending >= most else None
+
 
 def cell_table(df: DataFrame, features: str, label: str, fold: Column, splits: Sequence[Sequence[float]], plans: int, band: Column | None = None) -> Cells:
     """Rows with equal bins, fold, band and 0/1 label counted; no plan has a margin yet. A plan takes bands up to its own."""
     band = F.lit(0) if band is None else band
     rows = df.select(binned(features, splits).alias("bins"), fold.cast("int").alias("fold"), band.cast("int").alias("band"), F.col(label).cast("double").alias("label"))
     cells = materialized(rows.groupBy("bins", "fold", "band", "label").agg(F.count(F.lit(1)).cast("double").alias("n")), "cells")
-    parts = max(1, -(-cells.count() * plans // STATE))
+    count = cells.count()
+    parts = max(1, -(-count * plans // STATE))
     none = F.array_repeat(F.lit(0.0), plans)
     spread = cells.repartition(parts, "bins", "fold", "band", "label") if parts > 1 else cells.coalesce(1)
-    return Cells(reused(spread.withColumn("margin", none)), parts)
+    return Cells(reused(spread.withColumn("margin", none)), parts, count)
 
 
 class Batch:
@@ -146,4 +163,61 @@ def carried(cells: Cells, apply: Callable[[Batch], None]) -> Cells:
 
     after = materialized(cells.table.mapInArrow(run, CELL_SCHEMA), "cells")
     cells.release()
-    return Cells(reused(after.coalesce(cells.parts)), cells.parts)
+    return Cells(reused(after.coalesce(cells.parts)), cells.parts, cells.rows)
+
+
+class HeldCells:
+    """All cells of some plans, held in a task: what ``Cells`` does by a job is done in place."""
+
+    def __init__(self, table: pa.Table, plans: int):
+        bins = table.column("bins").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        order = np.lexsort([*bins.T[::-1], *[table.column(c).to_numpy() for c in ("label", "band", "fold")]])
+        rows = table.select(["bins", *KEYS]).take(pa.array(order)).combine_chunks()
+        none = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * plans), pa.array(np.zeros(len(order) * plans)))
+        self.batches = [Batch(b) for b in rows.append_column("margin", none).to_batches(max_chunksize=10_000) if b.num_rows]
+
+    def release(self) -> None:
+        self.batches = []
+
+    def summed(self, work: Callable[[Batch], tuple[np.ndarray, np.ndarray]], slots: int) -> np.ndarray:
+        out = np.zeros((2, slots))
+        for batch in self.batches:
+            own = copy.copy(batch)
+            own.margin = batch.margin.copy()
+            first, second = work(own)
+            out[0] += first
+            out[1] += second
+        return out
+
+    def carried(self, apply: Callable[[Batch], None], pending: int, most: int) -> HeldCells:
+        for batch in self.batches:
+            apply(batch)
+        return self
+
+
+def dealt(cells: Cells, plans: Sequence, fit: Callable[[HeldCells, list], tuple[list, dict[int, np.ndarray]]]) -> tuple[list, dict[int, np.ndarray]]:
+    """What ``fit`` makes of each plan (told as JSON), and the scores by round of all plans, each made in a task that holds the cells."""
+    tasks = min(len(plans), HELD_TASKS)
+
+    def run(table: pa.Table) -> pa.Table:
+        task = table.column("task")[0].as_py()
+        own = [p for i, p in enumerate(plans) if i % tasks == task]
+        made, scores = fit(HeldCells(table, len(own)), own)
+        return pa.table({"task": pa.array([task], pa.int32()), "made": [json.dumps(made)], "scores": [json.dumps({n: v.tolist() for n, v in scores.items()})]})
+
+    copies = cells.table.drop("margin").withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartition(tasks, "task")
+    found = copies.groupBy("task").applyInArrow(run, "task int, made string, scores string").collect()
+    cells.release()
+    made: list = [None] * len(plans)
+    scores: dict[int, np.ndarray] = {}
+    for r in found:
+        at = range(r["task"], len(plans), tasks)
+        for i, m in zip(at, json.loads(r["made"]), strict=True):
+            made[i] = m
+        for turn, values in json.loads(r["scores"]).items():
+            scores.setdefault(int(turn), np.zeros((len(SCORES), len(plans))))[:, list(at)] = values
+    return made, scores
+
+
+def held_at_once(cells: Cells | HeldCells) -> bool:
+    return isinstance(cells, Cells) and cells.rows is not None and 0 < cells.rows <= HELD_CELLS

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 from pyspark import keyword_only
@@ -16,7 +16,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.models.cells import EVERY_BAND, SCORES, Batch, Cells, candidate_splits, carried, cell_table, summed
+from ledgerlens.models.cells import EVERY_BAND, SCORES, Batch, Cells, HeldCells, candidate_splits, cell_table, dealt, held_at_once
 from ledgerlens.session import reused
 
 #: Rounds after which the margins of all cells are written out.
@@ -106,8 +106,20 @@ def newton_boosted(cells: Cells, splits: Sequence[Sequence[float]], plans: Seque
     """Trees of every plan, and for each of ``score_at`` rounds the ``SCORES`` of every plan.
 
     All plans grow their trees together, level by level: one aggregate of first and second derivatives a level, in which
-    plans of less depth no longer take part. The first n trees are the model of n rounds.
+    plans of less depth no longer take part. The first n trees are the model of n rounds. Few cells are held by tasks that
+    grow the trees of some plans each.
     """
+    if held_at_once(cells):
+        def fit(held_cells: HeldCells, own: list[Plan]) -> tuple[list, dict[int, np.ndarray]]:
+            trees, scores = _grown(held_cells, splits, own, rounds, score_at)
+            return [[astuple(t) for t in made] for made in trees], scores
+
+        told, scores = dealt(cells, plans, fit)
+        return [[Tree(*t) for t in made] for made in told], scores
+    return _grown(cells, splits, plans, rounds, score_at)
+
+
+def _grown(cells: Cells | HeldCells, splits: Sequence[Sequence[float]], plans: Sequence[Plan], rounds: int, score_at: Sequence[int]) -> tuple[list[list[Tree]], dict[int, np.ndarray]]:
     widths = [len(s) + 1 for s in splits]
     offsets = np.concatenate([[0], np.cumsum(widths)])
     slots, count = int(offsets[-1]), len(plans)
@@ -143,7 +155,7 @@ def newton_boosted(cells: Cells, splits: Sequence[Sequence[float]], plans: Seque
                     first[size:] = batch.scores(held, band).ravel()
                 return first, second
 
-            first, second = summed(cells, work, size + len(SCORES) * count)
+            first, second = cells.summed(work, size + len(SCORES) * count)
             if scoring:
                 scores[turn] = first[size:].reshape(len(SCORES), count)
             if last:
@@ -166,9 +178,9 @@ def newton_boosted(cells: Cells, splits: Sequence[Sequence[float]], plans: Seque
             leaves = values[:: 1 << (deepest - depth[p]), p]
             trees[p].append(Tree([feature[:, p].tolist() for feature, _ in kept], thresholds, leaves.tolist()))
         pending.append((tuple(levels), values))
-        if len(pending) == WRITE_EVERY and turn + 1 < rounds:
-            steps = tuple(pending)
-            cells, pending = carried(cells, lambda batch, steps=steps: _applied(batch, steps)), []
+        if turn + 1 < rounds:
+            after = cells.carried(lambda batch, steps=tuple(pending): _applied(batch, steps), len(pending), WRITE_EVERY)
+            cells, pending = (cells, pending) if after is None else (after, [])
     cells.release()
     return trees, scores
 
