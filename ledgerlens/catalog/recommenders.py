@@ -18,7 +18,7 @@ POPULAR = 900
 
 
 def _pairs(spark, folder, country=None):
-    return basket.basket_items(clean_lines(views.retail_lines(spark, folder, sold_only=True)), "brand", country)
+    return basket.basket_items(clean_lines(views.retail_lines(spark, folder, sold_only=True)), "brand", country, parts=views.line_parts(spark, folder))
 
 
 _PAIRS = f"""{S.CLEAN},

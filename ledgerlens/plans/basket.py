@@ -11,17 +11,23 @@ from pyspark.sql import functions as F
 from ledgerlens.session import reused
 
 MASK_BITS = 12
+FLAG_BITS = 62
 
 
-def basket_items(lines: DataFrame, item: str, country: str | None = None, excluded: str | None = "POST", code: str = "stock_code") -> DataFrame:
-    """Distinct (invoice, item) pairs with positive total quantity, of one country if given, without the postage code."""
+def basket_items(lines: DataFrame, item: str, country: str | None = None, excluded: str | None = "POST", code: str = "stock_code", parts: int | None = None) -> DataFrame:
+    """Distinct (invoice, item) pairs with positive total quantity, of one country if given, without the postage code.
+
+    With ``parts`` the lines are dealt to so many partitions by invoice, where pairs, and what is made of an invoice's pairs
+    after that, need no further shuffle.
+    """
     if country is not None:
         lines = lines.filter(F.col("country") == country)
     if excluded is not None:
         lines = lines.filter(F.coalesce(F.col(code) != excluded, F.lit(True)))
+    named = lines.filter(F.col("invoice").isNotNull() & F.col(item).isNotNull()).select("invoice", F.col(item).alias("item"), "quantity")
     return (
-        lines.filter(F.col("invoice").isNotNull() & F.col(item).isNotNull())
-        .groupBy("invoice", F.col(item).alias("item"))
+        (named.repartition(parts, "invoice") if parts else named)
+        .groupBy("invoice", "item")
         .agg(F.sum("quantity").alias("quantity"))
         .filter(F.col("quantity") > 0)
         .select("invoice", "item")
@@ -29,8 +35,20 @@ def basket_items(lines: DataFrame, item: str, country: str | None = None, exclud
 
 
 def basket_flags(pairs: DataFrame, items: list[str]) -> DataFrame:
-    """Invoice by item table of 0/1 for the listed items (a wide view for inspection)."""
-    return pairs.groupBy("invoice").agg(*[F.max((F.col("item") == i).cast("int")).alias(i) for i in items])
+    """Invoice by item table of 0/1 for the listed items (a wide view for inspection).
+
+    Flags are gathered as bits of a few whole numbers, so that what is aggregated and shuffled for an invoice stays narrow.
+    """
+    listed = list(dict.fromkeys(items))
+    words = [listed[at : at + FLAG_BITS] for at in range(0, len(listed), FLAG_BITS)]
+
+    def bits(word: list[str]) -> Column:
+        bit = F.create_map(*[c for n, i in enumerate(word) for c in (F.lit(i), F.lit(1 << n).cast("long"))])
+        return F.when(F.col("item").isNotNull(), F.coalesce(F.try_element_at(bit, F.col("item")), F.lit(0).cast("long")))
+
+    gathered = pairs.groupBy("invoice").agg(*[F.bit_or(bits(w)).alias(f"_flags{k}") for k, w in enumerate(words)])
+    place = {i: (k, n) for k, w in enumerate(words) for n, i in enumerate(w)}
+    return gathered.select("invoice", *[F.expr(f"CAST(shiftright(_flags{k}, {n}) & 1 AS INT)").alias(i) for i in items for k, n in [place[i]]])
 
 
 def frequent_sets(pairs: DataFrame, min_support: float = 0.01) -> DataFrame:

@@ -12,6 +12,15 @@ TODAY = "2001-08-02 00:00:00"
 COURSE_TODAY = "2001-12-01 00:00:00"
 
 
+LINES_PER_PART = 250_000
+
+
+def line_parts(spark: SparkSession, folder: str) -> int | None:
+    """Partitions for all order lines, counted from the files' footers, where the session's number would make them large."""
+    parts = -(-parquet_table(spark, folder, "lineitem").count() // LINES_PER_PART)
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def retail_lines(spark: SparkSession, folder: str, sold_only: bool = False) -> DataFrame:
     """Invoice lines: returns carry a ``C`` in front of the invoice number; ``sold_only`` leaves them out in the scan.
 
@@ -22,6 +31,9 @@ def retail_lines(spark: SparkSession, folder: str, sold_only: bool = False) -> D
     )
     if sold_only:
         line = line.filter(F.col("l_returnflag").isNull() | (F.col("l_returnflag") != "R"))
+    parts = line_parts(spark, folder)
+    if parts:
+        line = line.repartition(parts, "l_orderkey")
     buyers = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     orders = order.join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderdate", "o_custkey", "n_name")
     return (
